@@ -3,11 +3,96 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from plainsift.operators import copydiff, drift, shred
 from plainsift.operators.packed import unpack_records
-from plainsift.shared import table
+from plainsift.shared import current_rows, table
 
 PACKED_FIELDS = ("removed_fields", "changed_fields", "kept_fields")
+CELL_FIELDS = {"adversary": copydiff.loose, "fidelity": copydiff.loose, "verdict": copydiff.loose, "reason": copydiff.squeezed, "repeats": copydiff.same, "deterministic": copydiff.same}
+FILE_KEYS = ["file_id", "series_id", "generated_at"]
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cell missing in one copy, and every field that differs."""
+    copies = (table(spark, sf_dir, f"cells_{c}") for c in ("published", "measured"))
+    return copydiff.differences(*copies, "cell_id", ["loaded_at"], CELL_FIELDS, ("only_published", "only_measured"))
+
+
+def p2_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unequal buckets of the two copies, with the columns unequal in each."""
+    copies = (copydiff.checksums(table(spark, sf_dir, f"cells_{c}"), "cell_id", ["loaded_at"], CELL_FIELDS) for c in ("published", "measured"))
+    return copydiff.unequal_buckets(*copies, list(CELL_FIELDS))
+
+
+def p2_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of cells of each kind of difference."""
+    return p2_found(spark, sf_dir).groupBy("difference").agg(F.count(F.lit(1)).alias("n_cells"))
+
+
+def _file_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "matrix_files")
+    read = drift.headers(files, [*FILE_KEYS, "received_at"], "body")
+    return current_rows(read, "file_id", ["received_at"], [*FILE_KEYS, "fields"])
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changes of cell fields between each file and the one before it in its series."""
+    return drift.changes(_file_headers(spark, sf_dir), "file_id", "series_id", "generated_at")
+
+
+def p3_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The union schema of all files."""
+    return drift.union_schema(_file_headers(spark, sf_dir))
+
+
+def p3_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cells of all files in one table, each file once."""
+    files = current_rows(table(spark, sf_dir, "matrix_files"), "file_id", ["received_at"], [*FILE_KEYS, "body"])
+    return drift.unified(files, FILE_KEYS, "body")
+
+
+def _shredded(spark: SparkSession, sf_dir: str, wanted: dict | None = None) -> DataFrame:
+    docs = table(spark, sf_dir, "matrix_docs")
+    plan = shred.plan_of(docs, "body", shred.MATRIX)
+    return shred.shred(docs, ["matrix_id", "received_at"], "body", shred.MATRIX, plan, wanted)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per leak of each document, with its cell's keys and floor and its place."""
+    wanted = {"cells": ["adversary", "fidelity", "noise_floor.repeats"], "leaks": [], "locus": ["feature_id", "offset"]}
+    docs = _shredded(spark, sf_dir, wanted)
+    places = F.map_from_entries(
+        F.transform(F.filter("locus", lambda x: (x["parent"] == "leaks") & (x["no"] == 0)), lambda x: F.struct(x["parent_no"], F.struct(x["feature_id"].alias("feature_id"), x["offset"].alias("offset"))))
+    )
+    numbered = docs.select("matrix_id", "received_at", "cells", F.transform("leaks", lambda x, k: F.struct(x["parent_no"].alias("cell"), x["no"].alias("no"), k.alias("k"))).alias("leaks"), places.alias("places"))
+    rows = F.transform(
+        "leaks",
+        lambda x: F.struct(
+            F.element_at("cells", x["cell"] + 1)["adversary"].alias("adversary"),
+            F.element_at("cells", x["cell"] + 1)["fidelity"].alias("fidelity"),
+            x["no"].alias("leak_no"),
+            F.coalesce(F.try_element_at("places", x["k"])["feature_id"], F.lit("")).alias("feature_id"),
+            F.coalesce(F.try_element_at("places", x["k"])["offset"].try_cast("bigint"), F.lit(-1)).alias("locus_offset"),
+            F.coalesce(F.element_at("cells", x["cell"] + 1)["noise_floor_repeats"].try_cast("int"), F.lit(-1)).alias("repeats"),
+        ),
+    )
+    once = current_rows(numbered.select("matrix_id", "received_at", rows.alias("leaks")), "matrix_id", ["received_at"], ["matrix_id", "leaks"])
+    return once.select("matrix_id", F.explode("leaks").alias("x")).select("matrix_id", "x.*")
+
+
+def _p5_table(name: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = table(spark, sf_dir, "matrix_docs")
+        plan = shred.plan_of(docs, "body", shred.MATRIX)
+        if name not in plan.tables:
+            return spark.createDataFrame([], "matrix_id bigint")
+        read = shred.shred(docs, ["matrix_id", "received_at"], "body", shred.MATRIX, plan, {name: plan.columns[name]})
+        return shred.flat(current_rows(read, "matrix_id", ["received_at"], ["matrix_id", name]), ["matrix_id"], name)
+
+    query.__doc__ = f"The flat table `{name}` of all documents, each element with its parent's key."
+    return query
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,5 +100,28 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unpack_records(table(spark, sf_dir, "scrub_results"), "row_id", PACKED_FIELDS, ["loaded_at"])
 
 
-QUERIES = {"p6_found": p6_found}
-SQL: dict[str, str] = {}
+QUERIES = {
+    "p2_found": p2_found,
+    "p2_buckets": p2_buckets,
+    "p2_summary": p2_summary,
+    "p3_found": p3_found,
+    "p3_schema": p3_schema,
+    "p3_cells": p3_cells,
+    "p5_found": p5_found,
+    **{f"p5_{name}": _p5_table(name) for name in ("document", "cells", "leaks", "locus", "evidence")},
+    "p6_found": p6_found,
+}
+
+_STATE = """{name} as (select cell_id, upper(regexp_replace(adversary, '[\\s_-]+', '', 'g')) adversary, upper(regexp_replace(fidelity, '[\\s_-]+', '', 'g')) fidelity,
+  upper(regexp_replace(verdict, '[\\s_-]+', '', 'g')) verdict, coalesce(trim(regexp_replace(reason, '\\s+', ' ', 'g')), '') reason, repeats, deterministic
+  from cells_{name} qualify row_number() over (partition by cell_id order by loaded_at desc nulls last) = 1)"""
+_P2 = f"""with {_STATE.format(name='published')}, {_STATE.format(name='measured')},
+both_sides as (select coalesce(p.cell_id, m.cell_id) cell_id, p.cell_id is null no_p, m.cell_id is null no_m, {', '.join(f'p.{f} is distinct from m.{f} d_{f}' for f in CELL_FIELDS)}
+  from published p full join measured m on p.cell_id = m.cell_id),
+found as (select cell_id, 'only_published' difference from both_sides where no_m union all select cell_id, 'only_measured' from both_sides where no_p
+  {' '.join(f"union all select cell_id, '{f}' from both_sides where d_{f} and not no_p and not no_m" for f in CELL_FIELDS)})
+"""
+SQL = {
+    "p2_found": _P2 + "select cell_id, difference from found",
+    "p2_summary": _P2 + "select difference, count(*) n_cells from found group by 1",
+}
