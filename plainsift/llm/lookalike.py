@@ -75,7 +75,7 @@ def tables() -> tuple[dict[str, str], str]:
 @lru_cache(1)
 def _coarse_table() -> dict[int, str | None]:
     to, unseen = tables()
-    out: dict[int, str | None] = {ord(a): b for a, b in to.items()}
+    out: dict[int, str | None] = {ord(a): None if unicodedata.category(b) in ("Mn", "Me") else b for a, b in to.items()}
     out |= {ord(c): None for c in _all() if unicodedata.category(c) in ("Mn", "Me")} | {ord(c): None for c in unseen}
     return out
 
