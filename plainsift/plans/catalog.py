@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plainsift.plans import pipeline
+from plainsift.plans import joins, oracle, pipeline
 
-MODULES = (pipeline,)
+MODULES = (oracle, joins, pipeline)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
-FLAGSHIP = pipeline.p6_found
+FLAGSHIP = oracle.variance_decompose
