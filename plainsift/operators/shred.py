@@ -105,48 +105,45 @@ def _keys(node: dict, stated: Mapping[str, str]) -> list[dict] | None:
     return out
 
 
-def _many(name: str, value: object, shape: Shape) -> bool:
-    return isinstance(value, list) or (isinstance(value, dict) and bool(value) and name in shape.keyed and _keys(value, shape.keyed[name]) is not None)
-
-
-def edges_of(document: dict, shape: Shape) -> dict[tuple[str, str, str], tuple[bool, bool]]:
-    """The edges of one document: (parent, child, name) with whether it repeats and whether it holds others."""
-    out: dict[tuple[str, str, str], tuple[bool, bool]] = {}
-    todo: list[tuple[str, object]] = [(shape.root, document)]
+def fold(document: dict, shape: Shape, edges: dict[tuple[str, str, str], list[bool]]) -> None:
+    """Fold the edges of a document into edges: (parent, child, name) with whether it repeats and whether it holds others."""
+    todo: list[tuple[str, dict]] = [(shape.root, document)]
+    types, keyed = shape.types, shape.keyed
     while todo:
         parent, node = todo.pop()
-        if not isinstance(node, dict):
-            continue
         for name, value in node.items():
-            kind = shape.types.get(name, name)
-            found = members(name, value, shape)
-            holds = any(isinstance(x, dict) for x, _ in found)
-            edge = (parent, kind, name)
-            many, complex_ = out.get(edge, (False, False))
-            out[edge] = (many or (len(found) > 1 and _many(name, value, shape)), complex_ or holds)
-            todo.extend((kind, x) for x, _ in found if isinstance(x, dict))
-    return out
+            kind = types.get(name, name)
+            edge = edges.get(key := (parent, kind, name))
+            if edge is None:
+                edge = edges[key] = [False, False]
+            if type(value) is dict and (name not in keyed or not value or _keys(value, keyed[name]) is None):
+                edge[1] = True
+                todo.append((kind, value))
+            elif type(value) is list or type(value) is dict:
+                found = [x for x, _ in members(name, value, shape)]
+                if len(found) > 1:
+                    edge[0] = True
+                for x in found:
+                    if type(x) is dict:
+                        edge[1] = True
+                        todo.append((kind, x))
 
 
 def schema_graph(df: DataFrame, body: str, shape: Shape) -> DataFrame:
-    """`parent, child, name, many, holds, bodies`: the element graph of all bodies, folded over all partitions."""
+    """`parent, child, name, many, holds`: the element graph of all bodies, folded over all partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[str, str, str], list] = {}
+        total: dict[tuple[str, str, str], list[bool]] = {}
         for batch in batches:
             for text in batch.column(body).to_pylist():
-                document = read(text, shape)
-                for edge, (many, holds) in edges_of(document, shape).items() if document else ():
-                    at = total.setdefault(edge, [False, False, 0])
-                    at[0] |= many
-                    at[1] |= holds
-                    at[2] += 1
+                if (document := read(text, shape)) is not None:
+                    fold(document, shape, total)
         if total:
             rows = [(*e, *v) for e, v in total.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["parent", "child", "name", "many", "holds", "bodies"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["parent", "child", "name", "many", "holds"])
 
-    read_ = df.select(body).mapInArrow(run, "parent string, child string, name string, many boolean, holds boolean, bodies bigint")
-    return read_.groupBy("parent", "child", "name").agg(F.max("many").alias("many"), F.max("holds").alias("holds"), F.sum("bodies").alias("bodies"))
+    read_ = df.select(body).mapInArrow(run, "parent string, child string, name string, many boolean, holds boolean")
+    return read_.groupBy("parent", "child", "name").agg(F.max("many").alias("many"), F.max("holds").alias("holds"))
 
 
 @dataclass
@@ -210,18 +207,32 @@ def _value(node: object) -> str | None:
     return None if node is None or node == {} else node if isinstance(node, str) else json.dumps(node, ensure_ascii=False)
 
 
-def cut(document: dict, shape: Shape, plan: Plan, wanted: Mapping[str, Sequence[str]]) -> dict[str, list[dict]]:
+def needed(plan: Plan, wanted: Mapping[str, Sequence[str]]) -> set[str]:
+    """The wanted tables and all tables above them."""
+    out, todo = set(), list(wanted)
+    while todo:
+        at = todo.pop()
+        if at not in out:
+            out.add(at)
+            todo.extend(plan.parents.get(at, ()))
+    return out
+
+
+def cut(document: dict, shape: Shape, plan: Plan, wanted: Mapping[str, Sequence[str]], reached: set[str] | None = None) -> dict[str, list[dict]]:
     """The tables of one document; each element has `_parent` (table), `_parent_no`, `_no` (in its parent, by name), `_name`."""
-    out: dict[str, list[dict]] = {t: [] for t in plan.tables}
-    own = set(plan.tables)
+    reached = needed(plan, wanted) if reached is None else reached
+    out: dict[str, list[dict]] = {t: [] for t in reached}
+    own, types = set(plan.tables), shape.types
+    keeps = {t: frozenset(wanted.get(t, ())) for t in reached}
     todo: list[tuple[str, object, dict, str | None, int, int, str]] = [(shape.root, document, {}, None, -1, 0, shape.root)]
     while todo:
         table, node, stated, parent, parent_no, no, name = todo.pop()
-        here = len(out[table])
-        row = dict(stated) | {"_parent": parent, "_parent_no": parent_no, "_no": no, "_name": name}
-        out[table].append(row)
-        keep = wanted.get(table, ())
-        if not isinstance(node, dict):
+        rows = out[table]
+        here = len(rows)
+        row = stated | {"_parent": parent, "_parent_no": parent_no, "_no": no, "_name": name}
+        rows.append(row)
+        keep = keeps[table]
+        if type(node) is not dict:
             row[shape.texts.get(table, "value")] = _value(node)
             continue
         later = []
@@ -229,16 +240,21 @@ def cut(document: dict, shape: Shape, plan: Plan, wanted: Mapping[str, Sequence[
         while inner:
             prefix, at = inner.pop()
             for key, value in at.items():
-                kind = shape.types.get(key, key)
+                if value is None:
+                    continue
+                kind = types.get(key, key)
                 if kind in own:
-                    later.extend((kind, x, attrs, table, here, k, key) for k, (x, attrs) in enumerate(members(key, value, shape)))
+                    if kind in reached:
+                        later.extend((kind, x, attrs, table, here, k, key) for k, (x, attrs) in enumerate(members(key, value, shape)))
                     continue
-                value = value[0] if isinstance(value, list) and len(value) == 1 else value
-                if isinstance(value, dict):
+                if type(value) is list and len(value) == 1:
+                    value = value[0]
+                if type(value) is dict:
                     inner.append((f"{prefix}{key}.", value))
-                elif prefix + key in keep and value is not None:
-                    row[prefix + key] = _value(value)
-        todo.extend(reversed(later))
+                elif keep and value is not None and (path := prefix + key) in keep:
+                    row[path] = _value(value)
+        later.reverse()
+        todo.extend(later)
     return out
 
 
@@ -254,6 +270,7 @@ def shred(df: DataFrame, keys: Sequence[str], body: str, shape: Shape, plan: Pla
     """
     wanted = dict(wanted) if wanted is not None else dict(plan.columns)
     fields = [("parent", "_parent", pa.string()), ("parent_no", "_parent_no", pa.int32()), ("name", "_name", pa.string()), ("no", "_no", pa.int32())]
+    reached = needed(plan, wanted)
     kinds = {t: pa.list_(pa.struct([*[(n, k) for n, _, k in fields], *[(column_name(c), pa.string()) for c in cols]])) for t, cols in wanted.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +282,7 @@ def shred(df: DataFrame, keys: Sequence[str], body: str, shape: Shape, plan: Pla
                 if document is None:
                     continue
                 at.append(k)
-                tables = cut(document, shape, plan, wanted)
+                tables = cut(document, shape, plan, wanted, reached)
                 for t, cols in wanted.items():
                     found[t].append([{**{n: r.get(f) for n, f, _ in fields}, **{column_name(c): r.get(c) for c in cols}} for r in tables.get(t, ())])
             if at:
