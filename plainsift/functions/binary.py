@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def big_endian(col: Column, at: int, size: int) -> Column:
@@ -121,7 +122,7 @@ def time_limit(size: Column) -> Column:
     return 300 + 20 * size / 1_000_000
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def binomial_tail(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     """The chance of k or more successes in n tries of chance p."""
 
@@ -136,7 +137,7 @@ def binomial_tail(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     return pd.Series([one(int(a), int(b), float(c)) if pd.notna(a) and pd.notna(b) and pd.notna(c) else None for a, b, c in zip(k, n, p, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def lag_correlation(a: pd.Series, b: pd.Series) -> pd.Series:
     """The greatest normalised correlation of two sample arrays over lags of up to 3000 samples in steps of 25."""
     import numpy as np
@@ -159,7 +160,7 @@ def lag_correlation(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def framed_energy(samples: pd.Series, frame: pd.Series, hop: pd.Series) -> pd.Series:
     """The spectral energy of each frame of a sample array."""
     import numpy as np

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plainsift.plans import joins, oracle, pipeline, reports
+from plainsift.plans import joins, oracle, pipeline, reports, texts, vectors
 
-MODULES = (oracle, joins, reports, pipeline)
+MODULES = (oracle, joins, reports, texts, vectors, pipeline)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
 FLAGSHIP = oracle.variance_decompose
