@@ -64,7 +64,7 @@ def common_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as extents of seconds: from their time, as long as their value."""
-    start = F.unix_seconds(F.col("ts").cast("timestamp"))
+    start = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
     return table(spark, sf_dir, "events").select("user_id", "event_id", start.alias("start"), (start + F.ceil(F.col("value") * 60)).alias("end"))
 
 
