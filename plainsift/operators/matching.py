@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from plainsift.shared import materialize
+from plainsift.shared import materialize, shared_dir
 
 
 def field_diff(before: DataFrame, after: DataFrame, file: str = "file_id") -> DataFrame:
@@ -90,17 +92,21 @@ def closure(edges: DataFrame, roots: DataFrame, barriers: DataFrame | None = Non
 
     Nodes of barriers (column `node`) aren't entered. Each round is written to the shared folder, so the plan stays flat.
     """
-    edges = edges.where("src is not null and dst is not null").select("src", "dst").distinct()
-    frontier = materialize(roots.select("node").distinct().withColumn("depth", F.lit(0)), "closure")
-    reached, depth = frontier, 0
-    while not frontier.isEmpty():
-        depth += 1
+    edges = materialize(edges.where("src is not null and dst is not null").select("src", "dst").distinct(), "closure-edges")
+    spark, path, depth = roots.sparkSession, f"{shared_dir(roots.sparkSession)}/closure-{uuid.uuid4().hex}", 0
+    step = roots.where("node is not null").select("node").distinct()
+    while True:
+        step.write.parquet(f"{path}/depth={depth}")
+        frontier = spark.read.schema(step.schema).parquet(f"{path}/depth={depth}")
+        if frontier.isEmpty():
+            break
+        # one scan of the folder is all that was reached so far, however many rounds there were
+        reached = spark.read.schema(step.schema).parquet(*[f"{path}/depth={d}" for d in range(depth + 1)])
         step = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct().join(reached, "node", "left_anti")
         if barriers is not None:
             step = step.join(barriers.select("node"), "node", "left_anti")
-        frontier = materialize(step.withColumn("depth", F.lit(depth)), "closure")
-        reached = reached.unionByName(frontier)
-    return reached
+        depth += 1
+    return spark.read.schema(T.StructType([*step.schema.fields, T.StructField("depth", T.IntegerType())])).option("basePath", path).parquet(path)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -7,9 +7,14 @@ map-side combination: a group or feature of any size is reduced before it is shu
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from plainsift.operators.intervals import merged
 
 
 def modes(grid: DataFrame) -> DataFrame:
@@ -53,22 +58,42 @@ def leaks_by_channel(decomposed: DataFrame, channels: DataFrame) -> DataFrame:
     return found.groupBy(F.coalesce("channel", F.lit("unclassified")).alias("channel")).agg(F.array_join(F.sort_array(F.collect_set("feature_id")), ",").alias("features"))
 
 
+def _differences(a: str, b: str) -> list[dict]:
+    """The extents in which two texts differ, over their common length."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return []
+    x, y = (np.frombuffer(t[:n].encode("utf-32-le", "surrogatepass"), np.uint32) for t in (a, b))
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], (x != y).astype(np.int8), [0]])))
+    return [{"start": int(s), "end": int(e)} for s, e in zip(edges[::2], edges[1::2], strict=True)]
+
+
 def disagreeing_runs(cohorts: DataFrame, cohort: str, member: str, blob: str) -> DataFrame:
     """`<cohort>, feature_id`: where the members of a cohort differ.
 
     Members of one length: each maximal run of differing places, `byte@offset:length`. Of different lengths: exactly
     `byte_tail@first` and `length_divergence`. A cohort of one has no features; null members are left out.
+
+    All members agree at a place if each agrees with the first; so each is compared with the first of its cohort, and only
+    the extents that differ are gathered and merged, never the places one by one.
     """
-    known = cohorts.where(F.col(blob).isNotNull()).select(cohort, member, F.col(blob).alias("_b"))
-    sizes = known.groupBy(cohort).agg(F.count(F.lit(1)).alias("_n"), F.min(F.length("_b")).alias("_min"), F.max(F.length("_b")).alias("_max"))
-    places = known.select(cohort, F.posexplode(F.split("_b", "")).alias("_at", "_c"))
-    differ = places.groupBy(cohort, "_at").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where("_lo <> _hi")
-    runs = differ.join(sizes.where("_n > 1"), cohort).where("_at < _min").withColumn("_island", F.col("_at") - F.row_number().over(Window.partitionBy(cohort).orderBy("_at")))
-    even = runs.where("_min = _max").groupBy(cohort, "_island").agg(F.min("_at").alias("_from"), F.count(F.lit(1)).alias("_len"))
-    even = even.select(cohort, F.concat(F.lit("byte@"), F.col("_from"), F.lit(":"), F.col("_len")).alias("feature_id"))
-    firsts = runs.where("_min < _max").groupBy(cohort).agg(F.min("_at").alias("_first"))
-    odd = sizes.where("_n > 1 and _min < _max").join(firsts, cohort, "left")
-    odd = odd.select(cohort, F.explode(F.array(F.concat(F.lit("byte_tail@"), F.coalesce("_first", "_min")), F.lit("length_divergence"))).alias("feature_id"))
+    known = cohorts.where(F.col(blob).isNotNull()).select(F.col(cohort).alias("_c"), F.col(member).alias("_m"), F.col(blob).alias("_b"))
+    sizes = known.groupBy("_c").agg(F.count(F.lit(1)).alias("_n"), F.min(F.length("_b")).alias("_min"), F.max(F.length("_b")).alias("_max"), F.min("_m").alias("_m")).where("_n > 1")
+    firsts = sizes.join(known, ["_c", "_m"]).groupBy("_c", "_min", "_max").agg(F.min("_b").alias("_first"))
+    pairs = known.join(firsts, "_c").where("_b <> _first").select("_c", "_min", "_max", "_first", "_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        for batch in batches:
+            found = [_differences(a, b) for a, b in zip(batch.column("_first").to_pylist(), batch.column("_b").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(found, kind)], names=["_c", "_min", "_max", "_runs"])
+
+    kind = known.schema["_c"].dataType.simpleString()
+    extents = pairs.mapInArrow(run, f"_c {kind}, _min int, _max int, _runs array<struct<start:int,end:int>>").select("_c", "_min", "_max", F.explode("_runs").alias("_r")).select("_c", "_min", "_max", "_r.start", "_r.end").where("start < _min").distinct()
+    even = merged(extents.where("_min = _max"), "_c").select(F.col("_c").alias(cohort), F.concat(F.lit("byte@"), F.col("start"), F.lit(":"), F.col("end") - F.col("start")).alias("feature_id"))
+    firsts = extents.where("_min < _max").groupBy("_c").agg(F.min("start").alias("_at"))
+    odd = sizes.where("_n > 1 and _min < _max").select("_c", "_min").join(firsts, "_c", "left")
+    odd = odd.select(F.col("_c").alias(cohort), F.explode(F.array(F.concat(F.lit("byte_tail@"), F.coalesce("_at", "_min")), F.lit("length_divergence"))).alias("feature_id"))
     return even.unionByName(odd)
 
 

@@ -14,10 +14,12 @@ CHANNELS = {"quantity": "numbers", "discount": "numbers", "tax": "numbers", "lin
 
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each part (the group) and line number (the repeat) the first line's features, as a long table."""
-    lines = table(spark, sf_dir, "lineitem")
-    money = lambda c: F.col(c).cast("decimal(12,2)").cast("string")
-    row = F.struct("l_orderkey", "l_suppkey", "l_extendedprice", "l_shipdate", money("l_quantity").alias("quantity"), money("l_discount").alias("discount"), money("l_tax").alias("tax"), F.col("l_linestatus").alias("linestatus"), F.year("l_shipdate").cast("string").alias("shipyear"))
-    one = lines.groupBy(F.pmod("l_suppkey", F.lit(7)).cast("string").alias("group"), F.col("l_linenumber").alias("repeat")).agg(F.min(row).alias("r"))
+    lines = table(spark, sf_dir, "lineitem").withColumns({"group": F.pmod("l_suppkey", F.lit(7)).cast("string"), "repeat": F.col("l_linenumber")})
+    money = lambda c: F.col(f"r.{c}").cast("decimal(12,2)").cast("string")
+    first = lines.groupBy("group", "repeat").agg(F.min("l_orderkey").alias("l_orderkey"))  # a hash aggregate of one number
+    row = F.struct("l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax", "l_linestatus")
+    one = lines.join(first, ["group", "repeat", "l_orderkey"]).groupBy("group", "repeat").agg(F.min(row).alias("r"))
+    one = one.select("group", "repeat", F.struct(money("l_quantity").alias("quantity"), money("l_discount").alias("discount"), money("l_tax").alias("tax"), F.col("r.l_linestatus").alias("linestatus"), F.year("r.l_shipdate").cast("string").alias("shipyear")).alias("r"))
     wide = one.select("group", "repeat", *[F.col(f"r.{f}").alias(f) for f in FEATURES])
     return wide.unpivot(["group", "repeat"], list(FEATURES), "feature_id", "value")
 
