@@ -11,9 +11,9 @@ from pyspark.sql.window import Window
 
 def census(rows: DataFrame, by: str, value: str) -> DataFrame:
     """`<by>, modal`: the most frequent value, ties to the least text, with ` +n more` for other distinct values."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy(by).agg(F.min_by(F.col(value).cast("string"), F.struct(-F.col("n"), F.col(value).cast("string"))).alias("v"), (F.count(F.lit(1)) - 1).alias("more"))
-    return best.select(by, F.concat("v", F.when(F.col("more") > 0, F.concat(F.lit(" +"), F.col("more"), F.lit(" more"))).otherwise("")).alias("modal"))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("_n"))
+    best = counts.groupBy(by).agg(F.min_by(F.col(value).cast("string"), F.struct(-F.col("_n"), F.col(value).cast("string"))).alias("_v"), (F.count(F.lit(1)) - 1).alias("_more"))
+    return best.select(by, F.concat("_v", F.when(F.col("_more") > 0, F.concat(F.lit(" +"), F.col("_more"), F.lit(" more"))).otherwise("")).alias("modal"))
 
 
 def consistent(rows: DataFrame, by: str, member: str, value: str) -> DataFrame:
@@ -21,9 +21,9 @@ def consistent(rows: DataFrame, by: str, member: str, value: str) -> DataFrame:
 
     A value is in the intersection if as many members hold it as there are; so sets are never gathered."""
     held = rows.where(F.col(value).isNotNull()).select(by, member, value).distinct()
-    members = held.select(by, member).distinct().groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-    shared = held.groupBy(by, value).agg(F.count(F.lit(1)).alias("k")).join(members, by).where("k = n").groupBy(by).agg(F.array_join(F.sort_array(F.collect_list(F.col(value).cast("string"))), ",").alias("all"))
-    return members.join(shared, by, "left").select(by, F.coalesce("all", F.lit("varies")).alias("outcome"))
+    members = held.select(by, member).distinct().groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    shared = held.groupBy(by, value).agg(F.count(F.lit(1)).alias("_k")).join(members, by).where("_k = _n").groupBy(by).agg(F.array_join(F.sort_array(F.collect_list(F.col(value).cast("string"))), ",").alias("_all"))
+    return members.join(shared, by, "left").select(by, F.coalesce("_all", F.lit("varies")).alias("outcome"))
 
 
 def ledger(definitions: DataFrame, number: str, used: DataFrame) -> DataFrame:
@@ -59,10 +59,10 @@ def slowest(cases: DataFrame, case: str, seconds: str, leg: str, n: int = 10) ->
 
 def first_n(rows: DataFrame, by: str, value: str, n: int) -> DataFrame:
     """`<by>, shown`: the first n distinct values in order, then `and k more`. Only n values of a group are gathered."""
-    each = rows.where(F.col(value).isNotNull()).select(by, F.col(value).cast("string").alias("v")).distinct()
-    order = each.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy("v")))
-    said = order.groupBy(by).agg(F.sort_array(F.collect_list(F.when(F.col("_n") <= n, F.col("v")))).alias("list"), F.count(F.lit(1)).alias("k"))
-    return said.select(by, F.concat(F.array_join("list", ", "), F.when(F.col("k") > n, F.concat(F.lit(" and "), F.col("k") - n, F.lit(" more"))).otherwise("")).alias("shown"))
+    each = rows.where(F.col(value).isNotNull()).select(by, F.col(value).cast("string").alias("_v")).distinct()
+    order = each.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy("_v")))
+    said = order.groupBy(by).agg(F.sort_array(F.collect_list(F.when(F.col("_n") <= n, F.col("_v")))).alias("_list"), F.count(F.lit(1)).alias("_k"))
+    return said.select(by, F.concat(F.array_join("_list", ", "), F.when(F.col("_k") > n, F.concat(F.lit(" and "), F.col("_k") - n, F.lit(" more"))).otherwise("")).alias("shown"))
 
 
 def area_grid(cases: DataFrame, area: Column, leg: str, legs: Sequence[str], status: str, seconds: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,13 +15,41 @@ from plainsift.shared import ship
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def folder(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """`path, modificationTime, length, content, relative` of every file below root."""
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """`path, relative, link, length` of every file below a mounted folder, links listed but never followed."""
+    rows = []
+    for place, folders, names in os.walk(root):
+        for name in sorted([*names, *[f for f in folders if os.path.islink(os.path.join(place, f))]]):
+            path = os.path.join(place, name)
+            stat = os.lstat(path)
+            rows.append((path, os.path.relpath(path, root).replace(os.sep, "/"), os.path.islink(path), stat.st_size))
+    return spark.createDataFrame(rows, "path string, relative string, link boolean, length bigint")
+
+
+def folder(spark: SparkSession, root: str, per_task: int = 64) -> DataFrame:
+    """`path, relative, length, content` of every file below root; a link has no content.
+
+    A mounted folder is listed on the driver and read by the tasks, `per_task` files each: unlike the built-in reader this
+    also sees empty files and names that begin with `_` or `.`. Other file systems are read by the built-in reader.
+    """
     ship(spark)
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    found = (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
-    base = root.split(":", 1)[-1].strip("/")
-    return found.withColumn("relative", F.substring_index("path", base + "/", -1))
+    if "://" in root and not root.startswith("file://"):
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        base = root.split("://", 1)[-1].strip("/")
+        return found.select("path", F.substring_index("path", base + "/", -1).alias("relative"), "length", "content")
+    files = listing(spark, root.removeprefix("file://"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, relative, link, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                content = None
+                if not link:
+                    with open(path, "rb") as file:
+                        content = file.read()
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([relative]), pa.array([length], pa.int64()), pa.array([content], pa.binary())], names=["path", "relative", "length", "content"])
+
+    tasks = max(1, -(-files.count() // per_task))
+    return files.repartition(tasks).mapInArrow(run, "path string, relative string, length bigint, content binary")
 
 
 def records(files: DataFrame, key: str, content: str) -> DataFrame:
