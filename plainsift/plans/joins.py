@@ -124,7 +124,7 @@ def positional_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "pos").select("pos", (F.col("a") == F.col("b")).alias("same"))
 
 
-EXIT_CODES = {"cleaned": 0, "kept as text": 0, "kept unscrubbed": 0, "skipped": 5, "dropped": 0, "not supported": 3, "refused": 2, "error": 1}
+EXIT_CODES = {"cleaned": 0, "kept as text": 0, "kept unscrubbed": 0, "skipped": 8, "dropped": 0, "not supported": 3, "refused": 4, "error": 1}
 
 
 def exit_code_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:

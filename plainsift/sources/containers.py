@@ -11,15 +11,15 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from functools import lru_cache
+from typing import NamedTuple
 
 
 class Malformed(ValueError):
     """A file whose structure can't be accounted for."""
 
 
-@dataclass(frozen=True)
-class Part:
+class Part(NamedTuple):
     """size bytes at a place, of which the first `head` and the last `tail` frame the payload; `more` is up to the walker."""
 
     kind: str
@@ -250,12 +250,10 @@ def flac(data: bytes) -> Iterator[Part]:
     yield Part("audio", at, len(data) - at)
 
 
-def _mpeg_frame(data: bytes, at: int) -> int:
-    """The length of the layer III frame at a place, or 0."""
-    if at + 4 > len(data) or data[at] != 0xFF or data[at + 1] & 0xE0 != 0xE0:
-        return 0
-    version, layer, rate, sampling, pad = data[at + 1] >> 3 & 3, data[at + 1] >> 1 & 3, data[at + 2] >> 4, data[at + 2] >> 2 & 3, data[at + 2] >> 1 & 1
-    if version == 1 or layer != 1 or rate in (0, 15) or sampling == 3:
+@lru_cache(1 << 16)
+def _frame_length(first: int, second: int) -> int:
+    version, layer, rate, sampling, pad = first >> 3 & 3, first >> 1 & 3, second >> 4, second >> 2 & 3, second >> 1 & 1
+    if first & 0xE0 != 0xE0 or version == 1 or layer != 1 or rate in (0, 15) or sampling == 3:
         return 0
     # kbit/s of layer III for MPEG 1, and for MPEG 2 and 2.5.
     kbps = ((32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320) if version == 3 else (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160))[rate - 1]
@@ -263,6 +261,11 @@ def _mpeg_frame(data: bytes, at: int) -> int:
     return (144 if version == 3 else 72) * kbps * 1000 // hertz + pad
 
 
+def _mpeg_frame(data: bytes, at: int) -> int:
+    """The length of the layer III frame at a place, or 0."""
+    return _frame_length(data[at + 1], data[at + 2]) if at + 4 <= len(data) and data[at] == 0xFF else 0
+
+
 def mp3(data: bytes) -> Iterator[Part]:
     """A tag, up to 8192 bytes before the first frame, frames one after the other, and what follows them."""
     at = _id3_size(data)
@@ -272,8 +275,8 @@ def mp3(data: bytes) -> Iterator[Part]:
     _need(first is not None, "no frames")
     if first > at:
         yield Part("before audio", at, first - at)
-    at = first
-    while (n := _mpeg_frame(data, at)) and at + n <= len(data):
+    at, end = first, len(data)
+    while at + 4 <= end and data[at] == 0xFF and (n := _frame_length(data[at + 1], data[at + 2])) and at + n <= end:
         yield Part("frame", at, n, 4)
         at += n
     while at < len(data):
