@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plainsift.llm import binpack, bpe, lookalike, selection, terms
 from plainsift.operators.packed import unpack, value_code
+from plainsift.plans.pipeline import ITEMS_SQL
 from plainsift.shared import clean, current_rows, materialize, table
 
 PERCENTS = (50, 90, 99)
@@ -102,7 +103,32 @@ def _percentile_sql(by: str) -> str:
     return f"select {by}, metric, n, {picked} from (select *, row_number() over (partition by {by}, metric order by value) rn, count(*) over (partition by {by}, metric) n from sizes) group by {by}, metric, n"
 
 
+_TERMS = (
+    f"with {ITEMS_SQL}, pairs as (select field_name, item term, row_id from items where field_name = 'removed_fields' union all select 'format', lower(trim(format, ' ' || chr(9) || chr(10) || chr(13))), row_id from latest), "
+    "counts as (select field_name, term, count(*) occurrences, count(distinct row_id) records from pairs where term <> '' group by 1, 2), "
+    "marked as (select *, case when records <= 2 then 'rare' when records > 0.1 * (select count(*) from latest) then 'common' end mark from counts) "
+)
+def _looks_sql() -> str:
+    """One form of every text in SQL: composed, mapped character by character, composed again. What has no composed form
+    after mapping would be missed; the operator decomposes first and has no such gap."""
+    import sys
+    import unicodedata
+
+    to, unseen = lookalike.tables()
+    to = dict(to)
+    for c in map(chr, range(0xC0, min(sys.maxunicode, 0x2000))):
+        full = unicodedata.normalize("NFD", c)
+        if len(full) > 1 and full[0] in to and len(form := unicodedata.normalize("NFC", to[full[0]] + full[1:])) == 1:
+            to[c] = form
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    form = f"nfc_normalize(translate(nfc_normalize(text), {quoted(''.join(to) + ''.join(c for c in unseen if c > ' '))}, {quoted(''.join(to.values()))}))"
+    return f"with f as (select doc_id, text, {form} form from documents where text is not null), v as (select * from f where regexp_matches(form, '[^\\s]')) select a.doc_id doc_id_a, b.doc_id doc_id_b from v a join v b on a.form = b.form and a.doc_id < b.doc_id and a.text <> b.text"
+
+
 SQL = {
+    "p9_found": _looks_sql(),
+    "p1_terms": _TERMS + "select * from marked",
+    "p1_found": _TERMS + "select field_name, term, mark from marked where mark is not null",
     "p1_formats": f"with {_RECORDS}, counts as (select 'format' field_name, format term, count(*) occurrences, count(distinct row_id) records from records where format <> '' group by 2) "
     "select *, case when records <= 2 then 'rare' when records > 0.1 * (select count(*) from records) then 'common' end mark from counts",
     "p4_percentiles": f"with {_RECORDS}, sizes as (select coalesce(format, '') format, day, 'bytes_before' metric, bytes_before as value from records where bytes_before >= 0 union all select coalesce(format, ''), day, 'bytes_after', bytes_after from records where bytes_after >= 0), "
