@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plainsift.operators import folder, variance
+from plainsift.operators import folder, guard, variance
 from plainsift.operators.cleaning import clean
-from plainsift.shared import table
+from plainsift.shared import ship, table
 from plainsift.sources import files, fixtures
 from plainsift.sources.containers import pack_toyf
 from plainsift.streaming.folder import sessions as session_counts
@@ -86,6 +86,14 @@ def harness_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.split_part("feature_id", F.lit("|"), F.lit(1)).alias("stub")).agg(F.max("leak").alias("leaks"), F.max("floor").alias("noisy"))
 
 
+def guard_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toy cleaners held against inputs of different contents: which leave a mark of their own."""
+    inputs = [pack_toyf(f"content {n} {'xyz'[n] * (n + 3)}".encode(), [(7, bytes([65 + n]) * 16)]) for n in range(3)]
+    trials = [(stub, data, run(data)) for stub, run in STUBS.items() if run for data in inputs]
+    ship(spark)
+    return guard.tool_verdicts(spark.createDataFrame(trials, "tool string, input binary, output binary"), [b"TOYF", b"\0"])
+
+
 def tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events per hour and type."""
     return windowed_counts(table(spark, sf_dir, "events"), "1 hour")
@@ -101,7 +109,7 @@ def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session_counts(table(spark, sf_dir, "events"), "3 hours")
 
 
-QUERIES = {f.__name__: f for f in (toy_records, toy_rebuilt, png_parts, made_parts, cleaned_folder, cleaned_twice, harness_gate, tumbling, sliding, user_sessions)}
+QUERIES = {f.__name__: f for f in (toy_records, toy_rebuilt, png_parts, made_parts, cleaned_folder, cleaned_twice, harness_gate, guard_gate, tumbling, sliding, user_sessions)}
 
 _REMOVED = {"toyf": 1, "png": 1, "jpeg": 2, "gif": 1, "webp": 1, "flac": 1, "mp3": 2, "bmp": 1, "svg": 2, "mp4": 1, "tiff": 1, "zip": 1, "docx": 1, "empty": 0}
 _KIND = "[" + ", ".join(f"'{k}'" for k in fixtures.KINDS) + f"][doc_id % {len(fixtures.KINDS)} + 1]"
@@ -117,6 +125,7 @@ union all select doc_id, 2, 'record 16', 8 + octet_length(b) + 3 + octet_length(
     + " end removed, case k when 'text' then 'plain text has no metadata container' when 'unknown' then 'a type no handler reads; not copied' when 'empty' then 'empty: nothing to remove' end notes from d",
     "cleaned_twice": f"select {_KIND} format, count(*) n, true stable from documents where {_KIND} not in ('text', 'unknown', 'empty') group by 1",
     "harness_gate": "select * from (values ('clean', false, false), ('leaky', true, false), ('version', false, false), ('noisy', false, true)) t(stub, leaks, noisy)",
+    "guard_gate": "select * from (values ('clean', 'pass', null), ('leaky', 'pass', null), ('version', 'fail', 'c' || chr(0) || chr(5) || 'tag-1')) t(tool, verdict, signature)",
     "tumbling": "select time_bucket(interval '1 hour', ts) window_start, event_type, count(*) n from events group by 1, 2",
     "sliding": "select window_start, event_type, count(*) n from (select time_bucket(interval '1 hour', ts) - to_hours(k) window_start, event_type from events, unnest([0, 1]) t(k)) group by 1, 2",
     "user_sessions": "with m as (select user_id, ts, case when ts >= lag(ts) over (partition by user_id order by ts) + interval '3 hours' then 1 else 0 end fresh from events), s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) k from m) select user_id, min(ts) session_start, count(*) n from s group by user_id, k",
