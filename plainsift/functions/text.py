@@ -93,3 +93,15 @@ def bar(share: Column, width: int = 20) -> Column:
     """A share from 0 to 1 as a bar of full and empty blocks."""
     full = F.round(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * width).cast("int")
     return F.concat(F.repeat(F.lit("█"), full), F.repeat(F.lit("░"), F.lit(width) - full))
+
+
+def data_uris(col: Column) -> Column:
+    """The data URIs of a text, each with its type and its decoded bytes; what doesn't decode gives null bytes."""
+    found = F.regexp_extract_all(col, F.lit(r"(data:[a-zA-Z0-9.+/-]*(?:;[a-zA-Z0-9.=-]+)*(?:;base64)?,[A-Za-z0-9+/=%._~-]*)"), F.lit(1))
+
+    def one(uri: Column) -> Column:
+        head, body = F.substring_index(uri, ",", 1), F.substring_index(uri, ",", -1)
+        content = F.when(head.endswith(";base64"), F.try_to_binary(body, F.lit("base64"))).otherwise(F.encode(F.try_url_decode(body), "utf-8"))
+        return F.struct(F.regexp_extract(head, "^data:([^;,]*)", 1).alias("type"), content.alias("content"))
+
+    return F.transform(found, one)

@@ -39,8 +39,31 @@ def _png(data: bytes) -> bytes:
     return _kept(data, [p for p in parts("png", data) if p.kind in PNG_KEPT or p.kind == "signature"])
 
 
+def _orientation_segment(value: int) -> bytes:
+    body = b"Exif\0\0MM\0*" + struct.pack(">IHHHIHHI", 8, 1, 0x0112, 3, 1, value, 0, 0)
+    return b"\xff\xe1" + struct.pack(">H", len(body) + 2) + body
+
+
+#: The one form in which an orientation other than the plain one stays, for each value.
+JPEG_ORIENTATION = {_orientation_segment(n): n for n in range(2, 9)}
+
+
+def _orientation(block: bytes) -> int:
+    """The orientation that an Exif block states, or 1."""
+    try:
+        for p in parts("tiff", block[6:]):
+            if p.more and p.more[0] == 0x0112 and p.kind.startswith("IFD0"):
+                order = "little" if block[6:7] == b"I" else "big"
+                value = int.from_bytes(block[6 + p.more[1] : 8 + p.more[1]], order)
+                return value if 2 <= value <= 8 else 1
+    except Malformed:
+        pass
+    return 1
+
+
 def _jpeg(data: bytes) -> bytes:
-    out = []
+    """What draws the picture, with plain JFIF and Adobe blocks, and the orientation alone of an Exif block."""
+    out, turned = [], 1
     for p in parts("jpeg", data):
         if JPEG_KEPT.fullmatch(p.kind):
             out.append(data[p.at : p.end])
@@ -48,9 +71,16 @@ def _jpeg(data: bytes) -> bytes:
             out.append(JPEG_JFIF)
         elif p.kind == "APP14 Adobe" and p.size - p.head >= 12:
             out.append(b"\xff\xee\0\x0eAdobe\0\x64\0\0\0\0" + data[p.at + p.head + 11 : p.at + p.head + 12])
+        elif p.kind == "APP1 Exif" and turned == 1 and (turned := _orientation(p.payload(data))) > 1:
+            out.append(_orientation_segment(turned))
     return b"".join(out)
 
 
+def _is_plain(kind: str, data: bytes, p: Part) -> bool:
+    """Whether a part may stay: by its kind, or as the one form in which an orientation stays."""
+    return _ALLOWED[kind](p) or (kind == "jpeg" and p.kind == "APP1 Exif" and data[p.at : p.end] in JPEG_ORIENTATION)
+
+
 def _gif(data: bytes) -> bytes:
     return _kept(data, [p for p in parts("gif", data) if p.kind in GIF_KEPT])
 
@@ -248,11 +278,11 @@ def residuals(kind: str, data: bytes) -> list[str]:
     """What a cleaned file still has and shouldn't."""
     if kind == "tiff":
         return [p.kind for p in parts("tiff", data) if p.more and (p.more[0] in TIFF_BLANK or p.kind.startswith("GPS ")) and any(data[p.more[1] : p.more[1] + p.more[2]])]
-    return [p.kind for p in parts(kind, data) if not _ALLOWED[kind](p)]
+    return [p.kind for p in parts(kind, data) if not _is_plain(kind, data, p)]
 
 
 def describe(kind: str, data: bytes) -> list[tuple[str, str]]:
     """Locus and value of every part that cleaning would take out or rewrite."""
     if kind == "tiff":
         return [(p.kind, data[p.more[1] : p.more[1] + p.more[2]].hex()) for p in parts("tiff", data) if p.more and p.more[0] in TIFF_BLANK and any(data[p.more[1] : p.more[1] + p.more[2]])]
-    return [(p.kind, p.payload(data)[:4096].decode("latin-1")) for p in parts(kind, data) if not _ALLOWED[kind](p)]
+    return [(p.kind, p.payload(data)[:4096].decode("latin-1")) for p in parts(kind, data) if not _is_plain(kind, data, p)]

@@ -94,3 +94,14 @@ def test_arriving_files(spark, tmp_path):
     run()
     assert {r["path"]: r["outcome"] for r in spark.read.parquet(str(tmp_path / "sheet")).collect()} == {"a.png": "cleaned", "b.txt": "kept as text"}
     assert (tmp_path / "out" / "b.txt").read_bytes() == b"plain"
+
+
+def test_orientation_alone_stays():
+    exif = b"Exif\0\0II*\0" + (8).to_bytes(4, "little") + (2).to_bytes(2, "little") + bytes.fromhex("0f010200040000004d6500000112030001000000".replace("0112", "1201")) + (6).to_bytes(4, "little") + bytes(4)
+    plain = fixtures.jpeg_file(NOTE)
+    turned = plain[:2] + b"\xff\xe1" + (len(exif) + 2).to_bytes(2, "big") + exif + plain[2:]
+    out = cleaning.clean("jpeg", turned)
+    assert b"Me\0" not in out
+    assert [n for s, n in cleaning.JPEG_ORIENTATION.items() if s in out] == [6]
+    assert cleaning.residuals("jpeg", out) == []
+    assert cleaning.clean("jpeg", out) == out
