@@ -250,7 +250,43 @@ def _tiff(data: bytes) -> bytes:
     return bytes(out)
 
 
-CLEANERS: dict[str, Callable[[bytes], bytes]] = {"toyf": _toyf, "png": _png, "jpeg": _jpeg, "gif": _gif, "webp": _webp, "flac": _flac, "mp3": _mp3, "bmp": _bmp, "zip": _zip, "docx": _package, "xlsx": _package, "pptx": _package, "epub": _package, "svg": _svg, "m4a": _iso, "mp4": _iso, "tiff": _tiff}
+_PDF_STRING = re.compile(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]*>(?!>)", re.S)
+_PDF_ID = re.compile(rb"/ID\s*\[\s*<([0-9A-Fa-f\s]*)>\s*<([0-9A-Fa-f\s]*)>\s*\]")
+_PDF_STREAM = re.compile(rb"stream\r?\n(.*?)endstream", re.S)
+
+
+def _pdf_places(data: bytes) -> list[tuple[str, int, int]]:
+    """Locus, start and end of what tells about a document: strings of its information, its metadata packets, its ids.
+
+    Nothing moves, so what can't be seen in place is refused: encrypted files and objects packed in streams."""
+    walked = parts("pdf", data)
+    if b"/Encrypt" in data:
+        raise Malformed("an encrypted document")
+    if b"/ObjStm" in data:
+        raise Malformed("objects packed in streams")
+    told = {f"object {int(n)} {int(g)}" for n, g in re.findall(rb"/Info\s+(\d{1,10})\s+(\d{1,5})\s+R", data)}
+    out = []
+    for p in walked:
+        if not p.kind.startswith("object "):
+            continue
+        start, end = p.at + p.head, p.end - p.tail
+        body = data[start:end]
+        if p.kind in told:
+            out += [(f"{p.kind} string", start + m.start() + 1, start + m.end() - 1) for m in _PDF_STRING.finditer(body)]
+        if re.search(rb"/Type\s*/Metadata\b", body) and (m := _PDF_STREAM.search(body)):
+            out.append((f"{p.kind} metadata", start + m.start(1), start + m.end(1)))
+    out += [("identifier", *m.span(k)) for m in _PDF_ID.finditer(data) for k in (1, 2)]
+    return [(n, a, b) for n, a, b in out if data[a:b].strip(b" 0\r\n")]
+
+
+def _pdf(data: bytes) -> bytes:
+    out = bytearray(data)
+    for name, a, b in _pdf_places(data):
+        out[a:b] = (b"0" if name == "identifier" or data[a - 1 : a] == b"<" else b" ") * (b - a)
+    return bytes(out)
+
+
+CLEANERS: dict[str, Callable[[bytes], bytes]] = {"toyf": _toyf, "png": _png, "jpeg": _jpeg, "gif": _gif, "webp": _webp, "flac": _flac, "mp3": _mp3, "bmp": _bmp, "zip": _zip, "docx": _package, "xlsx": _package, "pptx": _package, "epub": _package, "svg": _svg, "m4a": _iso, "mp4": _iso, "tiff": _tiff, "pdf": _pdf}
 _ALLOWED: dict[str, Callable[[Part], bool]] = {
     "toyf": lambda p: p.kind == "content",
     "png": lambda p: p.kind in PNG_KEPT or p.kind == "signature",
@@ -276,6 +312,8 @@ def clean(kind: str, data: bytes) -> bytes:
 
 def residuals(kind: str, data: bytes) -> list[str]:
     """What a cleaned file still has and shouldn't."""
+    if kind == "pdf":
+        return [n for n, _, _ in _pdf_places(data)]
     if kind == "tiff":
         return [p.kind for p in parts("tiff", data) if p.more and (p.more[0] in TIFF_BLANK or p.kind.startswith("GPS ")) and any(data[p.more[1] : p.more[1] + p.more[2]])]
     return [p.kind for p in parts(kind, data) if not _is_plain(kind, data, p)]
@@ -283,6 +321,8 @@ def residuals(kind: str, data: bytes) -> list[str]:
 
 def describe(kind: str, data: bytes) -> list[tuple[str, str]]:
     """Locus and value of every part that cleaning would take out or rewrite."""
+    if kind == "pdf":
+        return [(n, data[a:b].decode("latin-1")) for n, a, b in _pdf_places(data)]
     if kind == "tiff":
         return [(p.kind, data[p.more[1] : p.more[1] + p.more[2]].hex()) for p in parts("tiff", data) if p.more and p.more[0] in TIFF_BLANK and any(data[p.more[1] : p.more[1] + p.more[2]])]
     return [(p.kind, p.payload(data)[:4096].decode("latin-1")) for p in parts(kind, data) if not _is_plain(kind, data, p)]

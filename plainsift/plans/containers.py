@@ -111,7 +111,7 @@ def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (toy_records, toy_rebuilt, png_parts, made_parts, cleaned_folder, cleaned_twice, harness_gate, guard_gate, tumbling, sliding, user_sessions)}
 
-_REMOVED = {"toyf": 1, "png": 1, "jpeg": 2, "gif": 1, "webp": 1, "flac": 1, "mp3": 2, "bmp": 1, "svg": 2, "mp4": 1, "tiff": 1, "zip": 1, "docx": 1, "empty": 0}
+_REMOVED = {"toyf": 1, "png": 1, "jpeg": 2, "gif": 1, "webp": 1, "flac": 1, "mp3": 2, "bmp": 1, "svg": 2, "mp4": 1, "tiff": 1, "zip": 1, "docx": 1, "pdf": 4, "empty": 0}
 _KIND = "[" + ", ".join(f"'{k}'" for k in fixtures.KINDS) + f"][doc_id % {len(fixtures.KINDS)} + 1]"
 SQL = {
     "toy_records": """with d as (select doc_id, encode(text) b, encode(coalesce(source, '')) s, encode(coalesce(doc_kind, '')) k from documents where text is not null)

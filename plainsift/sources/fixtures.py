@@ -86,6 +86,12 @@ def docx_file(note: bytes) -> bytes:
     return zip_bytes([("[Content_Types].xml", types), ("docProps/core.xml", b"<c>" + note + b"</c>"), ("word/document.xml", b'<w:p w:rsidR="00AA"/>')])
 
 
+def pdf_file(note: bytes) -> bytes:
+    """A catalogue, its information and a metadata packet; the cross-reference table is left to readers to rebuild."""
+    safe = bytes(b for b in note if b not in b"()\\<>\r\n")
+    return b"%PDF-1.4\n1 0 obj<</Type/Catalog/Metadata 3 0 R>>endobj\n2 0 obj<</Author(" + safe + b")>>endobj\n3 0 obj<</Type/Metadata/Length " + str(len(safe)).encode() + b">>stream\n" + safe + b"\nendstream endobj\ntrailer<</Root 1 0 R/Info 2 0 R/ID[<AB12><AB12>]>>\n%%EOF\n"
+
+
 MAKERS = {
     "toyf": lambda note: pack_toyf(b"content", [(7, note[:65535])]),
     "png": png_file,
@@ -100,6 +106,7 @@ MAKERS = {
     "tiff": tiff_file,
     "zip": zip_file,
     "docx": docx_file,
+    "pdf": pdf_file,
     "text": lambda note: b"plain text",
     "unknown": lambda note: b"\0\1\2 unknown",
     "empty": lambda note: b"",

@@ -18,7 +18,7 @@ def test_recognised_walked_cleaned(kind):
     data = fixtures.MAKERS[kind](NOTE)
     assert containers.recognise(data) == kind
     walked = containers.parts(kind, data)
-    if kind not in ("svg", "mp4", "tiff", "zip", "docx"):
+    if kind not in ("svg", "mp4", "tiff", "zip", "docx", "pdf"):
         assert sum(p.size for p in walked) == len(data)
     out = cleaning.clean(kind, data)
     assert cleaning.residuals(kind, out) == []
@@ -105,3 +105,11 @@ def test_orientation_alone_stays():
     assert [n for s, n in cleaning.JPEG_ORIENTATION.items() if s in out] == [6]
     assert cleaning.residuals("jpeg", out) == []
     assert cleaning.clean("jpeg", out) == out
+
+
+def test_documents_that_hide_are_refused():
+    plain = fixtures.pdf_file(NOTE)
+    assert len(cleaning.clean("pdf", plain)) == len(plain)
+    for sign in (b"/Encrypt 9 0 R", b"/ObjStm"):
+        with pytest.raises(containers.Malformed):
+            cleaning.clean("pdf", plain.replace(b"trailer<<", b"trailer<<" + sign))
