@@ -143,9 +143,10 @@ def capability_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the run may pass: no error, and every handler's format seen."""
     rows = _records(spark, sf_dir, "format", "outcome").withColumn("format", F.lower(clean(F.col("format"))))
-    missing = table(spark, sf_dir, "handlers").select("format").join(rows.select("format"), "format", "left_anti").agg(F.count(F.lit(1)).alias("missing"))
-    failed = rows.agg(F.count_if(F.col("outcome") == "error").alias("failed"))
-    return failed.join(missing, F.lit(True)).select("failed", "missing", ((F.col("failed") == 0) & (F.col("missing") == 0)).alias("ok"))
+    missing = table(spark, sf_dir, "handlers").select("format").join(rows.select("format"), "format", "left_anti")
+    marks = rows.select((F.col("outcome") == "error").cast("int").alias("failed"), F.lit(0).alias("missing")).unionByName(missing.select(F.lit(0).alias("failed"), F.lit(1).alias("missing")))
+    told = marks.agg(F.coalesce(F.sum("failed"), F.lit(0)).alias("failed"), F.coalesce(F.sum("missing"), F.lit(0)).alias("missing"))
+    return told.select("failed", "missing", ((F.col("failed") == 0) & (F.col("missing") == 0)).alias("ok"))
 
 
 def memory_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,10 +25,11 @@ def nearest_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def loo_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of queries whose nearest other vector has their label, against chance."""
-    found = nearest_neighbour(spark, sf_dir)
-    n_labels = _vectors(spark, sf_dir).agg(F.count_distinct("label").alias("k"))
-    hits = found.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("query_label") == F.col("neighbour_label")).alias("hits"))
-    return hits.join(n_labels, F.lit(True)).select("n", "hits", F.round(F.col("hits") / F.col("n"), 6).alias("accuracy"), F.round(1 / F.col("k"), 6).alias("chance"))
+    none = F.lit(None)
+    found = nearest_neighbour(spark, sf_dir).select((F.col("query_label") == F.col("neighbour_label")).cast("int").alias("hit"), none.cast("bigint").alias("label"))
+    every = found.unionByName(_vectors(spark, sf_dir).select(none.cast("int").alias("hit"), "label"))
+    told = every.agg(F.count("hit").alias("n"), F.coalesce(F.sum("hit"), F.lit(0)).alias("hits"), F.count_distinct("label").alias("k"))
+    return told.select("n", "hits", F.round(F.try_divide("hits", "n"), 6).alias("accuracy"), F.round(F.try_divide(F.lit(1), F.col("k")), 6).alias("chance"))
 
 
 def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
