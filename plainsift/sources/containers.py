@@ -611,11 +611,21 @@ def _quiet(walk: Callable[[bytes], Iterator[Part]], data: bytes) -> list[Part]:
         return []
 
 
+_RECENT: list[tuple[str, bytes, list[Part]]] = []
+
+
 def parts(kind: str, data: bytes) -> list[Part]:
-    """The parts of a file of a kind; Malformed if the kind is unknown or the file isn't accounted for."""
+    """The parts of a file of a kind; Malformed if the kind is unknown or the file isn't accounted for.
+
+    The last walk is remembered, since a clean asks for the parts of one and the same file several times in a row."""
+    if _RECENT and _RECENT[0][0] == kind and _RECENT[0][1] is data:
+        return _RECENT[0][2]
     walk = WALKERS.get(kind)
     _need(walk is not None, f"no walker for {kind}")
     try:
-        return list(walk(data))
+        found = list(walk(data))
     except (struct.error, UnicodeDecodeError, IndexError) as e:
         raise Malformed("the file ends too soon") from e
+    if isinstance(data, bytes):  # what may be changed in place isn't remembered
+        _RECENT[:] = [(kind, data, found)]
+    return found
