@@ -12,7 +12,8 @@ import struct
 import zlib
 from collections.abc import Callable
 
-from plainsift.sources.containers import Malformed, Part, member_bytes, parts
+from plainsift.operators import packages
+from plainsift.sources.containers import Malformed, Part, member_bytes, parts, recognise
 
 # The parts that define a picture or its rendering, and the parts of a film that may go.
 PNG_KEPT = frozenset(["IHDR", "PLTE", "IDAT", "IEND", "tRNS", "gAMA", "cHRM", "sRGB", "sBIT", "bKGD", "acTL", "fcTL", "fdAT"])
@@ -24,6 +25,7 @@ ISO_KEPT = frozenset(["ftyp", "moov", "mdat"])
 ISO_GONE = frozenset(["udta", "meta", "uuid", "free", "skip", "wide"])
 ISO_REFUSED = frozenset(["moof", "mfra", "sidx", "styp", "ssix", "emsg", "sinf", "pssh", "schm", "frma", "senc", "tenc"])
 TIFF_BLANK = frozenset([0x010E, 0x0131, 0x0132, 0x013C, 0x9003, 0x9004, 0x9010, 0x9011, 0x9012, 0x9290, 0x9291, 0x9292, 0x9286, 0xC62F, 0xC68B, 0x010D, 0x011D, 0x010F, 0x0110, 0x013B, 0x8298, 0x9C9B, 0x9C9C, 0x9C9D, 0x9C9E, 0x9C9F, *range(0xA430, 0xA43D), 0xA420, 0x02BC, 0x83BB, 0x8649, 0x927C])
+PACKAGES = ("docx", "xlsx", "pptx", "epub")
 PACKAGE_GONE = re.compile(r"docProps/(?:core|app|custom)\.xml|docProps/thumbnail\..*|.*/printerSettings/.*|customXml/.*|__MACOSX/.*|(?:.*/)?(?:\.DS_Store|Thumbs\.db|\._.*)")
 
 
@@ -157,23 +159,37 @@ def _zip(data: bytes) -> bytes:
     return zip_bytes(out)
 
 
-def _package(data: bytes) -> bytes:
-    from plainsift.sources.containers import recognise
+def _members(data: bytes) -> dict[str, bytes]:
+    return {p.more[0]: member_bytes(data, p) for p in parts("zip", data) if p.kind.startswith("member ")}
 
-    members = [(p.more[0], member_bytes(data, p)) for p in parts("zip", data) if p.kind.startswith("member ")]
-    kept = []
-    for name, content in members:
-        if PACKAGE_GONE.fullmatch(name):
-            continue
-        if name == "[Content_Types].xml" or name.endswith(".rels"):
-            content = re.sub(rb'<(?:Override|Relationship)\b[^>]*(?:docProps/|customXml/|printerSettings/)[^>]*/>', b"", content)
-        elif name.endswith(".xml"):
-            content = re.sub(rb'\s(?:w:rsid\w*|w14:paraId|w14:textId)="[^"]*"', b"", content)
-        elif (kind := recognise(content)) in CLEANERS and kind not in ("docx", "xlsx", "pptx", "epub", "zip"):
-            content = CLEANERS[kind](content)
-        kept.append((name, content))
-    kept.sort(key=lambda m: (m[0] != "mimetype", m[0] != "[Content_Types].xml", m[0]))
-    return zip_bytes(kept)
+
+def _opened(kind: str, members: dict[str, bytes]) -> tuple[dict[str, bytes], list[tuple[str, bytes]]]:
+    """The members of a cleaned package, and locus and value of all that goes: whole members, then what stood in others."""
+    if kind == "epub":
+        kept, told, gone = packages.epub(members, clean)
+    else:
+        kept, told = packages.office(kind, members, clean)
+        gone = {n for n in members if packages.GONE[kind].fullmatch(n) and not n.endswith("/")}
+    return kept, [(f"member {n}", members[n]) for n in members if n in gone] + told
+
+
+def _package(kind: str) -> Callable[[bytes], bytes]:
+    def run(data: bytes) -> bytes:
+        kept, _ = _opened(kind, _members(data))
+        return zip_bytes(sorted(kept.items(), key=lambda m: (m[0] != "mimetype", m[0] != "[Content_Types].xml", m[0])))
+
+    return run
+
+
+def _package_left(kind: str, data: bytes) -> list[str]:
+    """What a second cleaning would still take from a package, and what the rules of embedded files still find."""
+    members = _members(data)
+    kept, told = _opened(kind, members)
+    left = [n for n, _ in told] + [f"{n}: still changes" for n in sorted(members) if kept.get(n) != members[n]]
+    for name, content in members.items():
+        if not name.endswith((".xml", ".rels", ".vml", ".odttf")) and (inner := recognise(content)) in CLEANERS and inner not in packages.ARCHIVES:
+            left += [f"{name}: {r}" for r in residuals(inner, content)]
+    return left
 
 
 def _svg(data: bytes) -> bytes:
@@ -286,7 +302,7 @@ def _pdf(data: bytes) -> bytes:
     return bytes(out)
 
 
-CLEANERS: dict[str, Callable[[bytes], bytes]] = {"toyf": _toyf, "png": _png, "jpeg": _jpeg, "gif": _gif, "webp": _webp, "flac": _flac, "mp3": _mp3, "bmp": _bmp, "zip": _zip, "docx": _package, "xlsx": _package, "pptx": _package, "epub": _package, "svg": _svg, "m4a": _iso, "mp4": _iso, "tiff": _tiff, "pdf": _pdf}
+CLEANERS: dict[str, Callable[[bytes], bytes]] = {"toyf": _toyf, "png": _png, "jpeg": _jpeg, "gif": _gif, "webp": _webp, "flac": _flac, "mp3": _mp3, "bmp": _bmp, "zip": _zip, **{k: _package(k) for k in PACKAGES}, "svg": _svg, "m4a": _iso, "mp4": _iso, "tiff": _tiff, "pdf": _pdf}
 _ALLOWED: dict[str, Callable[[Part], bool]] = {
     "toyf": lambda p: p.kind == "content",
     "png": lambda p: p.kind in PNG_KEPT or p.kind == "signature",
@@ -299,7 +315,7 @@ _ALLOWED: dict[str, Callable[[Part], bool]] = {
     "svg": lambda p: p.kind not in ("comment", "instruction") and p.kind.rpartition(" ")[2] != "metadata",
     "m4a": lambda p: p.kind.rpartition("/")[2] not in ISO_GONE,
     "mp4": lambda p: p.kind.rpartition("/")[2] not in ISO_GONE,
-    **{k: lambda p: not (p.kind.startswith("member ") and PACKAGE_GONE.fullmatch(p.more[0])) for k in ("zip", "docx", "xlsx", "pptx", "epub")},
+    "zip": lambda p: not (p.kind.startswith("member ") and PACKAGE_GONE.fullmatch(p.more[0])),
 }
 
 
@@ -312,6 +328,8 @@ def clean(kind: str, data: bytes) -> bytes:
 
 def residuals(kind: str, data: bytes) -> list[str]:
     """What a cleaned file still has and shouldn't."""
+    if kind in PACKAGES:
+        return _package_left(kind, data)
     if kind == "pdf":
         return [n for n, _, _ in _pdf_places(data)]
     if kind == "tiff":
@@ -321,6 +339,8 @@ def residuals(kind: str, data: bytes) -> list[str]:
 
 def describe(kind: str, data: bytes) -> list[tuple[str, str]]:
     """Locus and value of every part that cleaning would take out or rewrite."""
+    if kind in PACKAGES:
+        return [(n, v.decode("latin-1")) for n, v in _opened(kind, _members(data))[1]]
     if kind == "pdf":
         return [(n, data[a:b].decode("latin-1")) for n, a, b in _pdf_places(data)]
     if kind == "tiff":

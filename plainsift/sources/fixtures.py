@@ -86,6 +86,65 @@ def docx_file(note: bytes) -> bytes:
     return zip_bytes([("[Content_Types].xml", types), ("docProps/core.xml", b"<c>" + note + b"</c>"), ("word/document.xml", b'<w:p w:rsidR="00AA"/>')])
 
 
+def docx_named(note: bytes, inside: bytes = b"", extra: dict[str, bytes] | None = None) -> bytes:
+    """A package whose settings, people, picture and relationships carry the note beside its properties."""
+    w = b'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:w14="http://schemas.microsoft.com/office/word/2010/wordml" xmlns:w15="http://schemas.microsoft.com/office/word/2012/wordml"'
+    rels = lambda *r: b'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + b"".join(b'<Relationship Id="rId%d" Type="t" Target="%b"/>' % (n, t) for n, t in enumerate(r)) + b"</Relationships>"
+    members = {
+        "[Content_Types].xml": b'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="xml" ContentType="x"/><Override PartName="/word/people.xml" ContentType="x"/></Types>',
+        "_rels/.rels": rels(b"word/document.xml", b"docProps/core.xml"),
+        "docProps/core.xml": b'<c xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:creator>' + note + b"</dc:creator></c>",
+        "word/_rels/document.xml.rels": rels(b"settings.xml", b"people.xml", b"media/a.png"),
+        "word/document.xml": b"<w:document " + w + b'><w:body><!--' + note + b'--><w:p w:rsidR="00AA" w14:paraId="11"><w:r><w:t>shown</w:t></w:r>' + inside + b"</w:p></w:body></w:document>",
+        "word/settings.xml": b"<w:settings " + w + b'><w:attachedTemplate r:id="rId0" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"/><w:rsids><w:rsidRoot w:val="00AA"/><w:rsid w:val="00AA"/></w:rsids><w14:docId w14:val="1F"/><w15:docId w15:val="{2F}"/></w:settings>',
+        "word/_rels/settings.xml.rels": rels(b"x").replace(b'Target="x"', b'Target="file:///' + note + b'" TargetMode="External"'),
+        "word/people.xml": b"<w15:people " + w + b'><w15:person w15:author="' + note + b'"/></w15:people>',
+        "word/media/a.png": png_file(note),
+    }
+    return zip_bytes(list((members | (extra or {})).items()))
+
+
+def xlsx_file(note: bytes, extra: dict[str, bytes] | None = None) -> bytes:
+    """A workbook with its folder, a reservation, a sheet's identifier and a string that no cell uses."""
+    x = b'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006" xmlns:xr="http://schemas.microsoft.com/office/spreadsheetml/2014/revision"'
+    members = {
+        "[Content_Types].xml": b"<Types/>",
+        "xl/workbook.xml": b"<workbook " + x + b'><fileSharing userName="' + note + b'" readOnlyRecommended="1"/><mc:AlternateContent><mc:Choice Requires="x15"><x15ac:absPath url="' + note + b'" xmlns:x15ac="http://schemas.microsoft.com/office/spreadsheetml/2010/11/ac"/></mc:Choice></mc:AlternateContent><bookViews><workbookView xWindow="5" activeTab="0"/></bookViews></workbook>',
+        "xl/worksheets/sheet1.xml": b"<worksheet " + x + b' xr:uid="{00AA}"><sheetData><row><c t="s"><v>1</v></c></row></sheetData></worksheet>',
+        "xl/sharedStrings.xml": b"<sst " + x + b"><si><t>" + note + b"</t></si><si><t>shown</t></si></sst>",
+    }
+    return zip_bytes(list((members | (extra or {})).items()))
+
+
+def pptx_file(note: bytes, extra: dict[str, bytes] | None = None) -> bytes:
+    """A deck with co-authors, an add-in's data, a shape's identifier and the path of a picture."""
+    members = {
+        "[Content_Types].xml": b"<Types/>",
+        "ppt/presentation.xml": b'<p:presentation xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><p:custDataLst><p:tags r:id="rId1"/></p:custDataLst></p:presentation>',
+        "ppt/_rels/presentation.xml.rels": b'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="t" Target="tags/tag1.xml"/><Relationship Id="rId2" Type="t" Target="slides/slide1.xml"/></Relationships>',
+        "ppt/tags/tag1.xml": b"<t>" + note + b"</t>",
+        "ppt/changesInfos/c.xml": b"<c>" + note + b"</c>",
+        "ppt/slides/slide1.xml": b'<p:sld xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"><p:cNvPr id="1" descr="C:\\Users\\' + note + b'\\a.png"><a:extLst><a:ext uri="{F}"><a16:creationId xmlns:a16="http://schemas.microsoft.com/office/drawing/2014/main" id="{00AA}"/></a:ext></a:extLst></p:cNvPr><a:fld id="{0000AAAA}"/><a:t>shown</a:t></p:sld>',
+    }
+    return zip_bytes(list((members | (extra or {})).items()))
+
+
+def epub_file(note: bytes, extra: dict[str, bytes] | None = None) -> bytes:
+    """A book that names its author in the package document, the navigation, a chapter's head and a picture."""
+    members = {
+        "mimetype": b"application/epub+zip",
+        "META-INF/container.xml": b'<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="o/b.opf" media-type="application/oebps-package+xml"/></rootfiles></container>',
+        "META-INF/calibre_bookmarks.txt": note,
+        "o/b.opf": b'<package xmlns="http://www.idpf.org/2007/opf" unique-identifier="u"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title id="t">Title</dc:title><dc:language>en</dc:language>\n<dc:identifier id="u">urn:uuid:random-of-export</dc:identifier>\n<dc:creator id="c">' + note + b'</dc:creator><dc:contributor>' + note + b'</dc:contributor><dc:date>2024-05-06</dc:date><meta refines="#c" property="role">aut</meta><meta property="dcterms:modified">2024-05-06T07:08:09Z</meta><meta name="generator" content="'
+        + note + b'"/></metadata><manifest><item id="n" href="t.ncx" media-type="application/x-dtbncx+xml"/><item id="a" href="a.xhtml" media-type="application/xhtml+xml"/><item id="p" href="p.png" media-type="image/png"/></manifest></package>',
+        "o/t.ncx": b'<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/"><head><meta name="dtb:uid" content="urn:uuid:random-of-export"/><meta name="made" content="' + note + b'"/></head><docAuthor><text>' + note + b"</text></docAuthor></ncx>",
+        "o/a.xhtml": b'<!DOCTYPE html><html xmlns="http://www.w3.org/1999/xhtml"><head><meta name="author" content="' + note + b'"/><meta name="viewport" content="width=1"/></head><body><p>shown&#160;text</p></body></html>',
+        "o/p.png": png_file(note),
+        "o/unlisted.txt": note,
+    }
+    return zip_bytes(list((members | (extra or {})).items()))
+
+
 def pdf_file(note: bytes) -> bytes:
     """A catalogue, its information and a metadata packet; the cross-reference table is left to readers to rebuild."""
     safe = bytes(b for b in note if b not in b"()\\<>\r\n")
