@@ -7,6 +7,7 @@ Cleaning a cleaned file gives the same bytes.
 
 from __future__ import annotations
 
+import html
 import re
 import struct
 import zlib
@@ -337,12 +338,63 @@ def residuals(kind: str, data: bytes) -> list[str]:
     return [p.kind for p in parts(kind, data) if not _is_plain(kind, data, p)]
 
 
-def describe(kind: str, data: bytes) -> list[tuple[str, str]]:
-    """Locus and value of every part that cleaning would take out or rewrite."""
+def _told(kind: str, data: bytes) -> list[tuple[str, bytes]]:
     if kind in PACKAGES:
-        return [(n, v.decode("latin-1")) for n, v in _opened(kind, _members(data))[1]]
+        return _opened(kind, _members(data))[1]
+    if kind == "zip":
+        return [(p.kind, member_bytes(data, p)) for p in parts(kind, data) if not _is_plain(kind, data, p)]
     if kind == "pdf":
-        return [(n, data[a:b].decode("latin-1")) for n, a, b in _pdf_places(data)]
+        return [(n, data[a:b]) for n, a, b in _pdf_places(data)]
     if kind == "tiff":
-        return [(p.kind, data[p.more[1] : p.more[1] + p.more[2]].hex()) for p in parts("tiff", data) if p.more and p.more[0] in TIFF_BLANK and any(data[p.more[1] : p.more[1] + p.more[2]])]
-    return [(p.kind, p.payload(data)[:4096].decode("latin-1")) for p in parts(kind, data) if not _is_plain(kind, data, p)]
+        blank = [p for p in parts("tiff", data) if p.more and (p.more[0] in TIFF_BLANK or p.kind.startswith("GPS "))]
+        return [(p.kind, data[p.more[1] : p.more[1] + p.more[2]]) for p in blank if any(data[p.more[1] : p.more[1] + p.more[2]])]
+    return [(p.kind, p.payload(data)) for p in parts(kind, data) if not _is_plain(kind, data, p)]
+
+
+def describe(kind: str, data: bytes) -> list[tuple[str, str]]:
+    """Locus and value of every part that cleaning would take out or rewrite, whole; members as they inflate."""
+    return [(n, v.decode("latin-1")) for n, v in _told(kind, data)]
+
+
+# The elements of properties that name people, places or copies, and the values too short to be told apart.
+NAMING = re.compile(r"(?:dc:)?(?:creator|contributor|publisher|rights|source|identifier)|(?:\w+:)?(?:lastModifiedBy|Manager|Company|HyperlinkBase|Template|keywords|lpw?str)|docAuthor|h:meta (?:author|creator)|unused relationship")
+MIN_SEARCHED = 5
+
+
+def removed_values(kind: str, described: list[tuple[str, str]]) -> list[tuple[str, bytes]]:
+    """What a search of the cleaned file looks for, out of its description: locus and value, of removed parts whole, of packages also what names.
+
+    A value counts if it has five bytes that aren't blank or zero. Of a member of properties each naming element is a value
+    of its own, since it may stand alone elsewhere; the other words of a package (`Title`, `en-US`) stand in any document."""
+    found = []
+    for locus, value in [(n, v.encode("latin-1")) for n, v in described]:
+        if kind not in PACKAGES:
+            found.append((locus, value))
+        elif locus.startswith("member "):
+            found.append((locus, value))
+            if value.lstrip(b"\xef\xbb\xbf \r\n\t").startswith(b"<"):
+                found += [(f"{locus} {m[1].decode('latin-1')}", html.unescape(m[2].decode("utf-8", "replace")).encode()) for m in re.finditer(rb"<([\w.:-]+)(?:\s[^<>]*)?>([^<>]+)</", value) if NAMING.fullmatch(m[1].decode("latin-1"))]
+                found += [(f"{locus} {m[1].decode('latin-1')}", html.unescape(m[2].decode("utf-8", "replace")).encode()) for m in re.finditer(rb'\s((?:\w+:)?(?:author|userId|displayName|initials))="([^"]*)"', value)]
+        elif NAMING.fullmatch(locus.rpartition(": ")[2]):
+            found.append((locus, value))
+    return [(n, v.strip(b"\0 \t\r\n")) for n, v in found if sum(b not in b"\0 \t\r\n" for b in v) >= MIN_SEARCHED]
+
+
+def still_readable(kind: str, data: bytes, values: list[tuple[str, bytes]]) -> tuple[list[str], list[str]]:
+    """Loci of the values that a cleaned file still holds: anywhere in it, and only in text that it shows.
+
+    Archives are searched in their bytes and in every member as it inflates; of a member in XML what stands between tags is
+    text that a document shows, which stays by the rules, and all else is not."""
+    if kind != "zip" and kind not in PACKAGES:
+        return sorted({n for n, v in values if v in data}), []
+    held, shown = [data], []
+    for name, body in _members(data).items():
+        held.append(name.encode())
+        if kind in PACKAGES and name.endswith((".xml", ".rels", ".xhtml", ".html", ".htm", ".opf", ".ncx")):
+            plain = lambda b: html.unescape(b.decode("utf-8", "replace")).encode()
+            shown.append(plain(re.sub(rb"<[^>]*>", b"", body)))
+            held += [plain(b"\n".join(re.findall(rb"<[^>]*>", body)))]
+        else:
+            held.append(body)
+    readable = sorted({n for n, v in values if any(v in h for h in held)})
+    return readable, sorted({n for n, v in values if any(v in s for s in shown)} - set(readable))

@@ -78,3 +78,41 @@ def test_hidden_fonts_follow_the_identifier():
     identifier = "urn:uuid:" + after["o/b.opf"].split(b"urn:uuid:")[1][:36].decode()
     assert after["o/f.otf"] != font
     assert _font(after["o/f.otf"], identifier, way) == font
+
+
+def test_a_removed_member_is_searched_in_inflated_ones():
+    long = bytes(n % 251 for n in range(9000))
+    row, out = folder.clean_one("x", cleaning.zip_bytes([("a.bin", b"before" + long + b"after"), ("__MACOSX/._a", long)]))
+    assert (row["outcome"], out) == ("refused", None)
+    assert row["independent_check"] == "disagrees: 1 removed values still readable"
+    row, _ = folder.clean_one("x", cleaning.zip_bytes([("a.bin", b"before" + long[:5000] + b"after"), ("__MACOSX/._a", long)]))
+    assert row["independent_check"] == "none of the removed values found"
+
+
+def test_an_author_in_another_member_is_found():
+    row, out = folder.clean_one("x", fixtures.docx_named(NOTE, extra={"word/numbering.xml": b'<n made="' + NOTE + b'"/>'}))
+    assert (row["outcome"], out) == ("refused", None)
+    assert "docProps/core.xml dc:creator" in row["notes"]
+    row, out = folder.clean_one("x", fixtures.docx_named(NOTE, b"<w:t>by Planted</w:t><w:t> Name</w:t>"))
+    assert row["outcome"] == "cleaned" and out is not None
+    assert row["independent_check"].startswith("2 removed values stand in shown text: ")
+    row, out = folder.clean_one("x", fixtures.epub_file(NOTE, {"o/a.xhtml": b'<html xmlns="http://www.w3.org/1999/xhtml"><body class="' + NOTE + b'"/></html>'}))
+    assert (row["outcome"], out) == ("refused", None)
+
+
+def test_raw_values_of_pictures_are_searched_and_counted():
+    import struct
+
+    entry = lambda tag, kind, n, at: struct.pack("<HHII", tag, kind, n, at)
+    place = b"place of the shot"
+    build = lambda tail: b"II*\0" + struct.pack("<IH", 8, 1) + entry(0x8825, 4, 1, 26) + struct.pack("<I", 0) + struct.pack("<H", 1) + entry(0x001B, 2, len(place), 44) + struct.pack("<I", 0) + place + tail
+    row, _ = folder.clean_one("x", build(b""))
+    assert (row["outcome"], row["removed"], row["removed_fields"]) == ("cleaned", 1, "GPS 001B")
+    assert row["independent_check"] == "none of the removed values found"
+    row, _ = folder.clean_one("x", build(b"again " + place))
+    assert row["independent_check"] == "disagrees: 1 removed values still readable"
+
+
+def test_no_search_is_said():
+    row, _ = folder.clean_one("x", cleaning.zip_bytes([("a.txt", b"plain")]))
+    assert (row["outcome"], row["independent_check"]) == ("cleaned", "not run: no value to search")
