@@ -1,9 +1,9 @@
-"""Frequency of every distinct term: a range-partitioned external sort of (term, record) pairs, scanned in runs.
+"""Frequency of every distinct term: a hash aggregate over range partitions of (term, record) pairs.
 
-Pairs are range-partitioned by field, term and record and sorted within partitions; the sort spills to disk, and since
-the record is part of the range a term of any frequency is spread over as many partitions as it needs. A scan of the
-runs then gives the occurrences of each pair, and from these, in the same order and without another shuffle, the partial
-counts of each term; only one row per term and partition is shuffled to add them up.
+Pairs are range-partitioned by field, term and record; since the record is part of the range, a term of any frequency is
+spread over as many partitions as it needs. The sort within partitions is dropped by the optimiser, as a count needs no
+order. Each partition gives the occurrences of its pairs, and from these, without another shuffle, the partial counts of
+each term; only one row per term and partition is shuffled to add them up.
 
 A null record identifier counts as one record; null and empty terms are no terms. An empty table gives no rows.
 """
