@@ -22,7 +22,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The unequal buckets of the two copies, with the columns unequal in each."""
-    copies = (copydiff.checksums(table(spark, sf_dir, f"cells_{c}"), "cell_id", ["loaded_at"], CELL_FIELDS) for c in ("published", "measured"))
+    copies = [table(spark, sf_dir, f"cells_{c}") for c in ("published", "measured")]
+    bits = copydiff.bucket_bits(max(c.count() for c in copies))
+    copies = (copydiff.checksums(c, "cell_id", ["loaded_at"], CELL_FIELDS, bits) for c in copies)
     return copydiff.unequal_buckets(*copies, list(CELL_FIELDS))
 
 
