@@ -40,6 +40,36 @@ def test_terms_against_counter(spark):
     assert {(x["f"], x["t"]): (x["occurrences"], x["records"]) for x in found} == {k: (n, len(rec[k])) for k, n in occ.items()}
 
 
+def test_runs_across_batches_and_partitions(spark):
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    rows = sorted((rng.choice("fg"), rng.choice("ab"), rng.choice([0, 1, 2, 3])) for _ in range(60))
+    occ, rec = Counter((f, t) for f, t, _ in rows), defaultdict(set)
+    for f, t, r in rows:
+        rec[f, t].add(r)
+    for size in (1, 2, 7, 60):
+        cut = [rows[n : n + size] for n in range(0, 60, size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*c, strict=True)], names=["f", "t", "r"]) for c in cut]
+        found = [tuple(x.values()) for b in terms.run_lengths(iter(batches), "f", "t", "r", 3) for x in b.to_pylist()]
+        assert [(f, t, n, k) for f, t, n, k, *_ in found] == [(f, t, occ[f, t], len(rec[f, t])) for f, t in sorted(occ)]
+
+
+@pytest.mark.parametrize("record", [1, None])
+def test_one_record_that_repeats_one_term_is_spread(spark, record):
+    pairs = spark.createDataFrame([("f", "hot", record)] * 3000 + [("f", "hot", 2), ("f", "x", record)], "f string, t string, r int").repartition(3)
+    runs = terms.sorted_runs(pairs, "f", "t", "r")
+    assert {(r["t"], r["occurrences"], r["records"]) for r in terms.frequencies(pairs, "f", "t", "r").collect()} == {("hot", 3001, 2), ("x", 1, 1)}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert terms.sorted_runs(pairs, "f", "t", "r").where("t = 'hot'").count() > 1
+        assert {(r["t"], r["records"]) for r in terms.frequencies(pairs, "f", "t", "r").collect()} == {("hot", 2), ("x", 1)}
+        plan = runs._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "Sort" in plan[plan.index("MapInArrow") : plan.index("rangepartitioning")], plan
+
+
 def test_marks_and_empty(spark):
     df = spark.createDataFrame([("f", "a", n) for n in range(2)] + [("f", "b", n) for n in range(3)] + [("f", "c", n) for n in range(11)], "f string, t string, r int")
     assert {r["t"]: r["mark"] for r in terms.term_table(df, 100, "f", "t", "r").collect()} == {"a": "rare", "b": None, "c": "common"}
