@@ -48,10 +48,9 @@ def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median, 90th and 99th percentile of both sizes, per format and per format and day; a format that is null or blank is ''."""
-    sizes = _sizes(spark, sf_dir)
-    whole = selection.percentiles(sizes, ["format", "metric"], "value", PERCENTS).withColumn("day", F.lit(None).cast("date")).withColumn("scope", F.lit("all"))
-    days = selection.percentiles(sizes, ["format", "day", "metric"], "value", PERCENTS).withColumn("scope", F.lit("day"))
-    return whole.unionByName(days).select("scope", "format", "day", "metric", "n", *[f"p{p}" for p in PERCENTS])
+    days = _sizes(spark, sf_dir).select(F.lit("day").alias("scope"), "format", "day", "metric", "value")
+    whole = days.withColumns({"scope": F.lit("all"), "day": F.lit(None).cast("date")})
+    return selection.percentiles(days.unionByName(whole), ["scope", "format", "day", "metric"], "value", PERCENTS)
 
 
 def p4_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:

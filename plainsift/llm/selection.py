@@ -1,11 +1,13 @@
 """Exact percentiles per group by distributed multi-select, and summaries of groups that can be merged.
 
-`percentiles`: groups of at most `limit` values are sorted whole, each as one window partition of bounded size. For every
-larger group, and all its ranks at once, rounds narrow the range that holds a rank: each partition proposes the median of
-its values in the range, the weighted median of the proposals becomes the pivot, the values below, at and above it are
-counted, and the part that can't hold the rank is left out. A rank that falls on the pivot is found; a range that has come
-down to `limit` values is sorted like a small group. A group of any size, or one value repeated any number of times, thus
-never meets in one task. There can be at most 1/HOT_SHARE groups above the limit, which bounds what the driver holds.
+`percentiles` works on ranges of values: at first one per group, with the ranks wanted of it. Each round takes all ranges of
+more than `limit` values of all groups at once: every partition proposes the median of its values in a range, the weighted
+median of the proposals becomes the range's pivot, and the values below, at and above it are counted. A rank that falls on the
+pivot is found. The parts below and above that hold a wanted rank are the ranges of the next round; the values of all other
+parts are discarded: what is left is written anew, so a round reads only what the round before has kept. A range that has
+come down to `limit` values is sorted as one window partition. `limit` is a constant and doesn't grow with the data. A
+group of any size, or one value repeated any number of times, never meets in one task. Ranges, ranks and pivots are tables, not
+literals or driver collections: the driver only sees whether a round has left anything open, and Spark joins them by their size.
 
 The p-th percentile of n values is the value of rank ceil(p * n / 100), at least 1: an observed value, with no error.
 Percentiles are whole numbers from 1 to 100. Null values take no part; a null group is a group of its own.
@@ -18,7 +20,7 @@ within 1 / POINTS (0.5 %) of rank.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +28,8 @@ from pyspark.sql.window import Window
 
 from plainsift.shared import materialize
 
-LIMIT = 100_000
-HOT_SHARE = 1 / 2000
+LIMIT = 256
+PART_ROWS = 100_000
 POINTS = 200
 PROPOSAL_ACCURACY = 1000
 
@@ -37,108 +39,78 @@ def _rank(percent: Column | int, n: Column) -> Column:
     return F.greatest(F.lit(1).cast("bigint"), F.floor((F.lit(percent) * n + 99) / 100).cast("bigint"))
 
 
-def _rank_of(percent: int, n: int) -> int:
-    return max(1, (percent * n + 99) // 100)
-
-
-@dataclass
-class _Range:
-    """Of a group, the open range (low, high) of values that holds some ranks, counted within the range."""
-
-    number: int
-    group: int
-    low: object
-    high: object
-    n: int
-    ranks: dict[int, int] = field(default_factory=dict)
-
-
-def _picked(values: DataFrame, by: Sequence[str], value: str, ranks: Column) -> DataFrame:
-    """`by, n, percent, value`: of groups of bounded size, the values at `ranks`, an array of (percent, rank) over `_total`."""
-    part = Window.partitionBy(*by)
-    at = values.withColumn("_rn", F.row_number().over(part.orderBy(value))).withColumn("_total", F.count(F.lit(1)).over(part))
-    hits = at.withColumn("_hits", F.filter(ranks, lambda r: r["rank"] == F.col("_rn"))).where(F.size("_hits") > 0)
-    return hits.select(*by, F.col("_total").alias("n"), F.explode("_hits").alias("_hit"), value).select(*by, "n", F.col("_hit.percent").alias("percent"), value)
-
-
-def _ranges_table(ranges: Sequence[_Range], df: DataFrame, value: str) -> DataFrame:
-    kind = df.schema[value].dataType.simpleString()
-    return df.sparkSession.createDataFrame([(r.number, r.group, r.low, r.high) for r in ranges], f"_range int, _gid int, _low {kind}, _high {kind}")
-
-
-def _within(hot: DataFrame, ranges: Sequence[_Range], value: str) -> DataFrame:
-    """The values of hot groups in any of the ranges. The ranges are few by HOT_SHARE, and broadcast."""
-    few = F.broadcast(_ranges_table(ranges, hot, value))
-    inside = (F.col("_low").isNull() | (F.col(value) > F.col("_low"))) & (F.col("_high").isNull() | (F.col(value) < F.col("_high")))
-    return hot.join(few, "_gid").where(inside).select("_range", value)
-
-
-def multi_select(hot: DataFrame, value: str, groups: dict[int, int], percents: Sequence[int], limit: int) -> list[tuple[int, int, object]]:
-    """(group, percent, value) for the groups `_gid` of hot, given with their sizes."""
-    found: list[tuple[int, int, object]] = []
-    numbers = iter(range(1 << 31))
-    open_ = [_Range(next(numbers), g, None, None, n, {p: _rank_of(p, n) for p in percents}) for g, n in groups.items()]
-    small: list[_Range] = []
-    while open_:
-        active = _within(hot, open_, value)
-        proposals = active.groupBy("_range", F.spark_partition_id().alias("_part")).agg(F.percentile_approx(value, 0.5, PROPOSAL_ACCURACY).alias("_median"), F.count(F.lit(1)).alias("_n"))
-        order = Window.partitionBy("_range").orderBy("_median")
-        weighed = proposals.withColumn("_upto", F.sum("_n").over(order)).withColumn("_all", F.sum("_n").over(Window.partitionBy("_range")))
-        pivots = {r["_range"]: r["_pivot"] for r in weighed.where("_upto * 2 >= _all").groupBy("_range").agg(F.min("_median").alias("_pivot")).collect()}
-        kind = hot.schema[value].dataType.simpleString()
-        pivot_table = F.broadcast(hot.sparkSession.createDataFrame(list(pivots.items()), f"_range int, _pivot {kind}"))
-        counted = active.join(pivot_table, "_range").groupBy("_range").agg(F.count_if(F.col(value) < F.col("_pivot")).alias("below"), F.count_if(F.col(value) == F.col("_pivot")).alias("at")).collect()
-        counts = {r["_range"]: (r["below"], r["at"]) for r in counted}
-        after: list[_Range] = []
-        for r in open_:
-            pivot, (below, at) = pivots[r.number], counts[r.number]
-            left = _Range(next(numbers), r.group, r.low, pivot, below)
-            right = _Range(next(numbers), r.group, pivot, r.high, r.n - below - at)
-            for p, k in r.ranks.items():
-                if k <= below:
-                    left.ranks[p] = k
-                elif k <= below + at:
-                    found.append((r.group, p, pivot))
-                else:
-                    right.ranks[p] = k - below - at
-            after += [x for x in (left, right) if x.ranks]
-        small += [r for r in after if r.n <= limit]
-        open_ = [r for r in after if r.n > limit]
-    if small:
-        ranks = {r.number: r for r in small}
-        wanted = F.create_map(*[x for r in small for x in (F.lit(r.number), F.array(*[F.struct(F.lit(p).alias("percent"), F.lit(k).alias("rank")) for p, k in r.ranks.items()]))])
-        rest = _picked(_within(hot, small, value), ["_range"], value, F.element_at(wanted, F.col("_range")))
-        found += [(ranks[x["_range"]].group, x["percent"], x[value]) for x in rest.collect()]
-    return found
-
-
-def percentiles(values: DataFrame, by: Sequence[str], value: str, percents: Sequence[int], limit: int = LIMIT) -> DataFrame:
-    """`by, n, p<percent>...`: the exact percentiles of the column `value` in each group. values should be a written table:
-    it is read once per round."""
-    known = values.where(F.col(value).isNotNull()).select(*by, value)
-    sizes = materialize(known.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), "group-sizes")
-    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    limit = max(limit, int(total * HOT_SHARE))
-    large = sizes.where(F.col("n") > limit).collect()  # at most 1 / HOT_SHARE groups
-    wanted = F.array(*[F.struct(F.lit(p).alias("percent"), _rank(p, F.col("_total")).alias("rank")) for p in percents])
-    spark = values.sparkSession
-    names = {f"_b{i}": c for i, c in enumerate(by)}
-    kinds = ", ".join(f"{b} {values.schema[c].dataType.simpleString()}" for b, c in names.items())
-    listed = spark.createDataFrame([(*[r[c] for c in by], i) for i, r in enumerate(large)], f"{kinds}, _gid int")
-    same = [F.col(c).eqNullSafe(F.col(b)) for b, c in names.items()]
-    rest = known.join(F.broadcast(listed), same, "left_anti") if large else known
-    long = _picked(rest, by, value, wanted)
-    if large:
-        hot = materialize(known.join(F.broadcast(listed), same).select("_gid", value), "hot-groups")
-        got = multi_select(hot, value, {i: r["n"] for i, r in enumerate(large)}, percents, limit)
-        kind = values.schema[value].dataType.simpleString()
-        rows = [(*[large[g][c] for c in by], large[g]["n"], p, v) for g, p, v in got]
-        # one column per entry of `by`, then the size of the group, the percent and the value
-        long = long.unionByName(spark.createDataFrame(rows, ", ".join([*(f"`{c}` {values.schema[c].dataType.simpleString()}" for c in by), "n bigint, percent int", f"`{value}` {kind}"])))
-    return long.groupBy(*by, "n").agg(*[F.max(F.when(F.col("percent") == p, F.col(value))).alias(f"p{p}") for p in percents])
-
-
-def summaries(values: DataFrame, by: Sequence[str], value: str, points: int = POINTS, limit: int = LIMIT) -> DataFrame:
+def _pivots(active: DataFrame, value: str) -> DataFrame:
+    """`range, pivot`: the weighted median of the medians that the partitions propose for each range."""
+    local = active.groupBy("range", F.spark_partition_id().alias("_part")).agg(F.percentile_approx(value, 0.5, PROPOSAL_ACCURACY).alias("_median"), F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy("range")  # a row per partition
+    weighed = local.withColumn("_upto", F.sum("_n").over(whole.orderBy("_median"))).withColumn("_all", F.sum("_n").over(whole))
+    return weighed.where("_upto * 2 >= _all").groupBy("range").agg(F.min("_median").alias("pivot"))
+
+
+def _step(active: DataFrame, ranges: DataFrame, value: str) -> DataFrame:
+    """`pivot, found` and the parts `low`, `high` of each range: id, size and wanted ranks, or null if none is wanted."""
+    halves = active.join(_pivots(active, value), "range").groupBy("range", "pivot")
+    counts = halves.agg(F.count_if(F.col(value) < F.col("pivot")).alias("_below"), F.count_if(F.col(value) == F.col("pivot")).alias("_at"))
+    upto = F.col("_below") + F.col("_at")
+    low = F.filter("wanted", lambda w: w["rank"] <= F.col("_below"))
+    high = F.transform(F.filter("wanted", lambda w: w["rank"] > upto), lambda w: F.struct(w["percent"].alias("percent"), (w["rank"] - upto).alias("rank")))
+    hit = F.transform(F.filter("wanted", lambda w: (w["rank"] > F.col("_below")) & (w["rank"] <= upto)), lambda w: w["percent"])
+    part = lambda side, n, wanted: F.when(F.size(wanted) > 0, F.struct((F.monotonically_increasing_id() * 2 + side).alias("id"), n.alias("n"), wanted.alias("wanted")))
+    return ranges.join(counts, "range").select("range", "group", "pivot", hit.alias("found"), part(0, F.col("_below"), low).alias("low"), part(1, F.col("n") - upto, high).alias("high"))
+
+
+def _children(step: DataFrame) -> DataFrame:
+    """`range, group, n, wanted` of the parts that a round has left."""
+    parts = F.explode(F.array_compact(F.array("low", "high"))).alias("c")
+    return step.select("group", parts).select(F.col("c.id").alias("range"), "group", F.col("c.n").alias("n"), F.col("c.wanted").alias("wanted"))
+
+
+def _sorted_picks(small: DataFrame, ranges: DataFrame, value: str) -> DataFrame:
+    """`group, percent, value` of ranges of at most `limit` values, each sorted whole."""
+    at = small.withColumn("_rn", F.row_number().over(Window.partitionBy("range").orderBy(value)))
+    wanted = ranges.select("range", "group", F.explode("wanted").alias("w")).select("range", "group", F.col("w.percent").alias("percent"), F.col("w.rank").cast("int").alias("_rn"))
+    return at.join(wanted, ["range", "_rn"]).select("group", "percent", F.col(value).alias("value"))
+
+
+def multi_select(values: DataFrame, ranges: DataFrame, value: str, limit: int = LIMIT, rounds: list[int] | None = None) -> DataFrame:
+    """`group, percent, value` for `ranges` (range, group, n, wanted) over `values` (range, <value>). Both should be written tables.
+    The number of values that each round has read is added to `rounds`."""
+    picks, active, open_ = [], values, ranges
+    while True:
+        small = open_.where(F.col("n") <= limit)
+        fits = active.join(small.select("range"), "range", "left_semi") if active is values else active.where(~F.col("large")).select("range", value)
+        picks.append(_sorted_picks(fits, small, value))
+        open_ = open_.where(F.col("n") > limit)
+        left = open_.agg(F.sum("n")).first()[0]
+        if not left:
+            return reduce(DataFrame.unionByName, picks)
+        if rounds is not None:
+            rounds.append(left)
+        active = active.join(open_.select("range"), "range", "left_semi") if active is values else active.where("large").select("range", value)
+        step = materialize(_step(active, open_, value), "select-step")
+        picks.append(step.select("group", F.explode("found").alias("percent"), F.col("pivot").alias("value")))
+        side = F.when(F.col(value) < F.col("pivot"), F.col("low")).when(F.col(value) > F.col("pivot"), F.col("high"))
+        kept = active.join(step.select("range", "pivot", *[F.struct(F.col(f"{s}.id").alias("id"), (F.col(f"{s}.n") > limit).alias("large")).alias(s) for s in ("low", "high")]), "range")
+        survivors = kept.select(side.alias("s"), value).where("s.id is not null").select(F.col("s.id").alias("range"), F.col("s.large").alias("large"), value)
+        active, open_ = materialize(survivors, "select-survivors"), _children(step)
+
+
+def percentiles(values: DataFrame, by: Sequence[str], value: str, percents: Sequence[int], limit: int = LIMIT, rounds: list[int] | None = None) -> DataFrame:
+    """`by, n, p<percent>...`: the exact percentiles of the column `value` in each group. values should be a written table."""
+    known = values.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    wanted = F.array(*[F.struct(F.lit(p).alias("percent"), _rank(p, F.col("n")).alias("rank")) for p in percents])
+    names = {c: f"_b{i}" for i, c in enumerate(by)}
+    sizes = known.select(*[F.col(c).alias(b) for c, b in names.items()]).groupBy(*names.values()).agg(F.count(F.lit(1)).alias("n"))
+    groups = materialize(sizes.withColumn("group", F.monotonically_increasing_id()), "select-groups")
+    ranges = groups.select(F.col("group").alias("range"), "group", "n", wanted.alias("wanted"))
+    on = [known[c].eqNullSafe(groups[b]) for c, b in names.items()]
+    tagged = known.join(groups, on).select(F.col("group").alias("range"), "_v")
+    found = multi_select(materialize(tagged, "select-values"), ranges, "_v", limit, rounds)
+    wide = found.groupBy("group").agg(*[F.max(F.when(F.col("percent") == p, F.col("value"))).alias(f"p{p}") for p in percents])
+    return groups.join(wide, "group").select(*[F.col(b).alias(c) for c, b in names.items()], "n", *[f"p{p}" for p in percents])
+
+
+def summaries(values: DataFrame, by: Sequence[str], value: str, points: int = POINTS, limit: int = PART_ROWS) -> DataFrame:
     """`by, part, n, points`: of each part of each group, the values at ranks 1 and ceil(i * n / points), i = 1 .. points."""
     known = values.where(F.col(value).isNotNull()).select(*by, value)
     sizes = materialize(known.groupBy(*by).agg(F.count(F.lit(1)).alias("_size")), "summary-sizes").where(F.col("_size") > limit)

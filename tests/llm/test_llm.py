@@ -83,9 +83,8 @@ def nearest_rank(values, p):
     return sorted(values)[max(1, -(-p * len(values) // 100)) - 1]
 
 
-@pytest.mark.parametrize("limit", [5, 40, 100_000])
-def test_percentiles_are_exact(spark, limit, monkeypatch):
-    monkeypatch.setattr(selection, "HOT_SHARE", 0.0)
+@pytest.mark.parametrize("limit", [1, 40, selection.LIMIT])
+def test_percentiles_are_exact(spark, limit):
     rng = random.Random(2)
     rows = [(rng.choice(["hot"] * 8 + ["b", None]), rng.choice([rng.randrange(1000), 7, None])) for _ in range(700)]
     want = defaultdict(list)
@@ -93,16 +92,37 @@ def test_percentiles_are_exact(spark, limit, monkeypatch):
         if v is not None:
             want[g].append(v)
     df = spark.createDataFrame(rows, "g string, v bigint").repartition(5)
-    found = selection.percentiles(df, ["g"], "v", (1, 50, 90, 99, 100), limit).collect()
+    rounds = []
+    found = selection.percentiles(df, ["g"], "v", (1, 50, 90, 99, 100), limit, rounds).collect()
+    assert rounds and rounds[-1] <= rounds[0]  # the group `hot` is over every limit
     assert {r["g"]: (r["n"], r["p1"], r["p50"], r["p90"], r["p99"], r["p100"]) for r in found} == {g: (len(v), *(nearest_rank(v, p) for p in (1, 50, 90, 99, 100))) for g, v in want.items()}
 
 
 def test_one_value_only_and_empty(spark):
     df = spark.createDataFrame([("g", 3)] * 300, "g string, v bigint")
-    assert [tuple(r) for r in selection.percentiles(df, ["g"], "v", (50,), 10).collect()] == [("g", 300, 3)]
+    rounds = []
+    assert [tuple(r) for r in selection.percentiles(df, ["g"], "v", (50,), 10, rounds).collect()] == [("g", 300, 3)]
+    assert rounds == [300]
     assert selection.percentiles(df.where("false"), ["g"], "v", (50,)).count() == 0
 
 
+def test_rounds_discard_what_is_ruled_out(spark):
+    df = spark.range(20_000).selectExpr("id % 3 = 0 as b", "'x' as range", "cast(id * 7919 % 20000 as double) v")
+    rounds = []
+    found = selection.percentiles(df, ["b", "range"], "v", (50, 99), 300, rounds)
+    want = {b: sorted((n * 7919 % 20000) for n in range(20_000) if (n % 3 == 0) == b) for b in (True, False)}
+    assert {r["b"]: (r["p50"], r["p99"]) for r in found.collect()} == {b: (nearest_rank(v, 50), nearest_rank(v, 99)) for b, v in want.items()}
+    assert rounds[0] == 20_000 and rounds[-1] < rounds[0] / 8 and len(rounds) > 4
+    assert "Literal" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_query_goes_through_the_selection(spark, monkeypatch):
+    made, real = [], selection.percentiles
+    monkeypatch.setattr(selection, "percentiles", lambda *a: real(*a, rounds=made))
+    assert queries.p4_percentiles(spark, "/root/testdata/sf0.01").count() > 100
+    assert len(made) >= 3
+
+
 def test_merged_within_one_percent(spark):
     rng = random.Random(3)
     rows = [(d, rng.lognormvariate(8, 3)) for d in range(4) for _ in range(rng.choice([3, 800, 3000]))]
