@@ -7,8 +7,12 @@
    grouped under the accent-sensitive Unicode collation UNICODE, for which case, accents, raised digits, punctuation,
    line breaks and the number of blanks count, and the composition of accents doesn't. Each class has a canonical member:
    one whose text needs no mapping if there is one, and the least key among these. It is joined back by the collation.
-3. `members` carries the class to all copies of the representatives; `pairs` gives the pairs of different texts.
+3. `members` carries the class to all copies of the representatives; `links` pairs representatives with their canonical
+   member, a row per text and not per pair; `pairs` gives all pairs of differently written rows, as many as there are.
+   Spark splits a class that holds many rows while it joins (adaptive skew join).
 
+Letters read alike are those of the public confusables data in Greek capitals, Cyrillic, Armenian, Coptic, Cherokee, Lisu
+and Roman numerals, and a fixed list. Ligatures, dotless and styled letters (bold, script) count as visibly different.
 Null texts and texts without a visible character have no class. Exact copies share a class but make no pair.
 """
 
@@ -25,17 +29,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plainsift.llm.confusables import letters
 from plainsift.shared import materialize
 
 COLLATION = "UNICODE"
 
-# Letters and signs of the same shape, and what each is read as.
+# Letters and signs of the same shape, and what each is read as; beside the letters of confusables.letters.
 SAME_SHAPE = {
     # Cyrillic
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l",
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "І": "I", "Ј": "J", "Ѕ": "S", "Ԛ": "Q", "Ԝ": "W", "Ӏ": "I", "Ԍ": "G", "Ғ": "F",
     # Greek
-    "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j",
+    "ο": "o", "ν": "v", "ρ": "p", "ϲ": "c", "ϳ": "j",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
     # Latin, Armenian and others
     "ɡ": "g", "ɑ": "a", "օ": "o", "ս": "u", "հ": "h", "ց": "g", "Ս": "U", "Օ": "O", "Ꭺ": "A", "Ꭼ": "E", "Ꮯ": "C", "Ꮪ": "S", "Ꭲ": "T", "Ꮋ": "H", "Ꮇ": "M", "Ꮲ": "P", "Ꮃ": "W",
@@ -67,14 +72,16 @@ def tables() -> tuple[dict[str, str], str]:
             to[c] = " "
         elif kind == "Cf" or (kind == "Cc" and c not in "\t\n\v\f\r\x85") or unicodedata.name(c, "").startswith("VARIATION SELECTOR"):
             unseen.append(c)
-    to |= SAME_SHAPE | {"゛": "゙", "゜": "゚", "ﾞ": "゙", "ﾟ": "゚"}
-    to = {a: SAME_SHAPE.get(b, b) for a, b in to.items() if a != b and len(b) == 1}
-    return to, "".join([*unseen, *"͏ᅟᅠ឴឵ㅤﾠ"])
+    shapes = letters() | SAME_SHAPE
+    to |= shapes | {"゛": "゙", "゜": "゚", "ﾞ": "゙", "ﾟ": "゚"}
+    unseen = dict.fromkeys([*unseen, *"͏ᅟᅠ឴឵ㅤﾠ"])
+    to = {a: shapes.get(b, b) for a, b in to.items() if a != b and len(b) == 1 and a not in unseen}
+    return to, "".join(unseen)
 
 
-@lru_cache(1)
-def _coarse_table() -> dict[int, str | None]:
-    to, unseen = tables()
+@lru_cache(2)
+def _coarse_table(to: tuple[tuple[str, str], ...], unseen: str) -> dict[int, str | None]:
+    to = dict(to)
     out: dict[int, str | None] = {ord(a): None if unicodedata.category(b) in ("Mn", "Me") else b for a, b in to.items()}
     out |= {ord(c): None for c in _all() if unicodedata.category(c) in ("Mn", "Me")} | {ord(c): None for c in unseen}
     return out
@@ -83,19 +90,23 @@ def _coarse_table() -> dict[int, str | None]:
 _VISIBLE = re.compile(r"\S")
 
 
-def coarse(text: str) -> str:
+def coarse(text: str, table: dict[int, str | None]) -> str:
     """The text as it looks, but for accents and other marks."""
-    return text if text.isascii() and text.isprintable() else unicodedata.normalize("NFD", text).translate(_coarse_table())
+    return text if text.isascii() and text.isprintable() else unicodedata.normalize("NFD", text).translate(table)
 
 
 def look_keys(df: DataFrame, key: str, text: str) -> DataFrame:
-    """`<key>, look, digest`: the coarse key and the exact digest of each text with a visible character."""
+    """`<key>, look, digest`: the coarse key and the exact digest of each text with a visible character. The tables go to
+    the tasks with the function: some thousand characters, whatever the data."""
+    to, unseen = tables()
+    pairs_ = tuple(to.items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _coarse_table(pairs_, unseen)
         for batch in batches:
             at, looks, digests = [], [], []
             for n, value in enumerate(batch.column(text).to_pylist()):
-                if value and _VISIBLE.search(folded := coarse(value)):
+                if value and _VISIBLE.search(folded := coarse(value, table)):
                     at.append(n)
                     looks.append(xxhash.xxh3_64_intdigest(folded.encode("utf-8", "surrogatepass")) - (1 << 63))
                     digests.append(xxhash.xxh3_128_digest(value.encode("utf-8", "surrogatepass")))
@@ -134,7 +145,7 @@ def classes(df: DataFrame, keys: DataFrame, key: str, text: str) -> DataFrame:
     found = materialize(_candidates(keys, key), "look-candidates")
     # a written table has a known size: it is broadcast below Spark's threshold, and shuffled with the texts beyond it
     texts = df.select(F.col(key).alias("rep"), F.col(text).alias("_text")).join(found, "rep")
-    looks = _decomposed(texts, "_text").select("rep", "look", "digest", mapped(F.col("_nfd")).alias("form"), (F.col("_text") != mapped(F.col("_nfd"))).alias("changed"))
+    looks = _decomposed(texts, "_text").select("rep", "look", "digest", mapped(F.col("_nfd")).alias("form"), (F.col("_text") != mapped(F.col("_text"))).alias("changed"))
     looks = materialize(looks, "look-forms").withColumn("seen", F.expr(f"form COLLATE {COLLATION}"))
     canon = looks.groupBy("seen").agg(F.min(F.struct("changed", "rep")).alias("canon"), F.count(F.lit(1)).alias("n")).where("n > 1")
     chosen = looks.alias("l").join(canon.alias("c"), F.col("l.seen") == F.col("c.seen"))
@@ -148,6 +159,12 @@ def members(df: DataFrame, key: str, text: str) -> DataFrame:
     return keys.join(found, ["look", "digest"]).select(key, "rep", "class_id")
 
 
+def links(df: DataFrame, key: str, text: str) -> DataFrame:
+    """`class_id, rep, n_rows`: each exact text of a class by its least key, with the number of its copies. With `members` this
+    is every link between different texts, without expanding copies or all pairs of a class."""
+    return members(df, key, text).groupBy("class_id", "rep").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """`<key>_a, <key>_b` with a before b: texts that look the same and differ in their characters.
 

@@ -92,7 +92,12 @@ def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.members(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "class_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_formats, p4_percentiles, p4_summaries, p4_merged, p7_ids, p8_containers, p8_use, p9_found, p9_forms)}
+def p9_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every class of texts that look the same, its different texts by their least document, and the copies of each."""
+    return lookalike.links(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_formats, p4_percentiles, p4_summaries, p4_merged, p7_ids, p8_containers, p8_use, p9_found, p9_forms, p9_links)}
 
 _RECORDS = "records as (select row_id, lower(trim(format, ' \t\n\r')) format, cast(written_at as date) as day, bytes_before, bytes_after from scrub_results qualify row_number() over (partition by row_id order by loaded_at desc nulls last) = 1)"
 
@@ -107,25 +112,34 @@ _TERMS = (
     "counts as (select field_name, term, count(*) occurrences, count(distinct row_id) records from pairs where term <> '' group by 1, 2), "
     "marked as (select *, case when records <= 2 then 'rare' when records > 0.1 * (select count(*) from latest) then 'common' end mark from counts) "
 )
+
+
 def _looks_sql() -> str:
     """One form of every text in SQL: composed, mapped character by character, composed again. What has no composed form
     after mapping would be missed; the operator decomposes first and has no such gap."""
     import sys
     import unicodedata
 
-    to, unseen = lookalike.tables()
-    to = dict(to)
+    simple, unseen = lookalike.tables()
+    to = dict(simple)
     for c in map(chr, range(0xC0, min(sys.maxunicode, 0x2000))):
         full = unicodedata.normalize("NFD", c)
         if len(full) > 1 and full[0] in to and len(form := unicodedata.normalize("NFC", to[full[0]] + full[1:])) == 1:
             to[c] = form
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    form = f"nfc_normalize(translate(nfc_normalize(text), {quoted(''.join(to) + ''.join(c for c in unseen if c > ' '))}, {quoted(''.join(to.values()))}))"
-    return f"with f as (select doc_id, text, {form} form from documents where text is not null), v as (select * from f where regexp_matches(form, '[^\\s]')) select a.doc_id doc_id_a, b.doc_id doc_id_b from v a join v b on a.form = b.form and a.doc_id < b.doc_id and a.text <> b.text"
+    mapped = lambda col, t: f"translate({col}, {quoted(''.join(t) + ''.join(c for c in unseen if c > ' '))}, {quoted(''.join(t.values()))})"
+    return (
+        f"with f as (select doc_id, text, nfc_normalize({mapped('nfc_normalize(text)', to)}) form from documents where text is not null), v as (select * from f where regexp_matches(form, '[^\\s]')), "
+        "r as (select form, text, min(doc_id) rep, count(*) n_rows from v group by 1, 2), many as (select form from r group by 1 having count(*) > 1), "
+        f"c as (select form, coalesce(min(rep) filter (where text = {mapped('text', simple)}), min(rep)) class_id from r semi join many using (form) group by 1) "
+    )
 
 
+_LOOKS = _looks_sql()
 SQL = {
-    "p9_found": _looks_sql(),
+    "p9_found": _LOOKS + "select a.doc_id doc_id_a, b.doc_id doc_id_b from v a join v b on a.form = b.form and a.doc_id < b.doc_id and a.text <> b.text",
+    "p9_forms": _LOOKS + "select doc_id, class_id from v join c using (form)",
+    "p9_links": _LOOKS + "select class_id, rep, n_rows from r join c using (form)",
     "p1_terms": _TERMS + "select * from marked",
     "p1_found": _TERMS + "select field_name, term, mark from marked where mark is not null",
     "p1_formats": f"with {_RECORDS}, counts as (select 'format' field_name, format term, count(*) occurrences, count(distinct row_id) records from records where format <> '' group by 2) "

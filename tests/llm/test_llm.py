@@ -256,6 +256,28 @@ def test_pairs_against_brute_force(spark):
     assert lookalike.pairs(df.where("false"), "k", "t").count() == 0
 
 
+@pytest.mark.parametrize(("odd", "plain"), [("ρ", "p"), ("Ⅰ", "I"), ("ⅽ", "c"), ("ꓐ", "B"), ("Ⲟ", "O"), ("Ꭰ", "D"), ("ᏙᎪ", "VA"), ("ѵ", "v"), ("Տ", "S")])
+def test_letters_of_other_scripts(spark, odd, plain):
+    df = spark.createDataFrame([(1, f"a{odd}b"), (2, f"a{plain}b")], "k int, t string")
+    assert [tuple(r) for r in lookalike.pairs(df, "k", "t").collect()] == [(1, 2)]
+    assert lookalike.tables()[0][odd[0]] == plain[0]
+
+
+def test_recall_over_the_whole_table(spark):
+    """Every mapped letter, in a word of its own that no fixture of the tables uses, against its plain twin."""
+    to = [(a, b) for a, b in lookalike.tables()[0].items() if b.strip() and unicodedata.category(b) not in ("Mn", "Me")]
+    rows = [(2 * n, f"w{n}{a}x") for n, (a, _) in enumerate(to)] + [(2 * n + 1, f"w{n}{b}x") for n, (_, b) in enumerate(to)]
+    found = {tuple(r) for r in lookalike.pairs(spark.createDataFrame(rows, "k int, t string"), "k", "t").collect()}
+    want = {(2 * n, 2 * n + 1) for n in range(len(to))}
+    assert not [to[a // 2] for a, _ in want - found]
+    assert not found - want
+
+
+def test_links_name_every_text_of_a_class(spark):
+    df = spark.createDataFrame([(1, "ab"), (2, "ab"), (3, "аb"), (4, "zz"), (5, "a\u200bb")], "k int, t string")
+    assert {tuple(r) for r in lookalike.links(df, "k", "t").collect()} == {(1, 1, 2), (1, 3, 1), (1, 5, 1)}
+
+
 def test_copies_share_a_class_and_make_no_pair(spark):
     df = spark.createDataFrame([(1, "ab"), (2, "ab"), (3, "аb"), (4, "zz"), (5, "zz")], "k int, t string")
     assert {tuple(r) for r in lookalike.pairs(df, "k", "t").collect()} == {(1, 3), (2, 3)}
