@@ -1,9 +1,10 @@
 """Schemas that drift between files: one union schema, one table, and the ordered log of changes.
 
-`headers` reads the schema of every file in parallel: each leaf of its records, under its common name, with the path
-the file uses and the kind of its values, folded over the records of the file by the lattice `join_kinds`.
-`changes` compares each file with the one before it in its series. `union_schema` folds the headers of all files
-through the same lattice, and `unified` casts every record to the kinds of the union schema.
+`headers` reads the schema of every file in parallel: each leaf of its records, under its common name, with the path the file
+uses, the kind of its values folded over the records by the lattice `join_kinds`, and a sketch of its values. `learned_names`
+finds renames that no list of names foretells, from fields that go and come together with values alike; `renamed` applies
+them. `changes` compares each file with the one before it in its series. `union_schema` folds the headers of all files
+through the same lattice, and `unified` casts every record to the columns and kinds of the union schema.
 
 A body that is null, not complete JSON or has no records gives a file without fields. Null values are no presence.
 """
@@ -13,15 +14,23 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plainsift.shared import materialize
 
-KINDS = ("null", "boolean", "number", "string", "array")
+KINDS = ("null", "boolean", "integer", "number", "string", "array")
+JSON_KINDS = {"integer": "number"}
+SKETCH = 24
+LEARN_STEPS = 2
+LEARN_SHARE = 0.5
+LEARN_LIKENESS = 0.5
+MAX_COLUMNS = 1000
 
 # The common name of a field, and the names (without case and separators) and places it has had.
 NOISE_PLACES = ("", "noisefloor", "floor", "noise", "baseline", "baseline.noise", "baseline.noisefloor")
@@ -33,11 +42,12 @@ ALIASES = {
 }
 COMMON = {alias: name for name, aliases in ALIASES.items() for alias in aliases}
 _NOT_PLAIN = re.compile(r"[^a-z0-9.]")
-FIELD = "struct<name:string,path:string,kind:string>"
+FIELD = "struct<name:string,path:string,kind:string,sketch:array<bigint>>"
+_WORDS = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]")
 
 
 def join_kinds(a: str, b: str) -> str:
-    """The least kind that holds both: null below boolean and number, these below string, array above all.
+    """The least kind that holds both: null below all, integer below number, boolean and number below string, array above all.
 
     A boolean and a number only meet in string; an array is an array of strings.
     """
@@ -45,16 +55,20 @@ def join_kinds(a: str, b: str) -> str:
         return a
     if a == "null":
         return b
-    return "array" if "array" in (a, b) else "string"
+    if "array" in (a, b):
+        return "array"
+    return "number" if {a, b} == {"integer", "number"} else "string"
 
 
 def kind_of(value: object) -> str:
-    """The JSON kind of a leaf."""
+    """The kind of a leaf; a whole number beyond 64 bits is a number."""
     if value is None:
         return "null"
     if isinstance(value, bool):
         return "boolean"
-    return "number" if isinstance(value, (int, float)) else "array" if isinstance(value, list) else "string"
+    if isinstance(value, int):
+        return "integer" if -(1 << 63) <= value < 1 << 63 else "number"
+    return "number" if isinstance(value, float) else "array" if isinstance(value, list) else "string"
 
 
 def leaves(record: Mapping, place: str = "") -> Iterator[tuple[str, object]]:
@@ -87,20 +101,36 @@ def records(body: str | None, within: str = "cells") -> list[dict]:
     return [x for x in (found if isinstance(found, list) else [found]) if isinstance(x, dict)]
 
 
+def signs(value: object) -> Iterator[str]:
+    """What is compared of a value: the words of a text without regard to digits, the magnitude of a number, a boolean."""
+    if isinstance(value, list):
+        for x in value:
+            yield from signs(x)
+    elif isinstance(value, str):
+        yield from (w.lower() if w.isalpha() else "#" if w.isdigit() else w for w in _WORDS.findall(value))
+    elif isinstance(value, bool):
+        yield str(value)
+    elif value is not None:
+        yield f"~{len(str(int(abs(value)))) if value == value and abs(value) != float('inf') else value}"
+
+
 def header(body: str | None) -> list[dict]:
-    """The schema of a file: name, path and kind of each field present, ordered by name."""
-    found: dict[str, tuple[set, str]] = {}
+    """The schema of a file: name, path, kind and sketch of each field present, ordered by name. A sketch holds the least
+    SKETCH hashes of the signs of its values, so sketches of any files can be compared and joined."""
+    found: dict[str, list] = {}
     for record in records(body):
         for path, value in leaves(record):
             if value is not None:
-                paths, kind = found.get(name := common_name(path), (set(), "null"))
-                found[name] = (paths | {path}, join_kinds(kind, kind_of(value)))
-    return [{"name": n, "path": " ".join(sorted(p)), "kind": k} for n, (p, k) in sorted(found.items())]
+                at = found.setdefault(common_name(path), [set(), "null", set()])
+                at[0].add(path)
+                at[1] = join_kinds(at[1], kind_of(value))
+                at[2].update(xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) >> 1 for x in signs(value))
+    return [{"name": n, "path": " ".join(sorted(p)), "kind": k, "sketch": sorted(x)[:SKETCH]} for n, (p, k, x) in sorted(found.items())]
 
 
 def headers(df: DataFrame, keys: Sequence[str], body: str) -> DataFrame:
     """The columns `keys` and `fields`, the schema of the file in column `body`."""
-    kind = pa.list_(pa.struct([(n, pa.string()) for n in ("name", "path", "kind")]))
+    kind = pa.list_(pa.struct([*[(n, pa.string()) for n in ("name", "path", "kind")], ("sketch", pa.list_(pa.int64()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,6 +158,46 @@ def _with_previous(files: DataFrame, file: str, series: str, order: str) -> Data
     return near.select(file, "fields", "before").unionByName(over.select(f"first.{file}", "first.fields", "before"))
 
 
+def learned_names(files: DataFrame, file: str, series: str, order: str) -> DataFrame:
+    """`name, known`: names that stand for a field with a common name, though no list says so.
+
+    A name is taken for a known field if, over all steps between files, the two go and come in opposite directions at
+    LEARN_STEPS steps or more and at LEARN_SHARE or more of the steps at which the name comes or goes, if no file has both, and if
+    their values are alike: LEARN_LIKENESS or more of the smaller sketch is in the other, over all files. A name takes the
+    field it meets most often; a name on the list keeps its meaning.
+    """
+    known = sorted(set(ALIASES))
+    is_known = lambda x: F.array_contains(F.array(*[F.lit(k) for k in known]), x)
+    names = lambda c: F.transform(c, lambda x: x["name"])
+    steps = _with_previous(files, file, series, order).select(F.array_except(names("fields"), names("before")).alias("came"), F.array_except(names("before"), names("fields")).alias("went"))
+    moves = steps.select(F.explode(F.array(F.struct(F.col("came").alias("a"), F.col("went").alias("b")), F.struct(F.col("went").alias("a"), F.col("came").alias("b")))).alias("m"))
+    news = moves.select(F.explode(F.filter("m.a", lambda x: ~is_known(x))).alias("name"), F.filter("m.b", is_known).alias("others"))
+    total = news.groupBy("name").agg(F.count(F.lit(1)).alias("_moves"))
+    met = news.select("name", F.explode("others").alias("known")).groupBy("name", "known").agg(F.count(F.lit(1)).alias("_met"))
+    likely = met.join(total, "name").where((F.col("_met") >= LEARN_STEPS) & (F.col("_met") >= LEARN_SHARE * F.col("_moves"))).select("name", "known", "_met")
+    fields = files.select(F.explode("fields").alias("f"))
+    sketch = F.slice(F.array_sort(F.collect_set("h")), 1, SKETCH)  # words of all files: their least hashes
+    sketches = fields.select("f.name", F.explode("f.sketch").alias("h")).distinct().withColumn("_n", F.row_number().over(Window.partitionBy("name").orderBy("h"))).where(F.col("_n") <= SKETCH).groupBy("name").agg(sketch.alias("s"))
+    pairs = likely.join(sketches, "name").join(sketches.select(F.col("name").alias("known"), F.col("s").alias("t")), "known")
+    alike = pairs.where(F.size(F.array_intersect("s", "t")) >= LEARN_LIKENESS * F.least(F.size("s"), F.size("t"))).select("name", "known", "_met")
+    present = files.select(F.filter(names("fields"), lambda x: ~is_known(x)).alias("n"), F.filter(names("fields"), is_known).alias("k"))
+    both = present.select(F.explode("n").alias("name"), "k").select("name", F.explode("k").alias("known")).distinct()
+    best = Window.partitionBy("name").orderBy(F.col("_met").desc(), "known")
+    return alike.join(both, ["name", "known"], "left_anti").withColumn("_n", F.row_number().over(best)).where("_n = 1").select("name", "known")
+
+
+def renamed(files: DataFrame, learned: DataFrame, file: str) -> DataFrame:
+    """files with the fields under the names that `learned_names` has found; unchanged where it has found none."""
+    learned = materialize(learned, "learned-names")
+    if learned.isEmpty():
+        return files
+    others = [c for c in files.columns if c != "fields"]
+    fields = files.select(file, F.explode("fields").alias("_f")).select(file, F.col("_f.name").alias("name"), "_f").join(learned, "name", "left")
+    field = F.struct(F.coalesce("known", "name").alias("name"), "_f.path", "_f.kind", "_f.sketch")
+    again = fields.groupBy(file).agg(F.array_sort(F.collect_list(field)).alias("fields"))
+    return files.select(*others).join(again, file, "left").withColumn("fields", F.coalesce("fields", F.array().cast(f"array<{FIELD}>")))
+
+
 def changes(files: DataFrame, file: str, series: str, order: str) -> DataFrame:
     """`file, field_name, change_kind` of a result of `headers`: added, removed, renamed or retyped since the file before."""
     pairs = _with_previous(files, file, series, order)
@@ -135,19 +205,22 @@ def changes(files: DataFrame, file: str, series: str, order: str) -> DataFrame:
     one = lambda n, k: F.struct(n.alias("field_name"), F.lit(k).alias("change_kind"))
     fresh = F.transform(F.array_except(names("fields"), names("before")), lambda n: one(n, "added"))
     gone = F.transform(F.array_except(names("before"), names("fields")), lambda n: one(n, "removed"))
+    json_kind = lambda k: reduce(lambda c, x: F.when(k == x[0], x[1]).otherwise(c), JSON_KINDS.items(), k)
 
-    def both(part: str, kind: str):
-        said = lambda c: F.transform(c, lambda x: F.struct(x["name"].alias("name"), x[part].alias("part")))
+    def both(part, kind: str):
+        said = lambda c: F.transform(c, lambda x: F.struct(x["name"].alias("name"), part(x).alias("part")))
         kept = F.filter(F.array_except(said("fields"), said("before")), lambda x: F.array_contains(names("before"), x["name"]))
         return F.transform(kept, lambda x: one(x["name"], kind))
 
-    return pairs.select(file, F.explode(F.concat(fresh, gone, both("path", "renamed"), both("kind", "retyped"))).alias("c")).select(file, "c.field_name", "c.change_kind")
+    every = F.concat(fresh, gone, both(lambda x: x["path"], "renamed"), both(lambda x: json_kind(x["kind"]), "retyped"))
+    return pairs.select(file, F.explode(every).alias("c")).select(file, "c.field_name", "c.change_kind")
 
 
 def union_schema(files: DataFrame) -> DataFrame:
-    """`field_name, kind, kinds, paths, n_files`: each field of any file with the kind that holds all its kinds."""
+    """`field_name, kind, kinds, paths, n_files`: each field of any file with the kind that holds all its kinds, by the lattice."""
     seen = files.select(F.explode("fields").alias("f")).groupBy("f.name").agg(F.array_sort(F.collect_set("f.kind")).alias("kinds"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.split("f.path", " "))))).alias("paths"), F.count(F.lit(1)).alias("n_files"))
-    kind = F.when(F.array_contains("kinds", "array"), "array").when(F.size("kinds") == 1, F.element_at("kinds", 1)).otherwise("string")
+    table = F.create_map(*[F.lit(x) for a in KINDS for b in KINDS for x in (f"{a} {b}", join_kinds(a, b))])
+    kind = F.aggregate("kinds", F.lit("null"), lambda a, b: F.element_at(table, F.concat_ws(" ", a, b)))
     return seen.select(F.col("name").alias("field_name"), kind.alias("kind"), "kinds", "paths", "n_files")
 
 
@@ -155,45 +228,61 @@ def _text(value: object) -> str | None:
     return None if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, sort_keys=True)
 
 
-def _boolean(value: object) -> bool | None:
-    return {"true": True, "yes": True, "1": True, "false": False, "no": False, "0": False}.get(str(value).strip().lower())
-
-
-def _integer(value: object) -> int | None:
+def _number(value: float) -> float:
     try:
-        return int(str(value).strip())
-    except ValueError:
-        return None
-
+        return float(value)
+    except OverflowError:
+        return float("inf") if value > 0 else float("-inf")
+
+
+#: How a value comes under each kind of the lattice; a value always fits, as the kind holds all kinds of its field.
+CASTS = {
+    "null": (pa.string(), "string", _text),
+    "boolean": (pa.bool_(), "boolean", bool),
+    "integer": (pa.int64(), "bigint", int),
+    "number": (pa.float64(), "double", _number),
+    "string": (pa.string(), "string", _text),
+    "array": (pa.list_(pa.string()), "array<string>", lambda v: [_text(x) for x in v] if isinstance(v, list) else [_text(v)]),
+}
 
-def unified(df: DataFrame, keys: Sequence[str], body: str) -> DataFrame:
-    """All records of all files in one table: the columns `keys`, `cell_no`, the common fields, and the rest as a map.
 
-    `reason` and `evidence_dir` are arrays, the kind that holds their text and list forms; `deterministic` and `repeats`
-    take their declared kinds from booleans, numbers and texts alike; a value that doesn't fit is kept in `others`.
-    """
-    own = [("cell_no", pa.int32()), ("adversary", pa.string()), ("fidelity", pa.string()), ("verdict", pa.string()), ("reason", pa.list_(pa.string())), ("evidence_dir", pa.list_(pa.string())), ("deterministic", pa.bool_()), ("repeats", pa.int64()), ("others", pa.map_(pa.string(), pa.string()))]
-    plain = ("adversary", "fidelity", "verdict")
+def columns_of(schema: DataFrame, taken: Sequence[str] = ()) -> list[tuple[str, str, str]]:
+    """(field, column, kind) for the table of a union schema: the MAX_COLUMNS fields of most files, in the order of names.
+    Columns whose names would clash, letter case aside, get a number."""
+    rows = schema.orderBy(F.col("n_files").desc(), "field_name").limit(MAX_COLUMNS).select("field_name", "kind").collect()
+    used, out = {t.lower() for t in taken}, []
+    for r in sorted(rows, key=lambda r: r["field_name"]):
+        name = column = re.sub(r"[^A-Za-z0-9_]+", "_", r["field_name"]).strip("_") or "field"
+        n = 1
+        while column.lower() in used:
+            n += 1
+            column = f"{name}_{n}"
+        used.add(column.lower())
+        out.append((r["field_name"], column, r["kind"]))
+    return out
+
+
+def unified(df: DataFrame, keys: Sequence[str], body: str, schema: DataFrame, learned: DataFrame | None = None) -> DataFrame:
+    """All records of all files in one table: the columns `keys`, `cell_no`, a column for each field of the union schema, of
+    the kind that holds all its kinds, and `others`, a map from path to text of the fields beyond MAX_COLUMNS and of fields that
+    the schema lacks. A field that a record holds twice keeps the value that comes last in it."""
+    columns = columns_of(schema, [*keys, "cell_no", "others"])
+    place = {field: (column, CASTS[kind][2]) for field, column, kind in columns}
+    aliases = {} if learned is None else {r["name"]: r["known"] for r in learned.where(F.col("known").isin(list(place))).limit(MAX_COLUMNS).collect()}
+    own = [("cell_no", pa.int32()), *[(column, CASTS[kind][0]) for _, column, kind in columns], ("others", pa.map_(pa.string(), pa.string()))]
 
     def row(no: int, record: dict) -> dict:
         out: dict = {"cell_no": no}
         others = {}
         for path, value in leaves(record):
-            name = common_name(path)
             if value is None:
                 continue
-            if name in plain:
-                out[name] = _text(value)
-            elif name in ("reason", "evidence_dir"):
-                out[name] = [_text(x) for x in value] if isinstance(value, list) else [_text(value)]
-            elif name in ("noise_floor.deterministic", "noise_floor.repeats"):
-                cast = _boolean(value) if name.endswith("deterministic") else _integer(value)
-                if cast is None:
-                    others[path] = _text(value)
-                else:
-                    out[name.split(".")[1]] = cast
-            else:
+            name = common_name(path)
+            column, cast = place.get(aliases.get(name, name), (None, None))
+            if column is None:
                 others[path] = _text(value)
+            else:
+                out[column] = cast(value)
         return out | {"others": list(others.items())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +292,6 @@ def unified(df: DataFrame, keys: Sequence[str], body: str) -> DataFrame:
                     same = pa.array([at] * len(found), pa.int32())
                     yield pa.RecordBatch.from_arrays([*[batch.column(k).take(same) for k in keys], *[pa.array([r.get(n) for r in found], t) for n, t in own]], names=[*keys, *[n for n, _ in own]])
 
-    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.select(*keys, body).mapInArrow(run, f"{schema}, cell_no int, adversary string, fidelity string, verdict string, reason array<string>, evidence_dir array<string>, deterministic boolean, repeats bigint, others map<string,string>")
-
-
+    head = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    typed = "".join(f", `{column}` {CASTS[kind][1]}" for _, column, kind in columns)
+    return df.select(*keys, body).mapInArrow(run, f"{head}, cell_no int{typed}, others map<string,string>")

@@ -9,7 +9,7 @@ import pytest
 from plainsift.operators import drift
 
 
-@pytest.mark.parametrize(("a", "b", "c"), [("null", "number", "number"), ("boolean", "number", "string"), ("number", "string", "string"), ("string", "array", "array"), ("boolean", "boolean", "boolean")])
+@pytest.mark.parametrize(("a", "b", "c"), [("null", "number", "number"), ("boolean", "number", "string"), ("integer", "number", "number"), ("boolean", "integer", "string"), ("number", "string", "string"), ("string", "array", "array"), ("boolean", "boolean", "boolean")])
 def test_lattice(a, b, c):
     assert drift.join_kinds(a, b) == drift.join_kinds(b, a) == c
 
@@ -54,13 +54,46 @@ def test_one_long_series_across_blocks(spark):
 
 
 def test_unified_and_union(spark):
-    df = files(spark, [(1, 1, 0, [{"adversary": "A1", "why": "x", "floor": {"runs": "5", "stable": "true"}, "queue": 3}]), (2, 1, 1, [{"reason": ["p", "q"], "repeats": 2, "deterministic": "maybe"}])])
-    rows = {r["f"]: r for r in drift.unified(df, ["f"], "body").collect()}
-    assert (rows[1]["reason"], rows[1]["repeats"], rows[1]["deterministic"], rows[1]["others"]) == (["x"], 5, True, {"queue": "3"})
-    assert (rows[2]["reason"], rows[2]["repeats"], rows[2]["deterministic"], rows[2]["others"]) == (["p", "q"], 2, None, {"deterministic": "maybe"})
-    kinds = {r["field_name"]: r["kind"] for r in drift.union_schema(drift.headers(df, ["f"], "body")).collect()}
-    assert kinds["reason"] == "array"
-    assert kinds["noise_floor.repeats"] == "string"
+    df = files(spark, [(1, 1, 0, [{"adversary": "A1", "why": "x", "floor": {"runs": 5, "stable": True}, "Queue": 3, "queue": 1.5}]), (2, 1, 1, [{"reason": ["p", 4], "repeats": 2, "deterministic": "maybe", "big": 1 << 70, "f": None}])])
+    schema = drift.union_schema(drift.headers(df, ["f"], "body"))
+    kinds = {r["field_name"]: r["kind"] for r in schema.collect()}
+    assert kinds == {"adversary": "string", "reason": "array", "noise_floor.repeats": "integer", "noise_floor.deterministic": "string", "Queue": "integer", "queue": "number", "big": "number"}
+    found = drift.unified(df, ["f"], "body", schema)
+    assert dict(found.dtypes) == {"f": "int", "cell_no": "int", "Queue": "bigint", "adversary": "string", "big": "double", "noise_floor_deterministic": "string", "noise_floor_repeats": "bigint", "queue_2": "double", "reason": "array<string>", "others": "map<string,string>"}
+    rows = {r["f"]: r.asDict() for r in found.collect()}
+    assert (rows[1]["reason"], rows[1]["noise_floor_repeats"], rows[1]["noise_floor_deterministic"], rows[1]["queue_2"], rows[1]["others"]) == (["x"], 5, "true", 1.5, {})
+    assert (rows[2]["reason"], rows[2]["noise_floor_repeats"], rows[2]["noise_floor_deterministic"], rows[2]["big"]) == (["p", "4"], 2, "maybe", float(1 << 70))
+
+
+def test_fields_beyond_the_columns_are_kept(spark, monkeypatch):
+    monkeypatch.setattr(drift, "MAX_COLUMNS", 2)
+    df = files(spark, [(1, 1, 0, [{"a": 1, "b": 2}, {"a": 1, "c": [3]}]), (2, 1, 1, [{"a": 1, "b": 2}])])
+    found = drift.unified(df, ["f"], "body", drift.union_schema(drift.headers(df, ["f"], "body")))
+    assert found.columns == ["f", "cell_no", "a", "b", "others"]
+    assert {(r["f"], r["cell_no"]): (r["a"], r["b"], r["others"]) for r in found.collect()} == {(1, 0): (1, 2, {}), (1, 1): (1, None, {"c": "[3]"}), (2, 0): (1, 2, {})}
+
+
+def test_a_rename_that_no_list_foretells(spark):
+    said = ["no second decoder on the machine", "level not built", "floor covers it"]
+    rows = []
+    for s in range(4):
+        for h in range(8):
+            name = "reason" if (h // 2 + s) % 2 else "grounds_given"
+            rows.append((s * 10 + h, s, h, [{name: said[(h + k) % 3], "queue": f"q{k}", **({"rank": k} if h % 3 == s % 3 else {})} for k in range(3)]))
+    heads = drift.headers(files(spark, rows), ["f", "s", "at"], "body")
+    learned = drift.learned_names(heads, "f", "s", "at")
+    assert [tuple(r) for r in learned.collect()] == [("grounds_given", "reason")]
+    found = {tuple(r) for r in drift.changes(drift.renamed(heads, learned, "f"), "f", "s", "at").collect()}
+    want = {(s * 10 + h, "reason", "renamed") for s in range(4) for h in range(2, 8, 2)}
+    assert {c for c in found if c[1] != "rank"} == want
+    cells = drift.unified(files(spark, rows), ["f"], "body", drift.union_schema(drift.renamed(heads, learned, "f")), learned)
+    assert cells.where("reason is null").count() == 0 and "grounds_given" not in cells.columns
+
+
+def test_fields_that_only_come_and_go_are_no_renames(spark):
+    rng = random.Random(4)
+    rows = [(n, 1, n, [{f: rng.choice(["runs ok", "runs late"]) for f in ("reason", "queue", "note") if rng.random() > 0.4}]) for n in range(60)]
+    assert drift.learned_names(drift.headers(files(spark, rows), ["f", "s", "at"], "body"), "f", "s", "at").isEmpty()
 
 
 def test_broken_and_empty(spark):
