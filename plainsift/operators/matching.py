@@ -35,15 +35,40 @@ def evidence_diff(published: DataFrame, measured: DataFrame, on: Sequence[str],
     return p.join(m, list(on), "left").select(*on, "published", "measured", status.alias("status"))
 
 
-def leak_search(values: DataFrame, tags: DataFrame, file: str = "file_id") -> DataFrame:
-    """`<file>, value, key`: of each removed value, the first tag of its file that still holds it, case left aside.
+MIN_SEARCHABLE = 5
+
+
+def _searchable(value):  # noqa: ANN001, ANN202
+    """A removed value that can be searched: without surrounding blanks, long enough to tell, and no reader's remark."""
+    return (F.length(value) >= MIN_SEARCHABLE) & ~F.startswith(value, F.lit("("))
+
+
+def _expected(key, groups: Sequence[str], tags: Sequence[str]):  # noqa: ANN001, ANN202
+    """Whether a tag is one that may keep the value: by its group, its whole key, or its name."""
+    one_of = lambda c, names: c.isin(list(names)) if names else F.lit(False)
+    return one_of(F.split_part(key, F.lit(":"), F.lit(1)), groups) | one_of(key, tags) | one_of(F.element_at(F.split(key, ":"), -1), tags)
+
+
+def leak_search(values: DataFrame, tags: DataFrame, file: str = "file_id", expected_groups: Sequence[str] = (), expected_tags: Sequence[str] = ()) -> DataFrame:
+    """`<file>, value, key, expected`: of each removed value, the first tag of its file that still holds it in its key or text,
+    letter case left aside, and whether that tag is expected to.
 
     values: `<file>, value`; tags: `<file>, seq, key, text`. The join is by file, so a value only meets the tags of its
-    own file. Null and empty values are no leaks.
+    own file. Null values, values under MIN_SEARCHABLE characters and remarks in brackets aren't searched.
     """
-    wanted = values.where("value <> ''").select(file, "value").distinct()
-    hits = wanted.join(tags.select(file, "seq", "key", "text"), file).where(F.contains(F.lower("text"), F.lower("value")))
-    return hits.groupBy(file, "value").agg(F.min_by("key", "seq").alias("key"))
+    wanted = values.select(file, F.trim("value").alias("value")).where(_searchable(F.col("value"))).distinct()
+    said = F.lower(F.concat_ws(" ", "key", "text"))
+    hits = wanted.join(tags.select(file, "seq", "key", "text"), file).where(F.contains(said, F.lower("value")))
+    return hits.groupBy(file, "value").agg(F.min_by("key", "seq").alias("key")).withColumn("expected", _expected(F.col("key"), expected_groups, expected_tags))
+
+
+def leaks_within(rows: DataFrame, file: str, values: str, tags: str, expected_groups: Sequence[str] = (), expected_tags: Sequence[str] = ()) -> DataFrame:
+    """`leak_search` where a row holds the values (array of texts) and the tags (array of key and text, in order) of its
+    file: nothing is joined or shuffled."""
+    wanted = F.array_distinct(F.filter(F.transform(values, lambda v: F.trim(v)), _searchable))
+    first = lambda v: F.get(F.filter(tags, lambda t: F.contains(F.lower(F.concat_ws(" ", t["key"], t["text"])), F.lower(v))), F.lit(0))["key"]
+    found = rows.select(file, F.explode(F.transform(wanted, lambda v: F.struct(v.alias("value"), first(v).alias("key")))).alias("x")).where("x.key is not null")
+    return found.select(file, "x.value", "x.key", _expected(F.col("x.key"), expected_groups, expected_tags).alias("expected"))
 
 
 def first_match(items: DataFrame, key: str, text: str, rules: Sequence[tuple[int, str, str, str]], other: str | None = None) -> DataFrame:
@@ -130,24 +155,26 @@ def components(edges: DataFrame) -> DataFrame:
 BLOCK = 2048
 
 
-def _blocks(rows: DataFrame, key: str, vector: str, label: str, size: int) -> DataFrame:
+def _blocks(rows: DataFrame, key: str, vector: str, label: str, own: str, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, size):
                 part = batch.slice(at, size)
-                yield pa.RecordBatch.from_arrays([pa.array([x.to_pylist()], t) for x, t in ((part.column(key), pa.list_(pa.int64())), (part.column(label), pa.list_(pa.int64())), (part.column(vector), pa.list_(pa.list_(pa.float64()))))], names=["ids", "labels", "vectors"])
+                yield pa.RecordBatch.from_arrays([pa.array([x.to_pylist()], t) for x, t in [*[(part.column(n), pa.list_(pa.int64())) for n in ("id", "label", "own")], (part.column("vector"), pa.list_(pa.list_(pa.float64())))]], names=["ids", "labels", "owns", "vectors"])
 
-    return rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint"), F.col(label).cast("bigint"), F.col(vector).cast("array<double>")).mapInArrow(run, "ids array<bigint>, labels array<bigint>, vectors array<array<double>>")
+    plain = [F.col(c).cast("bigint").alias(n) for c, n in ((key, "id"), (label, "label"), (own, "own"))]
+    return rows.where(F.col(vector).isNotNull()).select(*plain, F.col(vector).cast("array<double>").alias("vector")).mapInArrow(run, "ids array<bigint>, labels array<bigint>, owns array<bigint>, vectors array<array<double>>")
 
 
-def nearest_other(queries: DataFrame, rows: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """`query, query_label, neighbour, neighbour_label, distance`: of each query the nearest row with another key.
+def nearest_other(queries: DataFrame, rows: DataFrame, key: str, vector: str, label: str, own: str | None = None) -> DataFrame:
+    """`query, query_label, neighbour, neighbour_label, distance`: of each query the nearest row of another document, which the
+    column `own` numbers (by default the key: every row is its own document). A query without such a row has none.
 
     A stated query set is held against all rows in blocks of BLOCK rows: block pairs are compared by matrix products, and
     only one candidate per query and block pair is shuffled. Ties go to the smaller key. Null vectors take no part.
     """
-    q = _blocks(queries, key, vector, label, BLOCK).select(F.struct("ids", "labels", "vectors").alias("q"))
-    r = _blocks(rows, key, vector, label, BLOCK).select(F.struct("ids", "labels", "vectors").alias("r"))
+    q = _blocks(queries, key, vector, label, own or key, BLOCK).select(F.struct("ids", "labels", "owns", "vectors").alias("q"))
+    r = _blocks(rows, key, vector, label, own or key, BLOCK).select(F.struct("ids", "labels", "owns", "vectors").alias("r"))
     pairs = q.join(r, F.lit(True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +183,8 @@ def nearest_other(queries: DataFrame, rows: DataFrame, key: str, vector: str, la
                 x, y = np.array(a["vectors"]), np.array(b["vectors"])
                 ids, labels = np.array(b["ids"]), np.array(b["labels"])
                 rough = (x**2).sum(1)[:, None] - 2 * x @ y.T + (y**2).sum(1)[None, :]
-                rough[np.array(a["ids"])[:, None] == ids[None, :]] = np.inf
+                same = np.array(a["owns"], object)[:, None] == np.array(b["owns"], object)[None, :]  # exact for any bigint; null equals null
+                rough[same] = np.inf
                 out = []
                 for n in range(len(x)):
                     near = np.flatnonzero(rough[n] <= rough[n].min() + 1e-9)

@@ -103,12 +103,3 @@ def shared_grams(outputs: DataFrame, inputs: DataFrame, text: str, key: str, siz
     n = outputs.where(F.col(text).isNotNull()).select(key).distinct().count()
     common = cut(outputs).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == n).select("gram")
     return common.join(cut(inputs).select("gram").distinct(), "gram", "left_anti").where(~F.array_contains(F.lit(list(constants)) if constants else F.array().cast("array<string>"), F.col("gram")))
-
-
-def maximal(runs: list[bytes]) -> list[bytes]:
-    """The runs that are no part of a longer kept one, longest first."""
-    kept: list[bytes] = []
-    for run in sorted(set(runs), key=lambda r: (-len(r), r)):
-        if not any(run in k for k in kept):
-            kept.append(run)
-    return kept

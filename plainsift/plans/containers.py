@@ -122,7 +122,7 @@ union all select doc_id, 2, 'record 16', 8 + octet_length(b) + 3 + octet_length(
   case seq when 0 then 8 when 1 then 25 when 2 then 19 + n when 3 then 22 when 4 then 12 end length from d, (values (0, 'signature'), (1, 'IHDR'), (2, 'tEXt'), (3, 'IDAT'), (4, 'IEND')) c(seq, kind)""",
     "cleaned_folder": f"with d as (select doc_id, {_KIND} k from documents) select doc_id || '.' || k path, case k when 'text' then 'kept as text' when 'unknown' then 'not supported' else 'cleaned' end outcome, case when k not in ('text', 'unknown', 'empty') then k end format, case k "
     + " ".join(f"when '{k}' then {n}" for k, n in _REMOVED.items())
-    + " end removed, case k when 'text' then 'plain text has no metadata container' when 'unknown' then 'a type no handler reads; not copied' when 'empty' then 'empty: nothing to remove' end notes from d",
+    + " end removed, case k when 'text' then 'text only, no place for fields' when 'unknown' then 'unknown type, left out' when 'empty' then 'no bytes, so no fields' end notes from d",
     "cleaned_twice": f"select {_KIND} format, count(*) n, true stable from documents where {_KIND} not in ('text', 'unknown', 'empty') group by 1",
     "harness_gate": "select * from (values ('clean', false, false), ('leaky', true, false), ('version', false, false), ('noisy', false, true)) t(stub, leaks, noisy)",
     "guard_gate": "select * from (values ('clean', 'pass', null), ('leaky', 'pass', null), ('version', 'fail', 'c' || chr(0) || chr(5) || 'tag-1')) t(tool, verdict, signature)",

@@ -40,17 +40,29 @@ def install_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "k", "full_outer").where(~F.col("left_nation").eqNullSafe(F.col("right_nation")))
 
 
+EXPECTED_GROUPS = ("Title",)
+EXPECTED_TAGS = ("Line1",)
+
+
 def leak_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each document's format, kind and language, the first line of its text that still holds it."""
+    """Of each document's source, format, kind and language, the first line of its text that still holds it. The first line is
+    the title, where a value is expected, as it is in the line after."""
     docs = table(spark, sf_dir, "documents")
-    values = docs.select(F.col("doc_id").alias("file_id"), F.explode(F.array("about_format", "doc_kind", "lang")).alias("value"))
-    tags = docs.select(F.col("doc_id").alias("file_id"), F.posexplode(F.split("text", "\n")).alias("seq", "text")).select("file_id", "seq", F.concat(F.lit("Text:Line"), F.col("seq")).alias("key"), "text")
-    return matching.leak_search(values, tags)
+    line = F.transform(F.split("text", "\n"), lambda x, n: F.struct(F.concat(F.when(n == 0, "Title:Line").otherwise("Text:Line"), n).alias("key"), x.alias("text")))
+    rows = docs.where("text is not null").select(F.col("doc_id").alias("file_id"), F.array("source", "about_format", "doc_kind", "lang").alias("values"), line.alias("tags"))
+    return matching.leaks_within(rows, "file_id", "values", "tags", EXPECTED_GROUPS, EXPECTED_TAGS)
+
+
+def leak_search_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values removed between the two copies of the cells, searched in what the measured copy and the notes of its files hold."""
+    gone = field_diff(spark, sf_dir).where("status in ('removed', 'changed')").select("file_id", F.col("before").alias("value"))
+    kept = _described(spark, sf_dir, "measured").select("file_id", F.col("locus").alias("seq"), F.concat(F.lit("Cell:"), F.col("locus")).alias("key"), F.col("value").alias("text"))
+    return matching.leak_search(gone, kept, expected_tags=["reason"])
 
 
 def planted_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many leaks are left per value."""
-    return leak_search(spark, sf_dir).groupBy("value").agg(F.count(F.lit(1)).alias("n_files"))
+    return leak_search(spark, sf_dir).where("not expected").groupBy("value").agg(F.count(F.lit(1)).alias("n_files"))
 
 
 SIGNATURES = [(1, "suffix", ".jpg", "jpeg"), (2, "suffix", ".m4a", "m4a"), (3, "suffix", ".mp4", "mp4"), (4, "suffix", ".docx", "docx"), (5, "suffix", ".xlsx", "xlsx"), (6, "suffix", ".pdf", "pdf"), (7, "prefix", "exports/", "export"), (8, "contains", "/", "nested"), (9, "regexp", "^[a-z_0-9]+\\.[a-z0-9]+$", "plain")]
@@ -94,13 +106,15 @@ def semi_used_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unused_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers without orders."""
-    return table(spark, sf_dir, "customer").select("c_custkey").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    """Customers without an order of more than 300,000."""
+    large = table(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey").join(large, "c_custkey", "left_anti")
 
 
 def orphan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records whose tree is not listed."""
-    return table(spark, sf_dir, "scrub_results").select("row_id", "tree_id").join(table(spark, sf_dir, "source_trees").select("tree_id"), "tree_id", "left_anti").select("row_id")
+    """Records whose tree is not listed as one that may be written to."""
+    trees = table(spark, sf_dir, "source_trees").where("not read_only").select("tree_id")
+    return table(spark, sf_dir, "scrub_results").select("row_id", "tree_id").join(trees, "tree_id", "left_anti").select("row_id")
 
 
 def reachable_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,10 +132,11 @@ def connected_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def positional_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers and suppliers matched by position, and whether their balances have the same sign."""
+    """Customers and suppliers matched by position, and whether their balances have the same sign; a position that one side lacks
+    is a mismatch and has no answer."""
     a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pos"), (F.col("c_acctbal") >= 0).alias("a"))
     b = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("pos"), (F.col("s_acctbal") >= 0).alias("b"))
-    return a.join(b, "pos").select("pos", (F.col("a") == F.col("b")).alias("same"))
+    return a.join(b, "pos", "full_outer").select("pos", (F.col("a") == F.col("b")).alias("same"), (F.col("a").isNull() | F.col("b").isNull()).alias("unmatched"))
 
 
 EXIT_CODES = {"cleaned": 0, "kept as text": 0, "kept unscrubbed": 0, "skipped": 8, "dropped": 0, "not supported": 3, "refused": 4, "error": 1}
@@ -136,7 +151,7 @@ def exit_code_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (field_diff, status_counts, evidence_diff, install_diff, leak_search, planted_left, dispatch_first_match, asof_runs, range_annotate, text_under_box, semi_used_parts, unused_customers, orphan_lines, reachable_parts, connected_nations, positional_match, exit_code_lookup)
+    for f in (field_diff, status_counts, evidence_diff, install_diff, leak_search, leak_search_tables, planted_left, dispatch_first_match, asof_runs, range_annotate, text_under_box, semi_used_parts, unused_customers, orphan_lines, reachable_parts, connected_nations, positional_match, exit_code_lookup)
 }
 
 _LATEST = "(select * from cells_{0} qualify row_number() over (partition by cell_id order by loaded_at desc nulls last) = 1)"
@@ -145,9 +160,9 @@ _DIFF = f"""with {_EAV.format('published')}, {_EAV.format('measured')}, diff as
   case when m.file_id is null then 'removed' when p.file_id is null then 'added' when p.value is not distinct from m.value then 'kept' else 'changed' end status, p.value before, m.value after
   from published p full join measured m on p.file_id = m.file_id and p.locus = m.locus)
 """
-_LEAKS = """with vals as (select distinct file_id, value from (select doc_id file_id, about_format as value from documents union all select doc_id, doc_kind from documents union all select doc_id, lang from documents) where value <> ''),
-tags as (select doc_id file_id, i - 1 seq, lines[i] txt from (select doc_id, string_split(text, chr(10)) lines from documents where text is not null), unnest(range(1, len(lines) + 1)) u(i)),
-leaks as (select v.file_id, value, 'Text:Line' || min(seq) as key from vals v join tags t on t.file_id = v.file_id where contains(lower(txt), lower(value)) group by 1, 2)
+_LEAKS = """with vals as (select distinct file_id, trim(value) as value from (select doc_id file_id, unnest([source, about_format, doc_kind, lang]) as value from documents) where length(trim(value)) >= 5 and not starts_with(trim(value), '(')),
+tags as (select doc_id file_id, i - 1 seq, case when i = 1 then 'Title:Line0' else 'Text:Line' || (i - 1) end as key, lines[i] txt from (select doc_id, string_split(text, chr(10)) lines from documents where text is not null), unnest(range(1, len(lines) + 1)) u(i)),
+leaks as (select v.file_id, value, arg_min(key, seq) as key, min(seq) <= 1 expected from vals v join tags t on t.file_id = v.file_id where contains(lower(key || ' ' || txt), lower(value)) group by 1, 2)
 """
 SQL = {
     "field_diff": _DIFF + "select * from diff",
@@ -155,16 +170,17 @@ SQL = {
     "evidence_diff": f"select p.cell_id, p.verdict published, m.verdict measured, case when m.verdict is null or (m.verdict = 'not_tested' and p.verdict is not null and p.verdict <> 'not_tested') then 'unmeasured' when p.verdict is not distinct from m.verdict then 'confirmed' else 'difference' end status from {_LATEST.format('published')} p left join {_LATEST.format('measured')} m on p.cell_id = m.cell_id",
     "install_diff": "select coalesce(c_custkey, s_suppkey) k, c_nationkey left_nation, s_nationkey right_nation from customer full join supplier on c_custkey = s_suppkey where c_nationkey is distinct from s_nationkey",
     "leak_search": _LEAKS + "select * from leaks",
-    "planted_left": _LEAKS + "select value, count(*) n_files from leaks group by 1",
+    "leak_search_tables": _DIFF + ", vals as (select distinct file_id, trim(before) as value from diff where status in ('removed', 'changed') and length(trim(before)) >= 5 and not starts_with(trim(before), '(')), hits as (select v.file_id, v.value, m.locus from vals v join measured m on m.file_id = v.file_id where contains(lower('Cell:' || m.locus || ' ' || m.value), lower(v.value))) select file_id, value, 'Cell:' || min(locus) as key, min(locus) = 'reason' expected from hits group by 1, 2",
+    "planted_left": _LEAKS + "select value, count(*) n_files from leaks where not expected group by 1",
     "dispatch_first_match": "select row_id, loaded_at, path, case when path like '%.jpg' then 'jpeg' when path like '%.m4a' then 'm4a' when path like '%.mp4' then 'mp4' when path like '%.docx' then 'docx' when path like '%.xlsx' then 'xlsx' when path like '%.pdf' then 'pdf' when path like 'exports/%' then 'export' when path like '%/%' then 'nested' when regexp_matches(path, '^[a-z_0-9]+\\.[a-z0-9]+$') then 'plain' else 'unknown' end matched from scrub_results",
     "asof_runs": "select p.event_id, max_by(s.event_id, (s.ts, s.event_id)) signup_id from (select * from events where event_type = 'purchase') p left join (select * from events where event_type = 'signup') s on p.user_id = s.user_id and s.ts <= p.ts group by 1",
     "range_annotate": "select o_orderkey, case when o_totalprice >= 150000 and o_totalprice < 1e12 then 'top' when o_totalprice >= 30000 and o_totalprice < 200000 then 'upper' when o_totalprice >= 1000 and o_totalprice < 50000 then 'middle' when o_totalprice >= 0 and o_totalprice < 1000 then 'low' end label from orders",
     "text_under_box": "with p as (select vec_id, cast(embedding[1] as double) x, cast(embedding[2] as double) y from embeddings), b(seq, x0, x1, y0, y1) as (values " + ", ".join(f"({s}, {a}::double, {b}::double, {c}::double, {d}::double)" for s, a, b, c, d in BOXES) + ") select vec_id, seq box from p join b on x between x0 and x1 and y between y0 and y1 and vec_id < seq",
     "semi_used_parts": "select p_partkey from part where exists (select 1 from lineitem where l_partkey = p_partkey)",
-    "unused_customers": "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)",
-    "orphan_lines": "select row_id from scrub_results r where not exists (select 1 from source_trees t where t.tree_id = r.tree_id)",
+    "unused_customers": "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000)",
+    "orphan_lines": "select row_id from scrub_results r where not exists (select 1 from source_trees t where t.tree_id = r.tree_id and not t.read_only)",
     "reachable_parts": "with recursive r(node, depth) as (select p_partkey, 0 from part where p_partkey = 1 union all select p_partkey, depth + 1 from r join part on p_partkey // 2 = node and p_partkey > 1 where p_size <= 45) select node, depth from r",
     "connected_nations": "select s_suppkey + 1000 node, cast(n_regionkey as bigint) component from supplier join nation on s_nationkey = n_nationkey union all select n_nationkey + 100, n_regionkey from nation union all select distinct n_regionkey, n_regionkey from nation",
-    "positional_match": "select c_custkey pos, (c_acctbal >= 0) = (s_acctbal >= 0) same from customer join supplier on c_custkey = s_suppkey",
+    "positional_match": "select coalesce(c_custkey, s_suppkey) pos, (c_acctbal >= 0) = (s_acctbal >= 0) same, c_custkey is null or s_suppkey is null unmatched from customer full join supplier on c_custkey = s_suppkey",
     "exit_code_lookup": "select row_id, loaded_at, case outcome " + " ".join(f"when '{k}' then {v}" for k, v in EXIT_CODES.items()) + " else 9 end code from scrub_results",
 }

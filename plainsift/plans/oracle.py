@@ -12,45 +12,6 @@ FEATURES = ("quantity", "discount", "tax", "linestatus", "shipyear")
 CHANNELS = {"quantity": "numbers", "discount": "numbers", "tax": "numbers", "linestatus": "states"}
 
 
-def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each part (the group) and line number (the repeat) the first line's features, as a long table."""
-    lines = table(spark, sf_dir, "lineitem").withColumns({"group": F.pmod("l_suppkey", F.lit(7)).cast("string"), "repeat": F.col("l_linenumber")})
-    money = lambda c: F.col(f"r.{c}").cast("decimal(12,2)").cast("string")
-    first = lines.groupBy("group", "repeat").agg(F.min("l_orderkey").alias("l_orderkey"))  # a hash aggregate of one number
-    row = F.struct("l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax", "l_linestatus")
-    one = lines.join(first, ["group", "repeat", "l_orderkey"]).groupBy("group", "repeat").agg(F.min(row).alias("r"))
-    one = one.select("group", "repeat", F.struct(money("l_quantity").alias("quantity"), money("l_discount").alias("discount"), money("l_tax").alias("tax"), F.col("r.l_linestatus").alias("linestatus"), F.year("r.l_shipdate").cast("string").alias("shipyear")).alias("r"))
-    wide = one.select("group", "repeat", *[F.col(f"r.{f}").alias(f) for f in FEATURES])
-    return wide.unpivot(["group", "repeat"], list(FEATURES), "feature_id", "value")
-
-
-def variance_decompose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which features vary within suppliers' groups, and which separate them."""
-    return variance.decompose(_grid(spark, sf_dir))
-
-
-def noise_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of one group, the features that vary over its repeats."""
-    return variance.noise_floor(_grid(spark, sf_dir).where("group = '0'"), 7, True)
-
-
-def a1_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The verdict over all features, with the leaking ones."""
-    return variance.verdict(variance.decompose(_grid(spark, sf_dir))).select("verdict", "reason", F.array_join("leaks", ",").alias("leaks"))
-
-
-def leak_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first value of each group, per feature."""
-    return variance.evidence(_grid(spark, sf_dir))
-
-
-def leaks_by_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaking features per channel. Every feature is looked at by the channel of its values."""
-    channels = spark.createDataFrame(list(CHANNELS.items()), "feature_id string, channel string")
-    found = variance.decompose(_grid(spark, sf_dir)).withColumn("leak", F.col("n_between") > 1)
-    return variance.leaks_by_channel(found, channels)
-
-
 LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")  # tells lines apart: order and line number alone don't
 
 
@@ -62,28 +23,28 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.unpivot(["group", "repeat"], list(FEATURES), "feature_id", "value")
 
 
-def variance_decompose_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def variance_decompose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which features vary within suppliers, and which separate them, over every line."""
     return variance.decompose(_lines(spark, sf_dir))
 
 
-def noise_floor_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def noise_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The features that vary over all lines, taken as the repeats of one input."""
     n = table(spark, sf_dir, "lineitem").select(F.count_distinct(F.struct(*LINE))).first()[0]
     return variance.noise_floor(_lines(spark, sf_dir), n, True)
 
 
-def a1_verdict_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def a1_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict over all features of every line, with the leaking ones."""
     return variance.verdict(variance.decompose(_lines(spark, sf_dir))).select("verdict", "reason", F.array_join("leaks", ",").alias("leaks"))
 
 
-def leak_evidence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def leak_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The value of each supplier's first line, per feature; every line is compared for it."""
     return variance.evidence(_lines(spark, sf_dir))
 
 
-def leaks_by_channel_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def leaks_by_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features per channel that separate suppliers, over every line."""
     channels = spark.createDataFrame(list(CHANNELS.items()), "feature_id string, channel string")
     found = variance.decompose(_lines(spark, sf_dir)).withColumn("leak", F.col("n_between") > 1)
@@ -110,8 +71,11 @@ def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The times no event of a user covers."""
-    return intervals.gaps(_spans(spark, sf_dir), "user_id")
+    """The times of a user's days, from the first to the last, that no event covers."""
+    spans = _spans(spark, sf_dir)
+    day = lambda c: F.floor(c / 86400) * 86400
+    days = spans.groupBy("user_id").agg(day(F.min("start")).alias("low"), (day(F.max("start")) + 86400).alias("high"))
+    return intervals.gaps(spans, "user_id", days)
 
 
 def merge_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,16 +104,8 @@ def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.first_seen(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
 
 
-QUERIES = {f.__name__: f for f in (variance_decompose, noise_floor, a1_verdict, leak_evidence, leaks_by_channel, variance_decompose_lines, noise_floor_lines, a1_verdict_lines, leak_evidence_lines, leaks_by_channel_lines, disagreeing_runs, common_grams, coverage_gaps, merge_spans, interval_overlaps, running_offsets, fragments_complete, first_seen)}
+QUERIES = {f.__name__: f for f in (variance_decompose, noise_floor, a1_verdict, leak_evidence, leaks_by_channel, disagreeing_runs, common_grams, coverage_gaps, merge_spans, interval_overlaps, running_offsets, fragments_complete, first_seen)}
 
-_GRID = """with one as (select cast(l_suppkey % 7 as varchar) grp, l_linenumber rep, cast(cast(l_quantity as decimal(12,2)) as varchar) quantity, cast(cast(l_discount as decimal(12,2)) as varchar) discount,
-  cast(cast(l_tax as decimal(12,2)) as varchar) tax, l_linestatus linestatus, cast(year(l_shipdate) as varchar) shipyear from lineitem
-  qualify row_number() over (partition by l_suppkey % 7, l_linenumber order by l_orderkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity, l_discount, l_tax) = 1),
-grid as (""" + " union all ".join(f"select grp, rep, '{f}' feature_id, {f} as value from one" for f in FEATURES) + """),
-counts as (select feature_id, grp, value, count(*) n, min(rep) first from grid group by 1, 2, 3),
-mode as (select feature_id, grp, value, count(*) over (partition by feature_id, grp) n_values from counts qualify row_number() over (partition by feature_id, grp order by n desc, first, value) = 1),
-verdicts as (select feature_id, max(n_values) > 1 floor, count(distinct value) > greatest(max(n_values), 1) leak, count(distinct value) n_between, max(n_values) max_within from mode group by 1)
-"""
 _LINES = """with lines as (select cast(l_suppkey as varchar) grp, row(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) rep, cast(cast(l_quantity as decimal(12,2)) as varchar) quantity, cast(cast(l_discount as decimal(12,2)) as varchar) discount,
   cast(cast(l_tax as decimal(12,2)) as varchar) tax, l_linestatus linestatus, cast(year(l_shipdate) as varchar) shipyear from lineitem),
 grid as (""" + " union all ".join(f"select grp, rep, '{f}' feature_id, {f} as value from lines where {f} is not null" for f in FEATURES) + """),
@@ -157,22 +113,19 @@ counts as (select feature_id, grp, value, count(*) n, min(rep) first from grid g
 mode as (select feature_id, grp, value, count(*) over (partition by feature_id, grp) n_values from counts qualify row_number() over (partition by feature_id, grp order by n desc, first, value) = 1),
 verdicts as (select feature_id, max(n_values) > 1 floor, count(distinct value) > greatest(max(n_values), 1) leak, count(distinct value) n_between, max(n_values) max_within from mode group by 1)
 """
-_SPANS = "with spans as (select user_id, event_id, cast(floor(epoch(ts)) as bigint) s, cast(floor(epoch(ts)) as bigint) + cast(ceil(value * 60) as bigint) e from events), full_spans as (select * from spans where e > s)\n"
+_SPANS = "with spans as (select user_id, event_id, cast(floor(epoch(ts)) as bigint) s, cast(floor(epoch(ts)) as bigint) + cast(ceil(value * 60) as bigint) e from events), full_spans as (select * from spans where e > s)"
 SQL = {
-    "variance_decompose": _GRID + "select * from verdicts",
-    "noise_floor": _GRID + "select feature_id, count(distinct value) + case when count(distinct rep) < 7 then 1 else 0 end n_values, count(distinct value) + case when count(distinct rep) < 7 then 1 else 0 end > 1 floor from grid where grp = '0' group by 1",
-    "a1_verdict": _GRID + "select case when bool_or(leak) then 'fail' else 'pass' end verdict, case when bool_or(leak) then 'variant_correlated_leak' end reason, coalesce(string_agg(feature_id, ',' order by feature_id) filter (where leak), '') leaks from verdicts",
-    "leak_evidence": _GRID + "select feature_id, string_agg(grp || '=' || lower(hex(encode(value))), '; ' order by grp) evidence from grid where rep = (select min(rep) from grid g where g.grp = grid.grp and g.feature_id = grid.feature_id) group by 1",
-    "leaks_by_channel": _GRID + "select case feature_id " + " ".join(f"when '{f}' then '{c}'" for f, c in CHANNELS.items()) + " else 'unclassified' end channel, string_agg(feature_id, ',' order by feature_id) features from verdicts where n_between > 1 group by 1",
-    "variance_decompose_lines": _LINES + "select * from verdicts",
-    "noise_floor_lines": _LINES + ", n as (select count(distinct rep) n from lines) select feature_id, count(distinct value) + case when count(distinct rep) < max(n) then 1 else 0 end n_values, count(distinct value) + case when count(distinct rep) < max(n) then 1 else 0 end > 1 floor from grid, n group by 1",
-    "a1_verdict_lines": _LINES + "select case when bool_or(leak) then 'fail' else 'pass' end verdict, case when bool_or(leak) then 'variant_correlated_leak' end reason, coalesce(string_agg(feature_id, ',' order by feature_id) filter (where leak), '') leaks from verdicts",
-    "leak_evidence_lines": _LINES + "select feature_id, string_agg(grp || '=' || lower(hex(encode(value))), '; ' order by grp) evidence from (select * from grid qualify row_number() over (partition by feature_id, grp order by rep) = 1) group by 1",
-    "leaks_by_channel_lines": _LINES + "select case feature_id " + " ".join(f"when '{f}' then '{c}'" for f, c in CHANNELS.items()) + " else 'unclassified' end channel, string_agg(feature_id, ',' order by feature_id) features from verdicts where n_between > 1 group by 1",
+    "variance_decompose": _LINES + "select * from verdicts",
+    "noise_floor": _LINES + ", n as (select count(distinct rep) n from lines) select feature_id, count(distinct value) + case when count(distinct rep) < max(n) then 1 else 0 end n_values, count(distinct value) + case when count(distinct rep) < max(n) then 1 else 0 end > 1 floor from grid, n group by 1",
+    "a1_verdict": _LINES + "select case when bool_or(leak) then 'fail' else 'pass' end verdict, case when bool_or(leak) then 'variant_correlated_leak' end reason, coalesce(string_agg(feature_id, ',' order by feature_id) filter (where leak), '') leaks from verdicts",
+    "leak_evidence": _LINES + "select feature_id, string_agg(grp || '=' || lower(hex(encode(value))), '; ' order by grp) evidence from (select * from grid qualify row_number() over (partition by feature_id, grp order by rep) = 1) group by 1",
+    "leaks_by_channel": _LINES + "select case feature_id " + " ".join(f"when '{f}' then '{c}'" for f, c in CHANNELS.items()) + " else 'unclassified' end channel, string_agg(feature_id, ',' order by feature_id) features from verdicts where n_between > 1 group by 1",
     "common_grams": "with grams as (select distinct c_custkey k, substring(c_name, i, 4) gram from customer, unnest(range(1, length(c_name) - 2)) t(i)) select gram from grams group by 1 having count(*) = (select count(*) from customer) and gram not in (select substring(n_name, i, 4) from nation, unnest(range(1, length(n_name) - 2)) t(i))",
-    "coverage_gaps": _SPANS + "select user_id, reach gap_start, s gap_end from (select *, max(e) over (partition by user_id order by s, e rows between unbounded preceding and 1 preceding) reach from full_spans) where s > reach",
-    "merge_spans": _SPANS + "select user_id, min(s) as \"start\", max(e) as \"end\", count(*) n from (select *, sum(fresh) over (partition by user_id order by s, e rows unbounded preceding) span from (select *, case when s > max(e) over (partition by user_id order by s, e rows between unbounded preceding and 1 preceding) then 1 else 0 end fresh from full_spans)) group by user_id, span",
-    "interval_overlaps": _SPANS + "select user_id, event_id from (select *, max(e) over (partition by user_id order by s, event_id rows between unbounded preceding and 1 preceding) reach from spans) where s < reach",
+    "coverage_gaps": _SPANS + """, days as (select user_id, min(s) // 86400 * 86400 low, max(s) // 86400 * 86400 + 86400 high from spans group by 1),
+inside as (select f.user_id, greatest(s, low) s, least(e, high) e from full_spans f join days using (user_id) where least(e, high) > greatest(s, low) union all select user_id, low, low from days union all select user_id, high, high from days)
+select user_id, reach gap_start, s gap_end from (select *, max(e) over (partition by user_id order by s, e rows between unbounded preceding and 1 preceding) reach from inside) where s > reach""",
+    "merge_spans": _SPANS + " select user_id, min(s) as \"start\", max(e) as \"end\", count(*) n from (select *, sum(fresh) over (partition by user_id order by s, e rows unbounded preceding) span from (select *, case when s > max(e) over (partition by user_id order by s, e rows between unbounded preceding and 1 preceding) then 1 else 0 end fresh from full_spans)) group by user_id, span",
+    "interval_overlaps": _SPANS + " select user_id, event_id from (select *, max(e) over (partition by user_id order by s, event_id rows between unbounded preceding and 1 preceding) reach from spans) where s < reach",
     "running_offsets": "select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, 8 + coalesce(sum(cast(l_quantity as bigint)) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice rows between unbounded preceding and 1 preceding), 0) new_offset from lineitem",
     "fragments_complete": "select l_orderkey, min(l_linenumber) = 1 and max(l_linenumber) = count(*) and count(distinct l_linenumber) = count(*) complete from lineitem group by 1",
     "first_seen": "select user_id, event_type, event_id from events qualify row_number() over (partition by user_id, event_type order by ts, event_id) = 1",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plainsift.functions import text
 from plainsift.operators import matching, reporting
+from plainsift.operators.folder import WRITTEN
 from plainsift.shared import clean, current_rows, table
 
 OUTCOMES = ("cleaned", "kept as text", "kept unscrubbed", "not supported", "refused", "dropped", "skipped", "error")
@@ -30,9 +31,9 @@ def outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each tree's run is complete: no error, no refusal and no skipped link."""
+    """Whether each tree's run is complete: every file but sidecars was written, so a refusal or an unsupported type counts."""
     rows = _records(spark, sf_dir, "tree_id", "outcome")
-    return rows.groupBy("tree_id").agg(F.count(F.lit(1)).alias("n_files"), F.bool_and(~F.col("outcome").isin("error", "refused", "skipped")).alias("complete"))
+    return rows.groupBy("tree_id").agg(F.count(F.lit(1)).alias("n_files"), F.bool_and(F.coalesce(F.col("outcome").isin(*WRITTEN, "dropped"), F.lit(False))).alias("complete"))
 
 
 def modal_value(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,12 +53,14 @@ def object_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tag_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per locus, how many cells have it in either copy."""
+    """Per locus, how many cells have it in either copy, and whether it is gone from the measured one."""
     counts = []
     for copy in ("published", "measured"):
         rows = current_rows(table(spark, sf_dir, f"cells_{copy}"), "cell_id", ["loaded_at"], ["cell_id", "adversary", "reason", "verdict"])
         counts.append(rows.unpivot("cell_id", ["adversary", "reason", "verdict"], "locus", "value").where("value is not null").groupBy("locus").agg(F.count(F.lit(1)).alias(f"n_{copy}")))
-    return counts[0].join(counts[1], "locus", "full_outer")
+    both = counts[0].join(counts[1], "locus", "full_outer")
+    state = F.when(F.coalesce("n_measured", F.lit(0)) == 0, "gone").when(F.coalesce("n_published", F.lit(0)) == 0, "new").otherwise("remaining")
+    return both.withColumn("state", state)
 
 
 def coverage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,11 +178,11 @@ _SIZE = "case when bytes_before < 1024 then bytes_before || ' B' when bytes_befo
 SQL = {
     "results_sheet": _R + f"select row_id, path, outcome, format, case when bytes_before >= 0 then {_SIZE} end size, removed from r",
     "outcome_counts": _R + "select coalesce(outcome, 'all') outcome, count(*) n from r group by rollup(outcome)",
-    "run_complete": _R + "select tree_id, count(*) n_files, bool_and(outcome not in ('error', 'refused', 'skipped')) complete from r group by 1",
+    "run_complete": _R + "select tree_id, count(*) n_files, count(*) filter (where outcome in ('cleaned', 'kept as text', 'kept unscrubbed', 'dropped')) = count(*) complete from r group by 1",
     "modal_value": "with c as (select o_custkey, o_orderpriority v, count(*) n from orders group by 1, 2) select o_custkey, v || case when k > 0 then ' +' || k || ' more' else '' end modal from (select *, count(*) over (partition by o_custkey) - 1 k from c qualify row_number() over (partition by o_custkey order by n desc, v) = 1)",
     "set_intersection": "with h as (select distinct l_suppkey, l_linenumber, l_returnflag from lineitem), m as (select l_suppkey, count(distinct l_linenumber) n from h group by 1), s as (select l_suppkey, l_returnflag, count(*) k from h group by 1, 2) select m.l_suppkey, coalesce(string_agg(l_returnflag, ',' order by l_returnflag) filter (where k = n), 'varies') outcome from m join s on s.l_suppkey = m.l_suppkey group by 1",
     "object_ledger": "select user_id, count(*) - 1 superseded, not bool_or(event_type = 'purchase') orphaned from events group by 1",
-    "tag_groups": "select * from (select unnest(['adversary', 'reason', 'verdict']) locus, unnest([count(adversary), count(reason), count(verdict)]) n_published from " + _CELLS.format("published") + ") join (select unnest(['adversary', 'reason', 'verdict']) locus, unnest([count(adversary), count(reason), count(verdict)]) n_measured from " + _CELLS.format("measured") + ") using (locus)",
+    "tag_groups": "select *, case when n_measured = 0 then 'gone' when n_published = 0 then 'new' else 'remaining' end state from (select unnest(['adversary', 'reason', 'verdict']) locus, unnest([count(adversary), count(reason), count(verdict)]) n_published from " + _CELLS.format("published") + ") join (select unnest(['adversary', 'reason', 'verdict']) locus, unnest([count(adversary), count(reason), count(verdict)]) n_measured from " + _CELLS.format("measured") + ") using (locus)",
     "coverage_gate": "with f as (select l_partkey, count(*) t, count(*) filter (where l_returnflag = 'R' and l_quantity > 30) c from lineitem group by 1) select round(100 * cast(sum(c) filter (where c > 0) as double) / (sum(t) filter (where c > 0)), 2) gated_percent, round(100 * cast(sum(c) as double) / sum(t), 2) overall_percent, count(*) filter (where c = 0) untouched from f",
     "area_buckets": "with c as (select *, case when contains(o_orderpriority, 'URGENT') then 'hot' when contains(o_orderpriority, 'HIGH') then 'warm' when contains(o_orderpriority, 'E') then 'cool' else 'cold' end a, case when o_totalprice > 250000 then 'fail' else 'pass' end s from orders) select case when grouping(a) = 1 then 'all' else a end area, "
     + ", ".join(f"count(*) filter (where o_orderstatus = '{x}' and s = '{s}') \"{x}_{s}\"" for x in "FOP" for s in ("pass", "fail"))

@@ -13,13 +13,17 @@ EVERY = 20
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("bigint").alias("label"), "embedding")
+    """The vectors, with the document each belongs to: of four neighbouring numbers."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 4).alias("document"), F.col("label").cast("bigint").alias("label"), "embedding")
+
+
+def _nearest(rows: DataFrame, vector: str = "embedding") -> DataFrame:
+    return matching.nearest_other(rows.where(F.col("vec_id") % EVERY == 0), rows, "vec_id", vector, "label", "document")
 
 
 def nearest_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every vector whose id is divisible by 20, the nearest other of all vectors."""
-    rows = _vectors(spark, sf_dir)
-    found = matching.nearest_other(rows.where(F.col("vec_id") % EVERY == 0), rows, "vec_id", "embedding", "label")
+    """Of every vector whose id is divisible by 20, the nearest of all vectors outside its own document."""
+    found = _nearest(_vectors(spark, sf_dir))
     return found.select("query", "neighbour", "query_label", "neighbour_label", F.round("distance", 6).alias("distance"))
 
 
@@ -50,11 +54,16 @@ def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mean of the first and the second half of each vector, by label."""
-    rows = _vectors(spark, sf_dir).where("embedding is not null").withColumn("e", F.col("embedding").cast("array<double>"))
-    half = lambda a, n: F.aggregate(F.slice("e", a, n), F.lit(0.0), lambda acc, x: acc + x)
-    cut = F.floor(F.size("e") / 2).cast("int")
-    return rows.select("label", F.struct(half(F.lit(1), cut).alias("first"), half(cut + 1, F.size("e") - cut).alias("second")).alias("s")).groupBy("label").agg(F.round(F.avg("s.first"), 6).alias("first"), F.round(F.avg("s.second"), 6).alias("second"))
+    """The accuracy of the nearest vector outside its own document, by the whole vectors and by each half of them alone."""
+    rows = _vectors(spark, sf_dir).where("embedding is not null")
+    cut = F.floor(F.size("embedding") / 2).cast("int")
+    slices = {"whole": F.col("embedding"), "first half": F.slice("embedding", F.lit(1), cut), "second half": F.slice("embedding", cut + 1, F.size("embedding") - cut)}
+    told = []
+    for name, part in slices.items():
+        found = _nearest(rows.withColumn("embedding", part))
+        told.append(found.select(F.lit(name).alias("slice"), (F.col("query_label") == F.col("neighbour_label")).cast("int").alias("hit")))
+    every = told[0].unionByName(told[1]).unionByName(told[2])
+    return every.groupBy("slice").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits"), F.round(F.avg("hit"), 6).alias("accuracy"))
 
 
 def to_centre(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,15 +80,20 @@ def bit_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (nearest_neighbour, loo_accuracy, confusion, significance, centroids, ablation, to_centre, bit_agreement)}
 
-_NN = """with v as (select vec_id, cast(label as bigint) as label, cast(embedding as double[]) e from embeddings where embedding is not null),
-nn as (select q.vec_id query, q.label query_label, arg_min(r.vec_id, (d, r.vec_id)) neighbour, arg_min(r.label, (d, r.vec_id)) neighbour_label, min(d) distance
-  from (select *, 1 j from v where vec_id % 20 = 0) q join (select *, 1 j from v) r on q.j = r.j and q.vec_id <> r.vec_id, lateral (select list_distance(q.e, r.e) d) group by 1, 2)
-"""
+_V = "with v as (select vec_id, vec_id // 4 doc, cast(label as bigint) as label, cast(embedding as double[]) e from embeddings where embedding is not null)"
+_BEST = """select q.vec_id query, q.label query_label, arg_min(r.vec_id, (d, r.vec_id)) neighbour, arg_min(r.label, (d, r.vec_id)) neighbour_label, min(d) distance
+  from (select *, 1 j from {0} where vec_id % 20 = 0) q join (select *, 1 j from {0}) r on q.j = r.j and q.doc <> r.doc, lateral (select list_distance(q.e, r.e) d) group by 1, 2"""
+_NN = f"{_V}, nn as ({_BEST.format('v')})\n"
+_HALVES = {"whole": "e", "first half": "e[1:len(e) // 2]", "second half": "e[len(e) // 2 + 1:]"}
 SQL = {
     "nearest_neighbour": _NN + "select query, neighbour, query_label, neighbour_label, round(distance, 6) distance from nn",
     "loo_accuracy": _NN + "select count(*) n, count(*) filter (where query_label = neighbour_label) hits, round(count(*) filter (where query_label = neighbour_label) / count(*), 6) accuracy, round(1 / (select count(distinct label) from v), 6) chance from nn",
     "confusion": _NN + "select query_label, neighbour_label, count(*) n from nn group by 1, 2",
     "centroids": "with l as (select cast(label as bigint) as label, i - 1 as at_, cast(embedding[i] as double) x from embeddings, unnest(range(1, len(embedding) + 1)) t(i)), s as (select at_, avg(x) m, stddev_pop(x) d from l group by 1), c as (select label, at_, avg(x) c from l group by 1, 2) select label, cast(c.at_ as int) as \"at\", round((c - m) / (d + 1e-12), 6) centre from c join s on s.at_ = c.at_",
-    "ablation": "with v as (select cast(label as bigint) as label, cast(embedding as double[]) e from embeddings where embedding is not null) select label, round(avg(list_sum(e[1:len(e) // 2])), 6) as \"first\", round(avg(list_sum(e[len(e) // 2 + 1:])), 6) as \"second\" from v group by 1",
+    "ablation": _V
+    + "".join(f", s{n} as (select vec_id, doc, label, {e} e from v), n{n} as ({_BEST.format(f's{n}')})" for n, e in enumerate(_HALVES.values()))
+    + " select slice, count(*) n, cast(sum(hit) as bigint) hits, round(avg(hit), 6) accuracy from ("
+    + " union all ".join(f"select '{name}' slice, cast(query_label = neighbour_label as int) hit from n{n}" for n, name in enumerate(_HALVES))
+    + ") group by 1",
     "bit_agreement": "with o as (select o_orderkey, o_orderkey * 40503 % 4294967296 a, o_custkey * 40503 % 4294967296 b from orders) select o_orderkey, round(1 - bit_count(xor(a, b)) / 64, 6) agreement, cast(bit_count(xor(a, b)) as int) distance from o",
 }

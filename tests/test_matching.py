@@ -31,9 +31,9 @@ def test_field_diff_and_leaks(spark):
     b = spark.createDataFrame([(1, "x", "a"), (1, "y", None), (1, "z", "c")], "file_id int, locus string, value string")
     a = spark.createDataFrame([(1, "y", None), (1, "z", "d"), (1, "w", "e")], "file_id int, locus string, value string")
     assert {(r["locus"], r["status"]) for r in matching.field_diff(b, a).collect()} == {("x", "removed"), ("y", "kept"), ("z", "changed"), ("w", "added")}
-    values = spark.createDataFrame([(1, "Ann"), (1, ""), (1, None), (2, "Ann"), (1, "Ann")], "file_id int, value string")
-    tags = spark.createDataFrame([(1, 2, "B:t", "by ANN"), (1, 1, "A:t", "Annex"), (1, 0, "Z:t", None), (2, 1, "C:t", "nobody")], "file_id int, seq int, key string, text string")
-    assert got(matching.leak_search(values, tags)) == [(1, "Ann", "A:t")]
+    values = spark.createDataFrame([(1, "Annika"), (1, ""), (1, None), (2, "Annika"), (1, "Annika")], "file_id int, value string")
+    tags = spark.createDataFrame([(1, 2, "B:t", "by ANN"), (1, 1, "A:t", "Annikaex"), (1, 0, "Z:t", None), (2, 1, "C:t", "nobody")], "file_id int, seq int, key string, text string")
+    assert got(matching.leak_search(values, tags)) == [(1, "Annika", "A:t", False)]
 
 
 def test_evidence_statuses(spark):
@@ -70,6 +70,27 @@ def test_nearest_against_brute_force(spark, monkeypatch):
     assert {r["query"]: (r["neighbour"], round(r["distance"], 9)) for r in found} == want
 
 
+def test_neighbours_outside_the_document(spark):
+    rows = spark.createDataFrame([(0, 0, [0.0], 1), (1, 0, [0.1], 1), (2, 1, [3.0], 2), (3, None, [9.0], 2), (4, None, [9.0], 2)], "id int, d int, v array<double>, l int")
+    found = matching.nearest_other(rows, rows, "id", "v", "l", "d").collect()
+    assert {r["query"]: r["neighbour"] for r in found} == {0: 2, 1: 2, 2: 1, 3: 2, 4: 2}
+    assert matching.nearest_other(rows, rows.where("d = 0"), "id", "v", "l", "d").where("query < 2").count() == 0
+
+
+@pytest.mark.parametrize("within", [True, False])
+def test_leaks_by_the_rule(spark, within):
+    values = {1: ["ACME corp", "abcd", "(Binary data 9 bytes)", None, "  Camera X ", "title line"], 2: ["ACME corp"], 3: ["gone value"]}
+    tags = {1: [("ICC:Copyright", "acme CORP 2001"), ("EXIF:Model", "camera x"), ("XMP:Title", None), ("XMP:Line", "abcd")], 2: [("EXIF:Make", "nobody"), ("XMP:ACME corp", "")], 3: []}
+    if within:
+        rows = spark.createDataFrame([(f, values[f], tags[f]) for f in values], "f int, v array<string>, t array<struct<key:string,text:string>>")
+        found = matching.leaks_within(rows, "f", "v", "t", ["ICC"], ["Model"])
+    else:
+        v = spark.createDataFrame([(f, x) for f, xs in values.items() for x in xs], "f int, value string")
+        t = spark.createDataFrame([(f, n, *x) for f, xs in tags.items() for n, x in enumerate(xs)], "f int, seq int, key string, text string")
+        found = matching.leak_search(v, t, "f", ["ICC"], ["Model"])
+    assert got(found) == [(1, "ACME corp", "ICC:Copyright", True), (1, "Camera X", "EXIF:Model", True), (2, "ACME corp", "XMP:ACME corp", False)]
+
+
 def test_first_match_order_and_nulls(spark):
     df = spark.createDataFrame([("a.zip",), ("b",), (None,)], "t string")
     rules = [(2, "suffix", ".zip", "zip"), (1, "prefix", "a", "first")]
@@ -91,6 +112,14 @@ def test_extents_against_brute_force(spark, seed):
     holes = [(1, a[1], b[0]) for a, b in zip(runs, runs[1:])]
     assert got(intervals.merged(df, "f").select("f", "start", "end")) == sorted(((1, *r) for r in runs), key=repr)
     assert got(intervals.gaps(df, "f")) == sorted(holes, key=repr)
+    bounds = spark.createDataFrame([(1, 5, 80), (2, 3, 9), (3, 4, 4), (4, None, 2)], "f int, low int, high int")
+    free, inner = sorted(set(range(5, 80)) - set(covered)), []
+    for p in free:
+        if inner and inner[-1][2] == p:
+            inner[-1][2] = p + 1
+        else:
+            inner.append([1, p, p + 1])
+    assert got(intervals.gaps(df, "f", bounds)) == sorted([*map(tuple, inner), (2, 3, 9)], key=repr)
 
 
 def test_offsets_and_completeness(spark):
@@ -132,8 +161,7 @@ def test_runs_of_differences(spark):
     assert got(variance.disagreeing_runs(df, "c", "m", "t")) == [("a", "byte@2:1"), ("a", "byte@4:1"), ("b", "byte_tail@2"), ("b", "length_divergence"), ("c", "byte_tail@2"), ("c", "length_divergence")]
 
 
-def test_maximal_and_grams(spark):
-    assert variance.maximal([b"abc", b"bc", b"xy", b"abc"]) == [b"abc", b"xy"]
+def test_grams(spark):
     out = spark.createDataFrame([(1, "--tag-7--"), (2, "xtag-7y"), (3, None)], "k int, t string")
     inputs = spark.createDataFrame([(1, "ag-7")], "k int, t string")
     assert got(variance.shared_grams(out, inputs, "t", "k", 4)) == [("tag-",)]
