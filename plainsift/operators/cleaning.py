@@ -14,6 +14,7 @@ import zlib
 from collections.abc import Callable
 
 from plainsift.operators import packages
+from plainsift.operators.beside import is_text, sidecar
 from plainsift.sources.containers import Malformed, Part, member_bytes, parts, recognise
 
 # The parts that define a picture or its rendering, and the parts of a film that may go.
@@ -27,7 +28,8 @@ ISO_GONE = frozenset(["udta", "meta", "uuid", "free", "skip", "wide"])
 ISO_REFUSED = frozenset(["moof", "mfra", "sidx", "styp", "ssix", "emsg", "sinf", "pssh", "schm", "frma", "senc", "tenc"])
 TIFF_BLANK = frozenset([0x010E, 0x0131, 0x0132, 0x013C, 0x9003, 0x9004, 0x9010, 0x9011, 0x9012, 0x9290, 0x9291, 0x9292, 0x9286, 0xC62F, 0xC68B, 0x010D, 0x011D, 0x010F, 0x0110, 0x013B, 0x8298, 0x9C9B, 0x9C9C, 0x9C9D, 0x9C9E, 0x9C9F, *range(0xA430, 0xA43D), 0xA420, 0x02BC, 0x83BB, 0x8649, 0x927C])
 PACKAGES = ("docx", "xlsx", "pptx", "epub")
-PACKAGE_GONE = re.compile(r"docProps/(?:core|app|custom)\.xml|docProps/thumbnail\..*|.*/printerSettings/.*|customXml/.*|__MACOSX/.*|(?:.*/)?(?:\.DS_Store|Thumbs\.db|\._.*)")
+#: Archives inside archives that are opened; more may be made to fill the memory.
+MAX_NESTED = 16
 
 
 def _kept(data: bytes, kept: list[Part]) -> bytes:
@@ -152,12 +154,66 @@ def zip_bytes(members: list[tuple[str, bytes]]) -> bytes:
     return b"".join(body) + listed + b"PK\5\6" + struct.pack("<HHHHIIH", 0, 0, len(members), len(members), len(listed), at, 0)
 
 
-def _zip(data: bytes) -> bytes:
-    out = []
+def _contents(data: bytes) -> list[tuple[str, bytes, str | None, str]]:
+    """Name, bytes, kind and fate of every member of an archive: `folder`, `beside` (it goes), `text`, `known` or `unknown`."""
+    out, seen = [], set()
     for p in parts("zip", data):
-        if p.kind.startswith("member ") and not PACKAGE_GONE.fullmatch(p.more[0]):
-            out.append((p.more[0], member_bytes(data, p)))
-    return zip_bytes(out)
+        if not p.kind.startswith("member "):
+            continue
+        name, body = p.more[0], member_bytes(data, p)
+        if name in seen:
+            raise Malformed(f"{name}: two members of one name")
+        seen.add(name)
+        kind = recognise(body) if body else None
+        if name.endswith("/"):
+            fate = "folder"
+        elif sidecar(name, body[:64]):
+            fate = "beside"
+        else:
+            fate = "known" if kind else "text" if is_text(body) else "unknown"
+        out.append((name, body, kind, fate))
+    return out
+
+
+def _zip(data: bytes, depth: int = 0) -> bytes:
+    """The archive rebuilt in the order of names: each member cleaned by the rules of its own kind, plain text as it is, empty
+    folders, and nothing of what lies beside files. A member that no rule knows refuses the archive, by its name."""
+    if depth > MAX_NESTED:
+        raise Malformed(f"archives in archives more than {MAX_NESTED} deep")
+    found = _contents(data)
+    if unknown := [name for name, _, _, fate in found if fate == "unknown"]:
+        raise Malformed(f"{len(unknown)} members of unknown types: " + ", ".join(unknown[:10]) + ("" if len(unknown) <= 10 else ", ..."))
+    out = {}
+    for name, body, kind, fate in found:
+        if fate == "known":
+            try:
+                out[name] = _zip(body, depth + 1) if kind == "zip" else clean(kind, body)
+            except Malformed as e:
+                raise Malformed(f"{name}: {e}") from e
+        elif fate == "text":
+            out[name] = body
+    out |= {name: b"" for name, _, _, fate in found if fate == "folder" and not any(o.startswith(name) for o in out) and not name.startswith("__MACOSX/")}
+    return zip_bytes(sorted(out.items()))
+
+
+def _zip_left(data: bytes) -> list[str]:
+    left = []
+    for name, body, kind, fate in _contents(data):
+        if fate == "known":
+            left += [f"{name}: {r}" for r in residuals(kind, body)]
+        elif fate in ("beside", "unknown"):
+            left.append(name)
+    return left
+
+
+def _zip_told(data: bytes) -> list[tuple[str, bytes]]:
+    told = []
+    for name, body, kind, fate in _contents(data):
+        if fate == "known":
+            told += [(f"{name}: {n}", v) for n, v in _told(kind, body)]
+        elif fate == "beside":
+            told.append((f"member {name}", body))
+    return told
 
 
 def _members(data: bytes) -> dict[str, bytes]:
@@ -218,15 +274,24 @@ def _iso(data: bytes) -> bytes:
     if [p.kind for p in kept].count("moov") != 1 or kept[0].kind != "ftyp":
         raise Malformed("not one movie after its type")
 
-    def box(p: Part) -> bytes:
+    tables: list[tuple[int, int, int]] = []  # start and end of the entries of each table of offsets in the movie, and their width
+
+    def box(p: Part, at: int = 0) -> bytes:
         inner = [q for q in walked if q.kind.startswith(p.kind + "/") and "/" not in q.kind[len(p.kind) + 1 :] and p.at < q.at < p.end]
         name = p.kind.rpartition("/")[2]
         if inner:
-            content = b"".join(box(q) for q in inner if q.kind.rpartition("/")[2] not in ISO_GONE)
+            content = b""
+            for q in inner:
+                if q.kind.rpartition("/")[2] not in ISO_GONE:
+                    content += box(q, at + 8 + len(content))
         else:
             content = bytearray(p.payload(data))
             if name in ("mvhd", "tkhd", "mdhd") and len(content) >= 20:
                 content[4 : 20 if content[0] == 1 else 12] = bytes(16 if content[0] == 1 else 8)
+            if name in ("stco", "co64") and len(content) >= 8:
+                width = 4 if name == "stco" else 8
+                n = min(int.from_bytes(content[4:8], "big"), (len(content) - 8) // width)
+                tables.append((at + 16, at + 16 + n * width, width))
             content = bytes(content)
         return struct.pack(">I", 8 + len(content)) + name.encode("latin-1") + content
 
@@ -244,15 +309,9 @@ def _iso(data: bytes) -> bytes:
         raise Malformed("samples lie outside the media")
 
     movie = bytearray(movie)
-    for sign, width in ((b"stco", 4), (b"co64", 8)):
-        pos = movie.find(sign)
-        while pos >= 0:
-            n = int.from_bytes(movie[pos + 8 : pos + 12], "big")
-            if pos + 12 + n * width <= len(movie):
-                for k in range(n):
-                    where = pos + 12 + k * width
-                    movie[where : where + width] = moved(int.from_bytes(movie[where : where + width], "big")).to_bytes(width, "big")
-            pos = movie.find(sign, pos + 4)
+    for start, end, width in tables:
+        for where in range(start, end, width):
+            movie[where : where + width] = moved(int.from_bytes(movie[where : where + width], "big")).to_bytes(width, "big")
     return b"".join(bytes(movie) if p.kind == "moov" else data[p.at : p.end] for p in kept)
 
 
@@ -316,7 +375,6 @@ _ALLOWED: dict[str, Callable[[Part], bool]] = {
     "svg": lambda p: p.kind not in ("comment", "instruction") and p.kind.rpartition(" ")[2] != "metadata",
     "m4a": lambda p: p.kind.rpartition("/")[2] not in ISO_GONE,
     "mp4": lambda p: p.kind.rpartition("/")[2] not in ISO_GONE,
-    "zip": lambda p: not (p.kind.startswith("member ") and PACKAGE_GONE.fullmatch(p.more[0])),
 }
 
 
@@ -331,6 +389,8 @@ def residuals(kind: str, data: bytes) -> list[str]:
     """What a cleaned file still has and shouldn't."""
     if kind in PACKAGES:
         return _package_left(kind, data)
+    if kind == "zip":
+        return _zip_left(data)
     if kind == "pdf":
         return [n for n, _, _ in _pdf_places(data)]
     if kind == "tiff":
@@ -342,7 +402,7 @@ def _told(kind: str, data: bytes) -> list[tuple[str, bytes]]:
     if kind in PACKAGES:
         return _opened(kind, _members(data))[1]
     if kind == "zip":
-        return [(p.kind, member_bytes(data, p)) for p in parts(kind, data) if not _is_plain(kind, data, p)]
+        return _zip_told(data)
     if kind == "pdf":
         return [(n, data[a:b]) for n, a, b in _pdf_places(data)]
     if kind == "tiff":
@@ -380,21 +440,50 @@ def removed_values(kind: str, described: list[tuple[str, str]]) -> list[tuple[st
     return [(n, v.strip(b"\0 \t\r\n")) for n, v in found if sum(b not in b"\0 \t\r\n" for b in v) >= MIN_SEARCHED]
 
 
+def searched_values(kind: str, data: bytes) -> list[tuple[str, bytes]]:
+    """The values to search for after cleaning the file `data`; of an archive those of each member by its kind."""
+    if kind != "zip":
+        return removed_values(kind, describe(kind, data))
+    found = []
+    for name, body, inner, fate in _contents(data):
+        if fate == "known":
+            found += [(f"{name}: {n}", v) for n, v in searched_values(inner, body)]
+        elif fate == "beside":
+            found += removed_values("zip", [(f"member {name}", body.decode("latin-1"))])
+    return found
+
+
 def still_readable(kind: str, data: bytes, values: list[tuple[str, bytes]]) -> tuple[list[str], list[str]]:
     """Loci of the values that a cleaned file still holds: anywhere in it, and only in text that it shows.
 
-    Archives are searched in their bytes and in every member as it inflates; of a member in XML what stands between tags is
-    text that a document shows, which stays by the rules, and all else is not."""
-    if kind != "zip" and kind not in PACKAGES:
-        return sorted({n for n, v in values if v in data}), []
-    held, shown = [data], []
-    for name, body in _members(data).items():
-        held.append(name.encode())
-        if kind in PACKAGES and name.endswith((".xml", ".rels", ".xhtml", ".html", ".htm", ".opf", ".ncx")):
-            plain = lambda b: html.unescape(b.decode("utf-8", "replace")).encode()
-            shown.append(plain(re.sub(rb"<[^>]*>", b"", body)))
-            held += [plain(b"\n".join(re.findall(rb"<[^>]*>", body)))]
-        else:
-            held.append(body)
+    Archives are searched in their bytes and, at every depth, in every member as it inflates; of a member in XML what stands
+    between tags is text that a document shows, which stays by the rules, as are members of plain text; all else is not."""
+    held, shown = _searched(kind, data)
     readable = sorted({n for n, v in values if any(v in h for h in held)})
     return readable, sorted({n for n, v in values if any(v in s for s in shown)} - set(readable))
+
+
+def _searched(kind: str, data: bytes) -> tuple[list[bytes], list[bytes]]:
+    """What is searched of a file: what it doesn't show as text, and what it does."""
+    held, shown = [data], []
+    if kind == "zip":
+        for name, body, inner, fate in _contents(data):
+            held.append(name.encode())
+            if fate == "known":
+                more = _searched(inner, body)
+                held += more[0]
+                shown += more[1]
+            else:
+                (shown if fate == "text" else held).append(body)
+    elif kind in PACKAGES:
+        for name, body in _members(data).items():
+            held.append(name.encode())
+            if name.endswith((".xml", ".rels", ".xhtml", ".html", ".htm", ".opf", ".ncx")):
+                plain = lambda b: html.unescape(b.decode("utf-8", "replace")).encode()
+                shown.append(plain(re.sub(rb"<[^>]*>", b"", body)))
+                held += [plain(b"\n".join(re.findall(rb"<[^>]*>", body)))]
+            else:
+                held.append(body)
+    if kind == "zip":
+        held = held[1:]  # stored members stand in the archive's own bytes too, shown text among them
+    return held, shown

@@ -16,6 +16,7 @@ import urllib.parse
 from collections.abc import Callable
 from xml.parsers import expat
 
+from plainsift.operators.beside import sidecar
 from plainsift.sources.containers import Malformed, recognise
 
 # The namespaces that rules name, each by one prefix; both spellings of the office standard count as one.
@@ -506,8 +507,6 @@ def _font(data: bytes, identifier: str, algorithm: str) -> bytes:
 
 def epub(members: dict[str, bytes], cleaners: Clean) -> tuple[dict[str, bytes], Told, set[str]]:
     """The members of a cleaned book, what was taken from those that stay, and the names of those that go."""
-    from plainsift.operators.folder import sidecar
-
     if members.get("mimetype", b"").strip() != b"application/epub+zip":
         raise Malformed("a book without its type")
     for name in ("META-INF/rights.xml", "META-INF/signatures.xml"):

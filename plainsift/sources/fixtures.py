@@ -76,8 +76,14 @@ def tiff_file(note: bytes) -> bytes:
 
 
 def zip_file(note: bytes) -> bytes:
-    """Two members, one of them a folder view."""
-    return zip_bytes([("a.txt", note), ("__MACOSX/._a.txt", note[::-1] + b"!")])
+    """Two members, one of them the attributes a Mac keeps of the other."""
+    return zip_bytes([("a.txt", note), ("__MACOSX/._a.txt", b"\0\5\26\7" + note[::-1] + b"!")])
+
+
+def nested_file(note: bytes, depth: int = 2) -> bytes:
+    """A picture and a document with the note, and an archive of the same within, `depth` deep."""
+    held = [("a.png", png_file(note)), ("d/b.docx", docx_file(note)), ("read.me", b"plain")]
+    return zip_bytes([*held, ("more.zip", nested_file(note, depth - 1))] if depth else held)
 
 
 def docx_file(note: bytes) -> bytes:

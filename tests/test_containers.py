@@ -47,6 +47,19 @@ def test_media_offsets_follow():
     assert out[at : at + 11] == b"media bytes"
 
 
+def test_offsets_are_found_by_boxes_not_by_letters():
+    import struct
+
+    box = lambda k, body: struct.pack(">I", 8 + len(body)) + k + body
+    name = box(b"hdlr", bytes(8) + b"soun" + bytes(12) + b"stco\0\0\0\1\0\0\0\5")  # a name that holds the letters of a table
+    movie = lambda at: box(b"ftyp", b"isom\0\0\0\0") + box(b"free", b"note" * 4) + box(b"moov", box(b"trak", box(b"mdia", name + box(b"minf", box(b"stbl", box(b"stco", struct.pack(">III", 0, 1, at))))))) + box(b"mdat", b"media")
+    data = movie(movie(0).index(b"media"))
+    out = cleaning.clean("mp4", data)
+    assert name in out
+    at = out.rindex(b"stco") + 12
+    assert int.from_bytes(out[at : at + 4], "big") == out.index(b"media")
+
+
 def test_archives_refused():
     good = fixtures.zip_file(NOTE)
     for broken in (good + b"x", b"x" + good, good.replace(b"a.txt", b"../ab")):

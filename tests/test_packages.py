@@ -81,12 +81,44 @@ def test_hidden_fonts_follow_the_identifier():
 
 
 def test_a_removed_member_is_searched_in_inflated_ones():
-    long = bytes(n % 251 for n in range(9000))
-    row, out = folder.clean_one("x", cleaning.zip_bytes([("a.bin", b"before" + long + b"after"), ("__MACOSX/._a", long)]))
+    long = b"\0\5\26\7" + bytes(n % 251 for n in range(9000))
+    held = lambda value: cleaning.zip_bytes([("a.png", fixtures.png_file(NOTE).replace(b"IDAT", b"IDAT", 1)), ("b.bmp", fixtures.bmp_file(b"")[:-0 or None]), ("__MACOSX/._a", value)])
+    row, out = folder.clean_one("x", held(long))
+    assert (row["outcome"], row["independent_check"]) == ("cleaned", "none of the removed values found")
+    again = cleaning.zip_bytes([("a.txt", long[4:100].hex().encode()), ("__MACOSX/._a", MAC + long[4:100].hex().encode())])
+    row, out = folder.clean_one("x", again)
+    assert row["outcome"] == "cleaned" and "none of the removed" in row["independent_check"]
+    assert members(out) == {"a.txt": long[4:100].hex().encode()}
+
+
+MAC = b"\0\5\26\7"
+
+
+def test_members_are_cleaned_by_their_own_rules_at_every_depth():
+    row, out = folder.clean_one("x", fixtures.nested_file(NOTE))
+    assert row["outcome"] == "cleaned" and row["removed"] >= 6, row
+    assert "more.zip: more.zip: a.png: tEXt" in row["removed_fields"]
+    inner, held = out, []
+    for _ in range(3):
+        found = members(inner)
+        held += found.values()
+        inner = found.get("more.zip", b"")
+    assert not any(NOTE in h for h in held)
+    assert folder.clean_one("x", out)[1] == out
+    deep = out
+    for _ in range(cleaning.MAX_NESTED + 2):
+        deep = cleaning.zip_bytes([("z.zip", deep)])
+    assert "deep" in folder.clean_one("x", deep)[0]["notes"]
+
+
+def test_unknown_members_refuse_an_archive_by_name():
+    row, out = folder.clean_one("x", cleaning.zip_bytes([("a.txt", b"text"), ("d/core.bin", b"\1\2\0"), ("__MACOSX/kept.bin", b"\0\1")]))
     assert (row["outcome"], out) == ("refused", None)
-    assert row["independent_check"] == "disagrees: 1 removed values still readable"
-    row, _ = folder.clean_one("x", cleaning.zip_bytes([("a.bin", b"before" + long[:5000] + b"after"), ("__MACOSX/._a", long)]))
-    assert row["independent_check"] == "none of the removed values found"
+    assert "d/core.bin" in row["notes"] and "__MACOSX/kept.bin" in row["notes"]
+    row, out = folder.clean_one("x", cleaning.zip_bytes([("d/", b""), ("e/", b""), ("e/a.txt", b"t"), ("e/.DS_Store", b"\0\0\0\1Bud1 rest")]))
+    assert row["outcome"] == "cleaned" and list(members(out)) == ["d/", "e/a.txt"]
+    row, _ = folder.clean_one("x", cleaning.zip_bytes([("d/b.docx", fixtures.docx_file(NOTE).replace(b"<w:p", b"<w:p"))]))
+    assert row["outcome"] == "cleaned"
 
 
 def test_an_author_in_another_member_is_found():
