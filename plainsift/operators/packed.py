@@ -1,14 +1,15 @@
 """Several values packed in one field: parse every field with the dialect of minimum description length.
 
-A dialect is a wrapper (none, square brackets, a JSON list), a quote sign (none, double, single) and an escape (the
-doubled quote, or a backslash). Its delimiters are the whole set SEPARATORS: a separator inside an item is always
-protected, so under a given quoting every bare one ends an item and the delimiters follow from the quoting. What is
-left to choose is settled by code lengths, in bits:
+A dialect is a wrapper (none, square brackets, a JSON list), a quote sign (none, double, single), an escape (the doubled quote,
+or a backslash) and its delimiters: all of SEPARATORS, or one of those that a field holds. Dialects are scored by code lengths,
+in bits:
 
 * `value_code` counts, over the fields that no dialect could read differently, how often each value occurs (a
   distributed aggregate), and keeps the values with at least 1/CODE_VALUES of all occurrences. There can be at most
   CODE_VALUES such values, so the code has a proven size and may go to every task. Their length is -log2(share).
 * any other value costs an escape, and bits for each of its characters; signs that quote or escape cost more.
+* a separator that a dialect leaves bare within an item costs BARE_BITS: writers protect separators within items, so it is
+  a rare sign. A dialect whose items are frequent values without bare separators is the cheapest.
 
 Each field takes its cheapest dialect; equal lengths are settled by the order of DIALECTS.
 
@@ -40,35 +41,47 @@ _SPECIAL = re.compile("[\"'\\\\\\[]")
 _SEP = f"[{re.escape(SEPARATORS)}]"
 _SPLIT = re.compile(f"{_SEP}+")
 _CHAR_BITS, _SIGN_BITS, _ITEM_BITS = 5.0, 12.0, 2.0
+BARE_BITS = 24.0
+_KINDS_OF_SEP = re.compile(_SEP)
 _SIGNS = re.compile("[\"'\\\\\\[\\]]")
 ITEM_SCHEMA = "field_name string, pos_no int, item string"
 
 
-def _pattern(quote: str, backslash: bool) -> re.Pattern:
-    bare = rf"((?:[^{re.escape(SEPARATORS)}\\]|\\.|\\$)*)" if backslash else f"([^{re.escape(SEPARATORS)}]*)"
+@lru_cache(256)
+def _pattern(quote: str, backslash: bool, delimiters: str = SEPARATORS) -> re.Pattern:
+    sep = f"[{re.escape(delimiters)}]"
+    bare = rf"((?:[^{re.escape(delimiters)}\\]|\\.|\\$)*)" if backslash else f"([^{re.escape(delimiters)}]*)"
     inner = rf"{quote}((?:[^{quote}\\]|\\.)*){quote}" if backslash else f"{quote}((?:[^{quote}]|{quote}{quote})*){quote}"
-    quoted = f"{inner}[  　]*(?={_SEP}|$)|" if quote else "()(?!)|"
-    return re.compile(f"(?:^|{_SEP})[  　]*(?:{quoted}{bare})", re.S)
+    quoted = f"{inner}[  　]*(?={sep}|$)|" if quote else "()(?!)|"
+    return re.compile(f"(?:^|{sep})[  　]*(?:{quoted}{bare})", re.S)
 
 
 #: (quote, backslash) in order of preference; the last reads every sign as itself.
 DIALECTS = (('"', False), ("'", False), ("", True), ('"', True), ("'", True), ("", False))
-_PATTERNS = {d: _pattern(*d) for d in DIALECTS}
 _ESCAPED = re.compile(r"\\(.)", re.S)
 
 
+def delimiter_sets(text: str) -> list[str]:
+    """The delimiters that a field may have: all, and each alone where it holds several."""
+    held = sorted(set(_KINDS_OF_SEP.findall(text)), key=SEPARATORS.index)
+    return [SEPARATORS, *held] if len(held) > 1 else [SEPARATORS]
+
+
 def _kept(items: Iterable[str]) -> list[str]:
     return [x for x in (y.strip(BLANKS) for y in items) if x and x.lower() not in NOTHING]
 
 
-def _parse(text: str, quote: str, backslash: bool) -> list[str]:
-    out = []
-    for quoted, bare in _PATTERNS[quote, backslash].findall(text):
+def _parse(text: str, quote: str, backslash: bool, delimiters: str = SEPARATORS) -> tuple[list[str], int]:
+    """The items of a field under a dialect, and the separators it leaves bare within them."""
+    out, left = [], 0
+    for quoted, bare in _pattern(quote, backslash, delimiters).findall(text):
+        if delimiters != SEPARATORS and bare:
+            left += len(_KINDS_OF_SEP.findall(_ESCAPED.sub("", bare) if backslash else bare))
         if backslash:
             out.append(_ESCAPED.sub(r"\1", quoted or bare))
         else:
             out.append(quoted.replace(quote * 2, quote) if quoted else bare)
-    return _kept(out)
+    return _kept(out), left
 
 
 def _json_items(text: str) -> list[str] | None:
@@ -81,16 +94,16 @@ def _json_items(text: str) -> list[str] | None:
     return _kept(x if isinstance(x, str) else "" if x is None else json.dumps(x) for x in found)
 
 
-def candidates(text: str) -> list[list[str]]:
-    """The parses of a field under every dialect that its signs allow, in order of preference."""
+def candidates(text: str) -> list[tuple[list[str], int]]:
+    """The parses of a field under every dialect that its signs allow, in order of preference, each with its bare separators."""
     out = []
     wrapped = text[:1] == "[" and text[-1:] == "]" and len(text) > 1
     if wrapped and (found := _json_items(text)) is not None:
-        out.append(found)
+        out.append((found, 0))
     for body in (text[1:-1], text) if wrapped else (text,):
         for quote, backslash in DIALECTS:
             if (not quote or quote in body) and (not backslash or "\\" in body):
-                out.append(_parse(body, quote, backslash))
+                out += [_parse(body, quote, backslash, d) for d in delimiter_sets(body)]
     return out
 
 
@@ -108,15 +121,20 @@ class Code:
             return known + _ITEM_BITS
         return self.escape + _ITEM_BITS + _CHAR_BITS * len(item) + (_SIGN_BITS - _CHAR_BITS) * len(_SIGNS.findall(item))
 
+    def cost(self, parse: tuple[list[str], int]) -> float:
+        """The length of a field's parse in bits."""
+        items, bare = parse
+        return sum(map(self.length, items)) + BARE_BITS * bare
+
     def _cheapest(self, text: str) -> tuple[str, ...]:
         text = text.strip(BLANKS)
-        if not _SPECIAL.search(text):
-            return tuple(_kept(_SPLIT.split(text)))
+        if not _SPECIAL.search(text) and len(set(_KINDS_OF_SEP.findall(text))) < 2:
+            return tuple(_kept(_SPLIT.split(text)))  # one dialect only: there is nothing to choose
         parses = candidates(text)
         first = parses[0]
-        if all(p == first for p in parses):
-            return tuple(first)
-        return tuple(min(parses, key=lambda p: sum(map(self.length, p))))
+        if all(p[0] == first[0] for p in parses):
+            return tuple(first[0])
+        return tuple(min(parses, key=self.cost)[0])
 
     def __reduce__(self):
         return (_restored, (self.bits,))

@@ -26,6 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+MAX_EDGES = 50_000
+
+
 @dataclass(frozen=True)
 class Shape:
     """What must be known of a kind of document beforehand: its root, and which elements may be collected under keys.
@@ -198,8 +201,11 @@ def relations(edges: Sequence[tuple[str, str, str, bool, bool]], shape: Shape) -
 
 
 def plan_of(df: DataFrame, body: str, shape: Shape) -> Plan:
-    """The tables for all bodies of df. The graph has one row per pair of element names and is small by its nature."""
-    rows = schema_graph(df, body, shape).orderBy("parent", "child", "name").collect()
+    """The tables for all bodies of df. The graph has one row per pair of element names, and at most MAX_EDGES of them come to
+    the driver: bodies whose names are data give more, and need an entry in `keyed`; this is an error, as none may be left out."""
+    rows = schema_graph(df, body, shape).orderBy("parent", "child", "name").limit(MAX_EDGES + 1).collect()
+    if len(rows) > MAX_EDGES:
+        raise ValueError(f"more than {MAX_EDGES} pairs of element names: names that are data must be declared as keys")
     return relations([(r["parent"], r["child"], r["name"], r["many"], r["holds"]) for r in rows], shape)
 
 

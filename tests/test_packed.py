@@ -4,6 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from plainsift.operators import packed
 from plainsift.operators.packed import Code, unpack, unpack_records, value_code
 
 CODE = Code({"EXIF block": 50, "GPS position": 30, "capture time, local": 10, "orientation": 10}, 100)
@@ -65,3 +66,14 @@ def test_repeated_records_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "a; b", 1), (1, "a; b", 2), (None, "c", 1), (None, "c", 1)], "k int, f string, at int")
     assert sorted(r["item"] for r in unpack_records(df, "k", ["f"], ["at"]).collect()) == ["a", "b", "c", "c"]
     assert unpack_records(df.where("false"), "k", ["f"], ["at"]).count() == 0
+
+
+def test_delimiters_are_scored():
+    code = packed.Code({"Author": 50, "GPS": 30, "Make": 20}, 100)
+    assert code.cheapest("Author; GPS, Make") == ("Author", "GPS", "Make")
+    assert packed.delimiter_sets("a;b,c") == [packed.SEPARATORS, ";", ","]
+    assert packed.delimiter_sets("a;b;c") == [packed.SEPARATORS]
+    parses = dict((tuple(items), bare) for items, bare in packed.candidates("Author; GPS, Make"))
+    assert parses == {("Author", "GPS", "Make"): 0, ("Author", "GPS, Make"): 1, ("Author; GPS", "Make"): 1}
+    assert code.cheapest('"a;b;c;d;e", x') == ("a;b;c;d;e", "x")  # protected separators cost nothing more
+    assert code.cheapest("q; r | s, t") == ("q", "r", "s", "t")

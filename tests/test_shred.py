@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from plainsift.operators import shred
 
 
@@ -55,3 +57,10 @@ def test_empty_table(spark):
 def test_deep_body_is_no_crash(spark):
     df, _ = tables(spark, ["[" * 100_000, {"cells": [CELL]}])
     assert df.count() == 1
+
+
+def test_names_that_are_data_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(shred, "MAX_EDGES", 20)
+    df = spark.createDataFrame([(n, json.dumps({"cells": [], f"k{n}": 1})) for n in range(30)], "k int, body string")
+    with pytest.raises(ValueError, match="must be declared"):
+        shred.plan_of(df, "body", shred.MATRIX)
