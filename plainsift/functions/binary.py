@@ -137,36 +137,94 @@ def binomial_tail(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     return pd.Series([one(int(a), int(b), float(c)) if pd.notna(a) and pd.notna(b) and pd.notna(c) else None for a, b, c in zip(k, n, p, strict=True)])
 
 
-@F.pandas_udf(T.DoubleType())
-def lag_correlation(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The greatest normalised correlation of two sample arrays over lags of up to 3000 samples in steps of 25."""
+LAGS, LAG_STEP = 3000, 25
+
+
+@F.pandas_udf(T.StructType([T.StructField("lag", T.IntegerType()), T.StructField("correlation", T.DoubleType())]))
+def best_lag(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """The lag, up to LAGS samples in steps of LAG_STEP, at which two sample arrays correlate best, and how well; whole arrays
+    are compared. The first lag of the greatest value counts; arrays without variation, or too short to overlap, give 0 and 0."""
     import numpy as np
 
-    def one(x, y) -> float | None:  # noqa: ANN001
-        if x is None or y is None or len(x) == 0 or len(y) == 0:
-            return None
-        x, y = (np.asarray(v, float)[:200_000] for v in (x, y))
-        best = -1.0
-        for lag in range(-3000, 3001, 25):
-            u, v = (x[lag:], y[: len(y)]) if lag >= 0 else (x, y[-lag:])
+    def one(x, y) -> tuple[int | None, float | None]:  # noqa: ANN001
+        if x is None or y is None:
+            return None, None
+        x, y = np.asarray(x, float), np.asarray(y, float)
+        best = (0, 0.0)
+        for lag in range(-LAGS, LAGS + 1, LAG_STEP):
+            u, v = (x[lag:], y) if lag >= 0 else (x, y[-lag:])
             n = min(len(u), len(v))
             if n < 2:
                 continue
             u, v = u[:n] - u[:n].mean(), v[:n] - v[:n].mean()
             size = np.sqrt((u @ u) * (v @ v))
-            best = max(best, float(u @ v / size) if size else 0.0)
+            if size and (found := float(u @ v / size)) > best[1]:
+                best = (lag, found)
         return best
 
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
+    return pd.DataFrame([one(x, y) for x, y in zip(a, b, strict=True)], columns=["lag", "correlation"])
+
+
+def lag_correlation(a: Column, b: Column) -> Column:
+    """The greatest normalised correlation of two sample arrays over the lags of `best_lag`."""
+    return best_lag(a, b)["correlation"]
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def framed_energy(samples: pd.Series, frame: pd.Series, hop: pd.Series) -> pd.Series:
-    """The spectral energy of each frame of a sample array."""
+def band_energies(samples, frame: int = 4096, hop: int = 2048, bands: int = 24):  # noqa: ANN001, ANN201
+    """Of each frame of a sample array, under a Hann window, the summed amplitude of each band of its spectrum."""
     import numpy as np
 
-    def one(x, size: int, step: int) -> list[float]:  # noqa: ANN001
-        x = np.asarray(x if x is not None else [], float)
-        return [float((np.abs(np.fft.rfft(x[at : at + size])) ** 2).sum()) for at in range(0, max(0, len(x) - size + 1), step)]
+    x = np.asarray(samples if samples is not None else [], float)
+    if len(x) < frame:
+        return np.zeros((0, bands))
+    frames = np.lib.stride_tricks.sliding_window_view(x, frame)[::hop]
+    spectrum = np.abs(np.fft.rfft(frames * np.hanning(frame), axis=1))
+    edges = np.linspace(0, spectrum.shape[1], bands + 1).astype(int)
+    return np.stack([spectrum[:, lo:hi].sum(axis=1) for lo, hi in zip(edges[:-1], edges[1:], strict=True)], axis=1)
+
+
+def framed_energy(samples: Column, frame: int = 4096, hop: int = 2048, bands: int = 24) -> Column:
+    """`band_energies` of a column of sample arrays: an array of frames, each an array of bands."""
+
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: [list(r) for r in band_energies(x, frame, hop, bands)])
+
+    return run(samples)
+
 
-    return pd.Series([one(x, int(s), int(h)) for x, s, h in zip(samples, frame, hop, strict=True)])
+def envelope_similarity(a: Column, b: Column, frame: int = 4096, hop: int = 2048, bands: int = 24) -> Column:
+    """How the energies of two recordings over time and frequency correlate, on a logarithmic scale; 0 where one has none."""
+
+    @F.pandas_udf(T.DoubleType())
+    def run(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        import numpy as np
+
+        def one(x, y) -> float:  # noqa: ANN001
+            u, v = band_energies(x, frame, hop, bands), band_energies(y, frame, hop, bands)
+            n = min(len(u), len(v))
+            u, v = (np.log10(e[:n] + 1e-12).ravel() for e in (u, v))
+            return float(np.corrcoef(u, v)[0, 1]) if n and u.std() > 1e-9 and v.std() > 1e-9 else 0.0
+
+        return pd.Series([one(x, y) for x, y in zip(xs, ys, strict=True)])
+
+    return run(a, b)
+
+
+def band_limited(samples, rate: int, highest: int, block: int = 1 << 20, overlap: int = 1 << 15):  # noqa: ANN001, ANN201
+    """A sample array without what lies above a frequency, filtered in blocks whose edges overlap and are left out."""
+    import numpy as np
+
+    def cut(x):  # noqa: ANN001, ANN202
+        spectrum = np.fft.rfft(x)
+        spectrum[np.fft.rfftfreq(len(x), 1 / rate) > highest] = 0
+        return np.fft.irfft(spectrum, len(x))
+
+    x = np.asarray(samples if samples is not None else [], float)
+    out = np.zeros(len(x))
+    for at in range(0, len(x), block - 2 * overlap):  # the middle of each block is kept, and the ends of the whole
+        low, high = max(0, at - overlap), min(len(x), at - overlap + block)
+        out[at : high if high == len(x) else high - overlap] = cut(x[low:high])[at - low : (high if high == len(x) else high - overlap) - low]
+        if high == len(x):
+            break
+    return out

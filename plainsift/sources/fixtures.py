@@ -176,7 +176,7 @@ MAKERS = {
     "unknown": lambda note: b"\0\1\2 unknown",
     "empty": lambda note: b"",
 }
-KINDS = tuple(MAKERS)
+KINDS = tuple(MAKERS)  # the kinds that queries deal out by number
 
 
 def made(rows: DataFrame, key: str, kind: str, note: str) -> DataFrame:
@@ -188,3 +188,86 @@ def made(rows: DataFrame, key: str, kind: str, note: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(key), batch.column(kind), pa.array(files, pa.binary())], names=[key, "kind", "content"])
 
     return rows.select(key, kind, note).mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, kind string, content binary")
+
+
+def _box(kind: bytes, body: bytes) -> bytes:
+    return struct.pack(">I", 8 + len(body)) + kind + body
+
+
+def emf_file(note: bytes) -> bytes:
+    """A metafile whose only record between its ends is a comment."""
+    padded = note + bytes(-len(note) % 4)
+    head = (struct.pack("<II", 1, 108) + bytes(32) + b" EMF").ljust(108, b"\0")
+    return head + struct.pack("<III", 70, 12 + len(padded), len(note)) + padded + struct.pack("<IIIII", 14, 20, 0, 0, 20)
+
+
+def elf_file(note: bytes) -> bytes:
+    """A program with a section of notes and one of names."""
+    names = b"\0.note\0.shstrtab\0"
+    at = 64 + len(note)
+    head = (b"\x7fELF\2\1\1".ljust(40, b"\0") + struct.pack("<Q", at + len(names))).ljust(58, b"\0") + struct.pack("<HHH", 64, 3, 2)
+    row = lambda name, kind, place, size: struct.pack("<IIQQQQ", name, kind, 0, 0, place, size).ljust(64, b"\0")
+    return head + note + names + bytes(64) + row(1, 7, 64, len(note)) + row(7, 3, at, len(names))
+
+
+def pe_file(note: bytes) -> bytes:
+    """A program for Windows with one section that holds the note."""
+    return b"MZ" + bytes(58) + struct.pack("<I", 64) + b"PE\0\0" + struct.pack("<HHIIIHH", 0, 1, 0, 0, 0, 0, 0) + b".text\0\0\0" + struct.pack("<IIII", 0, 0, len(note), 128) + bytes(16) + note
+
+
+def macho_file(note: bytes) -> bytes:
+    """A program for a Mac with an identifier and a command that holds the note."""
+    padded = note + bytes(-len(note) % 4)
+    return b"\xcf\xfa\xed\xfe" + bytes(12) + struct.pack("<II", 2, 24 + len(padded)) + bytes(8) + struct.pack("<II", 0x1B, 16) + bytes(8) + struct.pack("<II", 0x2A, 8 + len(padded)) + padded
+
+
+def picture_file(note: bytes) -> bytes:
+    """A still picture with an item of pixels and one of Exif, their places and properties; the note is the second's."""
+    item = lambda n, kind: _box(b"infe", b"\2\0\0\0" + struct.pack(">HH", n, 0) + kind + b"\0")
+    places = b"\1\0\0\0\x44\x40\0\2" + struct.pack(">HHHIHII", 1, 0, 0, 500, 1, 0, 9) + struct.pack(">HHHIHII", 2, 0, 0, 509, 1, 0, len(note))
+    owned = struct.pack(">II", 0, 1) + struct.pack(">HB", 1, 2) + b"\x81\x02"
+    meta = b"\0\0\0\0" + _box(b"hdlr", bytes(20)) + _box(b"iinf", b"\0\0\0\0" + struct.pack(">H", 2) + item(1, b"hvc1") + item(2, b"Exif")) + _box(b"iref", b"\0\0\0\0" + _box(b"cdsc", struct.pack(">HHH", 2, 1, 1))) + _box(b"iloc", places) + _box(b"iprp", _box(b"ipma", owned))
+    return _box(b"ftyp", b"heic\0\0\0\0heic") + _box(b"meta", meta) + _box(b"mdat", bytes(9) + note)
+
+
+def chunked_film(note: bytes) -> bytes:
+    """A film of three chunks, the places moved by the length of the note."""
+    n = len(note)
+    table = _box(b"stco", struct.pack(">IIIII", 0, 3, 100 + n, 200 + n, 300 + n)) + _box(b"stsc", struct.pack(">IIIIIIII", 0, 2, 1, 2, 1, 3, 1, 1)) + _box(b"stsz", struct.pack(">III5I", 0, 0, 5, 1, 2, 3, 4, n))
+    return _box(b"ftyp", b"isom") + _box(b"moov", _box(b"trak", _box(b"mdia", _box(b"minf", _box(b"stbl", table)))))
+
+
+def page_stream(note: bytes) -> bytes:
+    """Operations of a page that show three strings, one of them moved by the length of the note."""
+    return b"q 1 0 0 1 100 %d cm BT /F1 12 Tf 10 20 Td (a) Tj 5 -7 Td (b) Tj ET Q BT /F2 9.5 Tf 14 TL 2 0 0 2 3 4 Tm T* (c) Tj ET" % len(note)
+
+
+def attributes_file(note: bytes) -> bytes:
+    """The attributes a Mac keeps beside a file: an entry of the finder and one attribute with the note."""
+    held = b"ATTR" + bytes(30) + struct.pack(">H", 1) + struct.pack(">IIHB", 50 + 88, len(note), 0, 4) + b"key\0" + b"\0"
+    body = (bytes(32) + held).ljust(88, b"\0") + note
+    return b"\0\5\26\7" + bytes(20) + struct.pack(">H", 1) + struct.pack(">III", 9, 50, len(body)) + bytes(12) + body
+
+
+def _syncsafe(n: int) -> bytes:
+    return bytes(n >> s & 127 for s in (21, 14, 7, 0))
+
+
+#: For each reader of structures inside parts, what it reads, made with a note.
+INNER = {
+    "vorbis_comments": lambda note: struct.pack("<I", 1) + b"v" + struct.pack("<II", 1, 7 + len(note)) + b"artist=" + note,
+    "id3_frames": lambda note: b"ID3\4\0\0" + _syncsafe(11 + len(note)) + b"TIT2" + _syncsafe(1 + len(note)) + b"\0\0\3" + note,
+    "photoshop_resources": lambda note: b"Photoshop 3.0\0" + b"8BIM\4\4\0\0" + struct.pack(">I", len(note)) + note + bytes(len(note) % 2),
+    "iptc_datasets": lambda note: b"\x1c\2\x50" + struct.pack(">H", len(note)) + note,
+    "apple_attributes": attributes_file,
+    "package_relations": docx_file,
+    "media_chunks": chunked_film,
+    "picture_items": picture_file,
+    "item_places": picture_file,
+    "content_operations": page_stream,
+    "page_positions": page_stream,
+    "pe_sections": pe_file,
+    "macho_commands": macho_file,
+    "wmf_records": lambda note: bytes(18) + struct.pack("<IH", 3 + (len(note) + 1) // 2, 0x0626) + note + bytes(len(note) % 2) + struct.pack("<IH", 3, 0),
+}
+MAKERS |= {"nested": nested_file, "metafile": emf_file, "exe": elf_file, **{f"inner {reader}": make for reader, make in INNER.items()}}

@@ -190,6 +190,81 @@ def picture_items(data: bytes) -> list[Row]:
     return out
 
 
+def item_places(data: bytes) -> list[Row]:
+    """Of a still-picture container: where each item lies (`iloc`) and the properties it has (`ipma`), by item."""
+    boxes, out = _boxes(data), []
+    for p in boxes.get("meta/iloc", []):
+        body = p.payload(data)
+        version, widths = body[0], (body[4] >> 4, body[4] & 15, body[5] >> 4, body[5] & 15 if body[0] in (1, 2) else 0)
+        at = 6
+
+        def number(width: int) -> int:
+            nonlocal at
+            _need(at + width <= len(body), "the table of places ends too soon")
+            at += width
+            return int.from_bytes(body[at - width : at], "big")
+
+        wide = 4 if version == 2 else 2
+        for _ in range(number(wide)):
+            item = number(wide)
+            method = number(2) & 15 if version in (1, 2) else 0
+            number(2)  # where the data is: this file
+            base = number(widths[2])
+            extents = []
+            for _ in range(number(2)):
+                number(widths[3])
+                place = number(widths[0])
+                extents.append([base + place, number(widths[1])])
+            out.append((f"place {item}", json.dumps({"method": method, "extents": extents})))
+    for p in boxes.get("meta/iprp/ipma", []):
+        body = p.payload(data)
+        wide, large, at = 4 if body[0] >= 1 else 2, body[3] & 1, 8
+        for _ in range(int.from_bytes(body[4:8], "big")):
+            item, n = int.from_bytes(body[at : at + wide], "big"), body[at + wide]
+            at += wide + 1
+            step = 2 if large else 1
+            _need(at + n * step <= len(body), "the table of properties ends too soon")
+            held = [int.from_bytes(body[at + k * step : at + (k + 1) * step], "big") & (0x7FFF if large else 0x7F) for k in range(n)]
+            at += n * step
+            out.append((f"properties {item}", json.dumps(held)))
+    return out
+
+
+def page_positions(data: bytes) -> list[Row]:
+    """Where a content stream shows text: each string with the place on the page and the size it is shown at, by replaying the
+    graphics state. A string moves nothing, as fonts' widths aren't read; a move or a new line does."""
+    out: list[Row] = []
+    unit = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
+    times = lambda m, n: (m[0] * n[0] + m[1] * n[2], m[0] * n[1] + m[1] * n[3], m[2] * n[0] + m[3] * n[2], m[2] * n[1] + m[3] * n[3], m[4] * n[0] + m[5] * n[2] + n[4], m[4] * n[1] + m[5] * n[3] + n[5])
+    page, size, leading, saved, line = unit, 0.0, 0.0, [], unit
+    for operator, operands in content_operations(data):
+        given = [float(x) for x in re.findall(r"(?<![\w.(<])[+-]?(?:\d+\.?\d*|\.\d+)(?![\w)>])", operands)] if operator not in ("Tj", "TJ", "'") else []
+        if operator == "q":
+            saved.append((page, size, leading))
+        elif operator == "Q":
+            _need(bool(saved), "a state is restored that wasn't saved")
+            page, size, leading = saved.pop()
+        elif operator == "cm" and len(given) == 6:
+            page = times(given, page)
+        elif operator == "BT":
+            line = unit
+        elif operator == "Tf" and given:
+            size = given[-1]
+        elif operator == "TL" and given:
+            leading = given[0]
+        elif operator in ("Td", "TD") and len(given) == 2:
+            leading = -given[1] if operator == "TD" else leading
+            line = times((1.0, 0.0, 0.0, 1.0, *given), line)
+        elif operator == "Tm" and len(given) == 6:
+            line = tuple(given)
+        elif operator in ("T*", "'", '"'):
+            line = times((1.0, 0.0, 0.0, 1.0, 0.0, -leading), line)
+        if operator in ("Tj", "TJ", "'", '"'):
+            at = times(line, page)
+            out.append((operands, f"{at[4]:g} {at[5]:g} {size:g}"))
+    return out
+
+
 _TOKEN = re.compile(rb"""%[^\r\n]*|(?P<string>\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\))|(?P<hex><[0-9A-Fa-f\s]*>)|(?P<mark><<|>>|[\[\]{}])|(?P<name>/[^\s()<>\[\]{}/%]*)|(?P<number>[+-]?(?:\d+\.?\d*|\.\d+)(?![^\s()<>\[\]{}/%]))|(?P<operator>[^\s()<>\[\]{}/%]+)""", re.S)
 
 
@@ -318,7 +393,7 @@ def box_headers(path: str, skip_above: int = 64 << 20) -> list[tuple[str, int, i
     return out
 
 
-READERS: dict[str, Callable[[bytes], list[Row]]] = {f.__name__: f for f in (vorbis_comments, id3_frames, photoshop_resources, iptc_datasets, apple_attributes, package_relations, media_chunks, picture_items, content_tokens, content_operations, pe_sections, macho_commands, wmf_records)}
+READERS: dict[str, Callable[[bytes], list[Row]]] = {f.__name__: f for f in (vorbis_comments, id3_frames, photoshop_resources, iptc_datasets, apple_attributes, package_relations, media_chunks, picture_items, item_places, content_tokens, content_operations, page_positions, pe_sections, macho_commands, wmf_records)}
 
 
 def rows(df: DataFrame, key: str, content: str, reader: str) -> DataFrame:

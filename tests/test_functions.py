@@ -68,4 +68,4 @@ def test_binomial_tail(spark):
 def test_signals(spark):
     wave = F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: F.sin(i / 10.0))
     assert value(spark, binary.lag_correlation(wave, wave)) > 0.999
-    assert len(value(spark, binary.framed_energy(wave, F.lit(256), F.lit(128)))) == 6
+    assert len(value(spark, binary.framed_energy(wave, 256, 128, 4))) == 6
