@@ -184,13 +184,46 @@ def unwrap_elements(col: Column, name: str) -> Column:
     return _rewritten(col, lambda t: [s for a, b, c, d in _elements(t, name) for s in ((a, b), (c, d))])
 
 
+def canonical_text(part: str) -> str:
+    """A part in one spelling: declaration, namespaces on the root under prefixes in the order of first use, attributes by
+    namespace and name, empty elements closed in one tag, no comments or instructions. Raises ParseError if it isn't well formed."""
+    root = ElementTree.fromstring(part)
+    prefixes: dict[str, str] = {"http://www.w3.org/XML/1998/namespace": "xml"}
+
+    def name(qualified: str) -> str:
+        space, _, local = qualified.rpartition("}")
+        return f"{prefixes.setdefault(space[1:], f'ns{len(prefixes) - 1}')}:{local}" if space else local
+
+    def quoted(text: str | None, *more: tuple[str, str]) -> str:
+        text = text or ""
+        for sign, means in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), *more):
+            text = text.replace(sign, means)
+        return text
+
+    out: list[str] = []
+    todo: list = [root]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, str):
+            out.append(node)
+            continue
+        held = "".join(f' {name(k)}="{quoted(v, (chr(34), "&quot;"), (chr(10), "&#10;"), (chr(9), "&#9;"))}"' for k, v in sorted(node.attrib.items()))
+        full = bool(len(node) or node.text)
+        out.append(f"<{name(node.tag)}{held}{'>' if full else '/>'}")
+        after = [quoted(node.text), *(x for child in node for x in (child, quoted(child.tail))), f"</{name(node.tag)}>"] if full else []
+        todo.extend(reversed(after))
+    told = "".join(f' xmlns:{p}="{quoted(u)}"' for u, p in prefixes.items() if p != "xml")
+    first = re.match(r"<[^\s/>]+", out[0])[0]
+    return '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n' + first + told + out[0][len(first) :] + "".join(out[1:])
+
+
 @F.pandas_udf(T.StringType())
 def canonical(parts: pd.Series) -> pd.Series:
-    """A part in one spelling: declaration, prefixes by order of use, sorted attributes, no comments; null if it isn't well formed."""
+    """`canonical_text` of each part; null if it isn't well formed."""
 
     def one(part: str | None) -> str | None:
         try:
-            return None if part is None else '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n' + ElementTree.canonicalize(part, rewrite_prefixes=True)
+            return None if part is None else canonical_text(part)
         except (ElementTree.ParseError, ValueError):
             return None
 

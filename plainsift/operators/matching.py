@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from plainsift.operators.intervals import carried
 from plainsift.shared import materialize, shared_dir
 
 
@@ -117,7 +118,10 @@ def closure(edges: DataFrame, roots: DataFrame, barriers: DataFrame | None = Non
 
     Nodes of barriers (column `node`) aren't entered. Each round is written to the shared folder, so the plan stays flat.
     """
-    edges = materialize(edges.where("src is not null and dst is not null").select("src", "dst").distinct(), "closure-edges")
+    edges = edges.where("src is not null and dst is not null").select("src", "dst").distinct()
+    if barriers is not None:  # no edge leads into a barrier, so rounds needn't look at them
+        edges = edges.join(barriers.select(F.col("node").alias("dst")), "dst", "left_anti")
+    edges = materialize(edges.select("src", "dst"), "closure-edges")
     spark, path, depth = roots.sparkSession, f"{shared_dir(roots.sparkSession)}/closure-{uuid.uuid4().hex}", 0
     step = roots.where("node is not null").select("node").distinct()
     while True:
@@ -128,12 +132,40 @@ def closure(edges: DataFrame, roots: DataFrame, barriers: DataFrame | None = Non
         # one scan of the folder is all that was reached so far, however many rounds there were
         reached = spark.read.schema(step.schema).parquet(*[f"{path}/depth={d}" for d in range(depth + 1)])
         step = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct().join(reached, "node", "left_anti")
-        if barriers is not None:
-            step = step.join(barriers.select("node"), "node", "left_anti")
         depth += 1
     return spark.read.schema(T.StructType([*step.schema.fields, T.StructField("depth", T.IntegerType())])).option("basePath", path).parquet(path)
 
 
+def numbered_breadth_first(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """`node, depth, number`: the nodes reached from roots, numbered from 1 by depth and node. The numbers are carried over
+    range blocks, so no task sorts all nodes."""
+    found = closure(edges, roots).withColumn("_all", F.lit(0))
+    laid = carried(found, "_all", ["depth", "node"], F.lit(1), "sum", "_before")
+    return laid.select("node", "depth", (F.coalesce("_before", F.lit(0)) + 1).alias("number"))
+
+
+def multiset_diff(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """`by, n_left, n_right` of the values that the two sides don't hold equally often; nulls are equal. Two multisets are equal
+    if there is no row. Each side is counted before the shuffle."""
+    sides = [df.select(*by, F.lit(int(df is left)).alias("_l"), F.lit(int(df is not left)).alias("_r")) for df in (left, right)]
+    counts = sides[0].unionByName(sides[1]).groupBy(*by).agg(F.sum("_l").alias("n_left"), F.sum("_r").alias("n_right"))
+    return counts.where("n_left <> n_right")
+
+
+def sequence_diff(left: DataFrame, right: DataFrame, by: str, at: str, value: str) -> DataFrame:
+    """`<by>, n_wrong, first_wrong`: of each stream, the places at which the two sides' values differ or one has none."""
+    l_, r = (df.select(F.col(by), F.col(at).alias("_at"), F.struct(F.col(value)).alias(n)) for df, n in ((left, "_l"), (right, "_r")))
+    wrong = l_.join(r, [by, "_at"], "full_outer").where(~F.col("_l").eqNullSafe(F.col("_r")))
+    return wrong.groupBy(by).agg(F.count(F.lit(1)).alias("n_wrong"), F.min("_at").alias("first_wrong"))
+
+
+def sample_of_each(rows: DataFrame, kind: str, key: str, n: int, seed: int = 7) -> DataFrame:
+    """n rows of each kind, or all where there are fewer, the same in every run: those of the least digest of key and seed.
+    Only n rows of a kind leave each partition."""
+    order = Window.partitionBy(kind).orderBy(F.sha2(F.concat_ws("/", F.lit(seed), F.col(key).cast("string")), 256), key)
+    return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """`node, component`: the least node of each connected component, by hooking and pointer jumping.
 

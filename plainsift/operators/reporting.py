@@ -72,6 +72,16 @@ def area_grid(cases: DataFrame, area: Column, leg: str, legs: Sequence[str], sta
     return marked.rollup("area").agg(*counts, F.round(F.sum(seconds), 2).alias("seconds"), F.grouping("area").alias("_g")).withColumn("area", F.when(F.col("_g") == 1, "all").otherwise(F.col("area"))).drop("_g")
 
 
+def rate_report(rows: DataFrame, maker: str, rate: str, value: str) -> DataFrame:
+    """`<maker>, <rate>, n, values, histogram`: per maker and rate, the distinct values in order, and how often each occurs.
+    Values are counted first, so a group gathers one entry per distinct value, of which rates and settings have few."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(maker, rate, value).agg(F.count(F.lit(1)).alias("_n"))
+    entries = F.array_sort(F.collect_list(F.struct(F.col(value).alias("v"), "_n")))
+    told = counts.groupBy(maker, rate).agg(F.sum("_n").alias("n"), entries.alias("_e"))
+    said = lambda f: F.array_join(F.transform("_e", f), " ")
+    return told.select(maker, rate, "n", said(lambda e: e["v"].cast("string")).alias("values"), said(lambda e: F.concat(e["v"].cast("string"), F.lit(":"), e["_n"])).alias("histogram"))
+
+
 def merge_maps(rows: DataFrame, by: str, map_: str) -> DataFrame:
     """`<by>, key, total`: maps of counts added up key by key."""
     return rows.select(by, F.explode(map_).alias("key", "v")).groupBy(by, "key").agg(F.sum("v").alias("total"))

@@ -85,3 +85,13 @@ def rebuilt(found: DataFrame, key: str, keep) -> DataFrame:  # noqa: ANN001
     """`<key>, content`: the payloads of the parts that `keep` (a column) holds for, in order, as one binary."""
     kept = found.where(keep).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("seq", "payload"))).alias("all"))
     return kept.select(key, F.aggregate("all", F.lit(b""), lambda acc, x: F.concat(acc, x["payload"])).alias("content"))
+
+
+def discovered(paths: DataFrame, path: str, pattern: str, former: dict[str, str] | None = None) -> DataFrame:
+    """`name, path`: of listed files whose base name matches a pattern, the name its first group gives; of several files of one
+    name the last path counts. `former` names base names from before the rule."""
+    base = F.regexp_extract(path, r"([^/]*)$", 1)
+    name = F.nullif(F.regexp_extract(base, pattern, 1), F.lit(""))
+    for old, means in (former or {}).items():
+        name = F.when(base == old, means).otherwise(name)
+    return paths.select(name.alias("name"), F.col(path).alias("path")).where("name is not null").groupBy("name").agg(F.max("path").alias("path"))
