@@ -33,7 +33,14 @@ MAX_NESTED = 16
 
 
 def _kept(data: bytes, kept: list[Part]) -> bytes:
-    return b"".join(data[p.at : p.end] for p in kept)
+    """The bytes of parts in order; neighbours are taken in one slice."""
+    spans: list[list[int]] = []
+    for p in kept:
+        if spans and spans[-1][1] == p.at:
+            spans[-1][1] += p.size
+        else:
+            spans.append([p.at, p.at + p.size])
+    return b"".join(data[a:b] for a, b in spans)
 
 
 def _toyf(data: bytes) -> bytes:
@@ -81,9 +88,11 @@ def _jpeg(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def _is_plain(kind: str, data: bytes, p: Part) -> bool:
-    """Whether a part may stay: by its kind, or as the one form in which an orientation stays."""
-    return _ALLOWED[kind](p) or (kind == "jpeg" and p.kind == "APP1 Exif" and data[p.at : p.end] in JPEG_ORIENTATION)
+def _not_plain(kind: str, data: bytes) -> list[Part]:
+    """The parts that may not stay: by their kind, unless they are the one form in which an orientation stays."""
+    walked = parts(kind, data)
+    allowed = {k for k in {p.kind for p in walked} if _ALLOWED[kind](Part(k, 0, 0))}
+    return [p for p in walked if p.kind not in allowed and not (kind == "jpeg" and p.kind == "APP1 Exif" and data[p.at : p.end] in JPEG_ORIENTATION)]
 
 
 def _gif(data: bytes) -> bytes:
@@ -112,7 +121,7 @@ def _flac(data: bytes) -> bytes:
 
 
 def _mp3(data: bytes) -> bytes:
-    return _kept(data, [p for p in parts("mp3", data) if p.kind == "frame"])
+    return _kept(data, [p for p in parts("mp3", data) if p.kind == "audio"])
 
 
 def _bmp(data: bytes) -> bytes:
@@ -370,7 +379,7 @@ _ALLOWED: dict[str, Callable[[Part], bool]] = {
     "gif": lambda p: p.kind in GIF_KEPT,
     "webp": lambda p: p.kind in WEBP_KEPT or p.kind == "header",
     "flac": lambda p: p.kind in ("magic", "STREAMINFO", "SEEKTABLE", "audio"),
-    "mp3": lambda p: p.kind == "frame",
+    "mp3": lambda p: p.kind == "audio",
     "bmp": lambda p: p.kind != "trailer",
     "svg": lambda p: p.kind not in ("comment", "instruction") and p.kind.rpartition(" ")[2] != "metadata",
     "m4a": lambda p: p.kind.rpartition("/")[2] not in ISO_GONE,
@@ -395,7 +404,7 @@ def residuals(kind: str, data: bytes) -> list[str]:
         return [n for n, _, _ in _pdf_places(data)]
     if kind == "tiff":
         return [p.kind for p in parts("tiff", data) if p.more and (p.more[0] in TIFF_BLANK or p.kind.startswith("GPS ")) and any(data[p.more[1] : p.more[1] + p.more[2]])]
-    return [p.kind for p in parts(kind, data) if not _is_plain(kind, data, p)]
+    return [p.kind for p in _not_plain(kind, data)]
 
 
 def _told(kind: str, data: bytes) -> list[tuple[str, bytes]]:
@@ -408,7 +417,7 @@ def _told(kind: str, data: bytes) -> list[tuple[str, bytes]]:
     if kind == "tiff":
         blank = [p for p in parts("tiff", data) if p.more and (p.more[0] in TIFF_BLANK or p.kind.startswith("GPS "))]
         return [(p.kind, data[p.more[1] : p.more[1] + p.more[2]]) for p in blank if any(data[p.more[1] : p.more[1] + p.more[2]])]
-    return [(p.kind, p.payload(data)) for p in parts(kind, data) if not _is_plain(kind, data, p)]
+    return [(p.kind, p.payload(data)) for p in _not_plain(kind, data)]
 
 
 def describe(kind: str, data: bytes) -> list[tuple[str, str]]:
@@ -440,10 +449,10 @@ def removed_values(kind: str, described: list[tuple[str, str]]) -> list[tuple[st
     return [(n, v.strip(b"\0 \t\r\n")) for n, v in found if sum(b not in b"\0 \t\r\n" for b in v) >= MIN_SEARCHED]
 
 
-def searched_values(kind: str, data: bytes) -> list[tuple[str, bytes]]:
-    """The values to search for after cleaning the file `data`; of an archive those of each member by its kind."""
+def searched_values(kind: str, data: bytes, fields: list[tuple[str, str]] | None = None) -> list[tuple[str, bytes]]:
+    """The values to search for after cleaning the file `data`, which `fields` describes; of an archive those of each member by its kind."""
     if kind != "zip":
-        return removed_values(kind, describe(kind, data))
+        return removed_values(kind, describe(kind, data) if fields is None else fields)
     found = []
     for name, body, inner, fate in _contents(data):
         if fate == "known":

@@ -75,12 +75,12 @@ def _jpeg(data: bytes, walked: list[Part]) -> Found:
 
 
 def _mp3(data: bytes, walked: list[Part]) -> Found:
-    frames = [p for p in walked if p.kind == "frame"]
-    heads = {data[p.at + 1 : p.at + 4] for p in frames[:100_000]} | {data[p.at + 1 : p.at + 4] for p in frames[100_000:]}
+    sound = next(p for p in walked if p.kind == "audio")
+    heads = sound.more[1]
     yield "mp3:rates", sorted({h[1] >> 4 for h in heads})
     yield "mp3:sampling", sorted({(h[0] >> 3 & 3, h[1] >> 2 & 3) for h in heads})
     yield "mp3:channels", sorted({h[2] >> 6 for h in heads})
-    first = frames[0].payload(data) if frames else b""
+    first = data[sound.at : sound.at + 2000]
     at = max(first.find(b"Xing"), first.find(b"Info"))
     yield "mp3:encoder", "none" if at < 0 else (first[at : at + 4] + b" " + first[at + 120 : at + 129]).decode("latin-1").rstrip("\0")
 

@@ -25,7 +25,7 @@ LAYOUTS: dict[str, list[tuple[str, int, int, int, int]]] = {
     "gif": [("header", 0, 0, 19, 0), ("comment", 19, 0, 4, 1), ("image", 23, 1, 15, 0), ("end", 38, 1, 1, 0)],
     "webp": [("header", 0, 0, 12, 0), ("VP8X", 12, 0, 18, 0), ("VP8 ", 30, 0, 14, 0), ("EXIF", 44, 0, 8, 1)],
     "flac": [("magic", 0, 0, 4, 0), ("STREAMINFO", 4, 0, 38, 0), ("VORBIS_COMMENT", 42, 0, 12, 1), ("audio", 54, 1, 7, 0)],
-    "mp3": [("ID3v2", 0, 0, 20, 1), ("frame", 20, 1, 417, 0), ("frame", 437, 1, 417, 0), ("frame", 854, 1, 417, 0), ("ID3v1", 1271, 1, 128, 0)],
+    "mp3": [("ID3v2", 0, 0, 20, 1), ("audio", 20, 1, 1251, 0), ("ID3v1", 1271, 1, 128, 0)],
     "bmp": [("file header", 0, 0, 14, 0), ("picture header", 14, 0, 40, 0), ("pixels", 54, 0, 8, 0), ("trailer", 62, 0, 0, 1)],
     "mp4": [("ftyp", 0, 0, 20, 0), ("moov", 20, 0, 184, 1), ("moov/mvhd", 28, 0, 108, 0), ("moov/trak", 136, 0, 52, 0), ("moov/trak/mdia", 144, 0, 44, 0), ("moov/trak/mdia/minf", 152, 0, 36, 0), ("moov/trak/mdia/minf/stbl", 160, 0, 28, 0), ("moov/trak/mdia/minf/stbl/stco", 168, 0, 20, 0), ("moov/udta", 188, 0, 16, 1), ("moov/udta/name", 196, 0, 8, 1), ("mdat", 204, 1, 19, 0)],
     "tiff": [("header", 0, 0, 8, 0), ("IFD0 0100", 10, 0, 12, 0), ("IFD0 0131", 22, 0, 12, 0)],
@@ -133,6 +133,7 @@ READER_ROWS: dict[str, list[tuple[str, str]]] = {
     "page_positions": [("(a)", "'110 ' || (n + 20) || ' 12'"), ("(b)", "'115 ' || (n + 13) || ' 12'"), ("(c)", "'3 -24 9.5'")],
     "pe_sections": [(".text", _json(offset="128", size="n"))],
     "macho_commands": [("command 1B", _json(offset="32", size="16")), ("command 2A", _json(offset="48", size=f"(8 + {_PADDED})"))],
+    "sound_frames": [(f"frame {k}", f"'{{\"offset\": ' || (n + {20 + 417 * k}) || ', \"size\": 417, \"kbit\": 128, \"hertz\": 44100, \"channels\": 2}}'") for k in range(3)],
     "wmf_records": [("0626", "cast(2 * (3 + (n + 1) // 2) as varchar)"), ("0000", "'6'")],
 }
 

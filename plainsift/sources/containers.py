@@ -266,8 +266,15 @@ def _mpeg_frame(data: bytes, at: int) -> int:
     return _frame_length(data[at + 1], data[at + 2]) if at + 4 <= len(data) and data[at] == 0xFF else 0
 
 
+@lru_cache(1)
+def _frame_lengths() -> list[int]:
+    """The lengths of frames by the second and third byte of their heads."""
+    return [_frame_length(n >> 8, n & 255) for n in range(1 << 16)]
+
+
 def mp3(data: bytes) -> Iterator[Part]:
-    """A tag, up to 8192 bytes before the first frame, frames one after the other, and what follows them."""
+    """A tag, up to 8192 bytes before the first frame, frames one after the other as one part (with their number and the
+    different heads they have), and what follows them. `inner.sound_frames` lists the frames."""
     at = _id3_size(data)
     if at:
         yield Part("ID3v2", 0, at, 10)
@@ -276,9 +283,12 @@ def mp3(data: bytes) -> Iterator[Part]:
     if first > at:
         yield Part("before audio", at, first - at)
     at, end = first, len(data)
-    while at + 4 <= end and data[at] == 0xFF and (n := _frame_length(data[at + 1], data[at + 2])) and at + n <= end:
-        yield Part("frame", at, n, 4)
+    lengths, heads, count = _frame_lengths(), set(), 0
+    while at + 4 <= end and data[at] == 0xFF and (n := lengths[data[at + 1] << 8 | data[at + 2]]) and at + n <= end:
+        heads.add(data[at + 1 : at + 4])
+        count += 1
         at += n
+    yield Part("audio", first, at - first, 0, 0, (count, tuple(sorted(heads))))
     while at < len(data):
         if data[at : at + 3] == b"TAG" and at + 128 == len(data):
             yield Part("ID3v1", at, 128)

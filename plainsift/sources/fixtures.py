@@ -266,6 +266,7 @@ INNER = {
     "item_places": picture_file,
     "content_operations": page_stream,
     "page_positions": page_stream,
+    "sound_frames": mp3_file,
     "pe_sections": pe_file,
     "macho_commands": macho_file,
     "wmf_records": lambda note: bytes(18) + struct.pack("<IH", 3 + (len(note) + 1) // 2, 0x0626) + note + bytes(len(note) % 2) + struct.pack("<IH", 3, 0),

@@ -62,6 +62,37 @@ def id3_frames(data: bytes) -> list[Row]:
     return out
 
 
+# kbit/s of layer III by the index in a frame's head, for version 1 and for versions 2 and 2.5, and hertz of version 1.
+RATES_1 = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
+RATES_2 = (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160)
+HERTZ = (44100, 48000, 32000)
+
+
+def sound_frames(data: bytes) -> list[Row]:
+    """The frames of an MP3 file with their place, size, rate, sampling and channels; first the header that an encoder leaves in
+    the first frame, if there is one: its kind, the encoder, and the numbers of frames and bytes it states."""
+    sound = next(p for p in parts("mp3", data) if p.kind == "audio")
+    at, out = sound.at, []
+    first = data[at : at + 200]
+    if (place := max(first.find(b"Xing"), first.find(b"Info"))) >= 0:
+        flags, pos, told = int.from_bytes(first[place + 4 : place + 8], "big"), place + 8, {}
+        for name, bit in (("frames", 1), ("bytes", 2)):
+            if flags & bit:
+                told[name] = int.from_bytes(first[pos : pos + 4], "big")
+                pos += 4
+        encoder = data[at + place + 120 : at + place + 129].rstrip(b"\0 ").decode("latin-1")
+        out.append(("encoder", json.dumps({"kind": first[place : place + 4].decode(), "name": encoder, **told})))
+    number = 0
+    while at < sound.end:
+        version, index, hertz = data[at + 1] >> 3 & 3, data[at + 2] >> 4, HERTZ[data[at + 2] >> 2 & 3] >> {3: 0, 2: 1, 0: 2}[data[at + 1] >> 3 & 3]
+        kbit = (RATES_1 if version == 3 else RATES_2)[index]
+        size = (144 if version == 3 else 72) * kbit * 1000 // hertz + (data[at + 2] >> 1 & 1)
+        _need(size > 0, "a frame without a size")
+        out.append((f"frame {number}", json.dumps({"offset": at, "size": size, "kbit": kbit, "hertz": hertz, "channels": 1 if data[at + 3] >> 6 == 3 else 2})))
+        at, number = at + size, number + 1
+    return out
+
+
 def photoshop_resources(data: bytes) -> list[Row]:
     """The resources of a Photoshop block: number and content in hex."""
     out, at = [], data.find(b"8BIM")
@@ -393,7 +424,7 @@ def box_headers(path: str, skip_above: int = 64 << 20) -> list[tuple[str, int, i
     return out
 
 
-READERS: dict[str, Callable[[bytes], list[Row]]] = {f.__name__: f for f in (vorbis_comments, id3_frames, photoshop_resources, iptc_datasets, apple_attributes, package_relations, media_chunks, picture_items, item_places, content_tokens, content_operations, page_positions, pe_sections, macho_commands, wmf_records)}
+READERS: dict[str, Callable[[bytes], list[Row]]] = {f.__name__: f for f in (vorbis_comments, id3_frames, photoshop_resources, iptc_datasets, apple_attributes, package_relations, media_chunks, picture_items, item_places, content_tokens, content_operations, page_positions, sound_frames, pe_sections, macho_commands, wmf_records)}
 
 
 def rows(df: DataFrame, key: str, content: str, reader: str) -> DataFrame:
