@@ -13,7 +13,7 @@ import struct
 import zlib
 from collections.abc import Callable
 
-from plainsift.operators import packages
+from plainsift.operators import inplace, packages
 from plainsift.operators.beside import is_text, sidecar
 from plainsift.sources.containers import Malformed, Part, member_bytes, parts, recognise
 
@@ -134,6 +134,8 @@ def _bmp(data: bytes) -> bytes:
     else:
         width, height, _, bits = struct.unpack_from("<HHHH", head, 4)
         packed = 0
+    if width <= 0 or bits <= 0:
+        raise Malformed("a picture without width or depth")
     if packed not in (1, 2):
         stride, used = (width * bits + 31) // 32 * 4, width * bits
         spare = bytes([0xFF << (8 - used % 8) & 0xFF]) if used % 8 else b""
@@ -371,7 +373,9 @@ def _pdf(data: bytes) -> bytes:
     return bytes(out)
 
 
-CLEANERS: dict[str, Callable[[bytes], bytes]] = {"toyf": _toyf, "png": _png, "jpeg": _jpeg, "gif": _gif, "webp": _webp, "flac": _flac, "mp3": _mp3, "bmp": _bmp, "zip": _zip, **{k: _package(k) for k in PACKAGES}, "svg": _svg, "m4a": _iso, "mp4": _iso, "tiff": _tiff, "pdf": _pdf}
+CLEANERS: dict[str, Callable[[bytes], bytes]] = {"toyf": _toyf, "png": _png, "jpeg": _jpeg, "gif": _gif, "webp": _webp, "flac": _flac, "mp3": _mp3, "bmp": _bmp, "zip": _zip, **{k: _package(k) for k in PACKAGES}, "svg": _svg, "m4a": _iso, "mp4": _iso, "tiff": _tiff, "pdf": _pdf, "exe": inplace.program, "heic": inplace.still, "metafile": inplace.metafile}
+#: What is blanked in place, by kind.
+PLACES: dict[str, Callable[[bytes], list[tuple[str, int, int]]]] = {"pdf": _pdf_places, "exe": inplace.program_places, "heic": inplace.still_places}
 _ALLOWED: dict[str, Callable[[Part], bool]] = {
     "toyf": lambda p: p.kind == "content",
     "png": lambda p: p.kind in PNG_KEPT or p.kind == "signature",
@@ -391,7 +395,15 @@ def clean(kind: str, data: bytes) -> bytes:
     """The cleaned file. Malformed if it can't be accounted for, or no rule says what of its kind may stay."""
     if kind not in CLEANERS:
         raise Malformed(f"no rule for {kind}")
-    return CLEANERS[kind](data)
+    return _accounted(CLEANERS[kind], data)
+
+
+def _accounted(rule: Callable, data: bytes):  # noqa: ANN202
+    """What a rule gives; a number that leads past the end of the file is the file's fault."""
+    try:
+        return rule(data)
+    except (struct.error, IndexError, UnicodeDecodeError) as e:
+        raise Malformed("the file ends too soon") from e
 
 
 def residuals(kind: str, data: bytes) -> list[str]:
@@ -400,8 +412,10 @@ def residuals(kind: str, data: bytes) -> list[str]:
         return _package_left(kind, data)
     if kind == "zip":
         return _zip_left(data)
-    if kind == "pdf":
-        return [n for n, _, _ in _pdf_places(data)]
+    if kind in PLACES:
+        return [n for n, _, _ in PLACES[kind](data)]
+    if kind == "metafile":
+        return [n for n, _ in inplace.metafile_told(data)]
     if kind == "tiff":
         return [p.kind for p in parts("tiff", data) if p.more and (p.more[0] in TIFF_BLANK or p.kind.startswith("GPS ")) and any(data[p.more[1] : p.more[1] + p.more[2]])]
     return [p.kind for p in _not_plain(kind, data)]
@@ -412,8 +426,10 @@ def _told(kind: str, data: bytes) -> list[tuple[str, bytes]]:
         return _opened(kind, _members(data))[1]
     if kind == "zip":
         return _zip_told(data)
-    if kind == "pdf":
-        return [(n, data[a:b]) for n, a, b in _pdf_places(data)]
+    if kind in PLACES:
+        return [(n, data[a:b]) for n, a, b in PLACES[kind](data)]
+    if kind == "metafile":
+        return inplace.metafile_told(data)
     if kind == "tiff":
         blank = [p for p in parts("tiff", data) if p.more and (p.more[0] in TIFF_BLANK or p.kind.startswith("GPS "))]
         return [(p.kind, data[p.more[1] : p.more[1] + p.more[2]]) for p in blank if any(data[p.more[1] : p.more[1] + p.more[2]])]
@@ -422,7 +438,7 @@ def _told(kind: str, data: bytes) -> list[tuple[str, bytes]]:
 
 def describe(kind: str, data: bytes) -> list[tuple[str, str]]:
     """Locus and value of every part that cleaning would take out or rewrite, whole; members as they inflate."""
-    return [(n, v.decode("latin-1")) for n, v in _told(kind, data)]
+    return [(n, v.decode("latin-1")) for n, v in _accounted(lambda d: _told(kind, d), data)]
 
 
 # The elements of properties that name people, places or copies, and the values too short to be told apart.

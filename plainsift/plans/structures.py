@@ -75,6 +75,21 @@ def cleaned_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("path", "outcome", "removed", count("a\\.png: ").alias("of_pictures"), count("docx: member docProps/core\\.xml").alias("of_documents"), F.startswith("independent_check", F.lit("none of")).alias("searched"))
 
 
+BLANKED = ("heic", "metafile", "windows metafile", "built", "dated", "mac")
+
+
+def cleaned_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Still pictures, metafiles and programs made of every document, cleaned: what went, that the note is gone, that a second
+    cleaning changes nothing, and whether the length stayed."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(*map(F.lit, BLANKED))).alias("kind"), F.concat(_note(), F.lit(" of twenty signs or more")).alias("note"))
+    made = fixtures.made(docs.select(F.concat_ws("|", "doc_id", "kind", "note").alias("relative"), "kind", "note"), "relative", "kind", "note")
+    once = folder.clean_files(made).select("path", "outcome", "format", "removed", "bytes_before", "bytes_after", "cleaned", "independent_check")
+    again = folder.clean_files(once.select("path", "cleaned"), "path", "cleaned").select("path", F.col("cleaned").alias("again"))
+    part = lambda n: F.split_part("path", F.lit("|"), F.lit(n))
+    left = F.contains(F.hex("cleaned"), F.hex(F.encode(part(3), "utf-8")))
+    return once.join(again, "path").select(part(1).cast("bigint").alias("doc_id"), part(2).alias("made"), "outcome", "format", "removed", (~left).alias("gone"), (F.col("cleaned") == F.col("again")).alias("stable"), (F.col("bytes_before") == F.col("bytes_after")).alias("same_length"))
+
+
 def mutations_made(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The damaged copies of a picture made for every document: how many, and the sizes of the two that are only shortened."""
     found = mutations.mutations(_made(spark, sf_dir, "png"), "doc_id", "content", 6)
@@ -84,7 +99,7 @@ def mutations_made(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fuzz_campaign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaners held against damaged files of every kind: trials by kind, and those that ended in an error, which none may."""
-    kinds = ("png", "jpeg", "gif", "webp", "flac", "mp3", "bmp", "svg", "mp4", "tiff", "zip", "docx", "pdf")
+    kinds = ("png", "jpeg", "gif", "webp", "flac", "mp3", "bmp", "svg", "mp4", "tiff", "zip", "docx", "pdf", "heic", "metafile", "windows metafile", "built", "dated", "mac")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.element_at(F.array(*map(F.lit, kinds)), (F.pmod("doc_id", F.lit(len(kinds))) + 1).cast("int")).alias("kind"), _note().alias("note"))
     made = fixtures.made(docs, "doc_id", "kind", "note")
     damaged = mutations.mutations(made.withColumn("relative", F.concat_ws(".", "doc_id", "kind")), "relative", "content", 4)
@@ -140,7 +155,7 @@ READER_ROWS: dict[str, list[tuple[str, str]]] = {
 QUERIES = {
     **{f"{kind}_parts": _walked(kind) for kind in LAYOUTS},
     **{reader: _read(reader) for reader in (*READER_ROWS, "package_relations")},
-    **{f.__name__: f for f in (metafile_parts, zip_members, cleaned_nested, mutations_made, fuzz_campaign, feature_decompose)},
+    **{f.__name__: f for f in (metafile_parts, zip_members, cleaned_nested, cleaned_in_place, mutations_made, fuzz_campaign, feature_decompose)},
 }
 _N = f"octet_length(encode({_NOTE_SQL}))"
 SQL = {
@@ -151,6 +166,7 @@ SQL = {
     "metafile_parts": f"with d as (select doc_id, ({_N} + 3) // 4 * 4 p from documents) select doc_id, seq, kind, case seq when 0 then 0 when 1 then 108 else 120 + p end \"offset\", case seq when 0 then 108 when 1 then 12 + p else 20 end length from d, (values (0, 'record 1'), (1, 'record 70'), (2, 'record 14')) v(seq, kind)",
     "zip_members": "select doc_id, seq, member from documents, (values (0, 'a.txt'), (1, '__MACOSX/._a.txt')) v(seq, member)",
     "cleaned_nested": "select doc_id || '.zip' path, 'cleaned' outcome, 6 removed, 3 of_pictures, 3 of_documents, true searched from documents",
+    "cleaned_in_place": "select doc_id, made, 'cleaned' outcome, format, removed, true gone, true stable, same_length from documents, (values ('heic', 'heic', 1, true), ('metafile', 'metafile', 1, false), ('windows metafile', 'metafile', 1, false), ('built', 'exe', 2, true), ('dated', 'exe', 3, true), ('mac', 'exe', 1, true)) v(made, format, removed, same_length)",
     "mutations_made": f"select doc_id, 8 n, (86 + {_N}) // 2 half, 16 head from documents",
-    "fuzz_campaign": "select ['png', 'jpeg', 'gif', 'webp', 'flac', 'mp3', 'bmp', 'svg', 'mp4', 'tiff', 'zip', 'docx', 'pdf'][doc_id % 13 + 1] shape, 6 * count(*) n, 0 errors from documents group by 1",
+    "fuzz_campaign": "select ['png', 'jpeg', 'gif', 'webp', 'flac', 'mp3', 'bmp', 'svg', 'mp4', 'tiff', 'zip', 'docx', 'pdf', 'heic', 'metafile', 'windows metafile', 'built', 'dated', 'mac'][doc_id % 19 + 1] shape, 6 * count(*) n, 0 errors from documents group by 1",
 }

@@ -201,6 +201,38 @@ def emf_file(note: bytes) -> bytes:
     return head + struct.pack("<III", 70, 12 + len(padded), len(note)) + padded + struct.pack("<IIIII", 14, 20, 0, 0, 20)
 
 
+def wmf_file(note: bytes) -> bytes:
+    """A placeable metafile with a comment, a record that sets the window, and its end."""
+    padded = note + bytes(len(note) % 2)
+    comment = struct.pack("<IHHH", (10 + len(padded)) // 2, 0x0626, 15, len(note)) + padded
+    window = struct.pack("<IHHH", 5, 0x020C, 9, 9)
+    body = comment + window + struct.pack("<IH", 3, 0)
+    return b"\xd7\xcd\xc6\x9a" + bytes(18) + struct.pack("<HHHIHIH", 1, 9, 0x0300, (18 + len(body)) // 2, 0, len(comment) // 2, 0) + body
+
+
+def built_file(note: bytes) -> bytes:
+    """A program for Linux with the name of its compiler and a build identifier, and code that stays."""
+    names = b"\0.comment\0.note.gnu.build-id\0.text\0.shstrtab\0"
+    held = [(1, 1, note), (10, 7, struct.pack("<III", 4, 20, 3) + b"GNU\0" + note.ljust(20, b"x")[:20]), (29, 1, b"code that stays"), (35, 3, names)]
+    at, rows, body = 64, bytes(64), b""
+    for name, kind, content in held:
+        rows += struct.pack("<IIQQQQ", name, kind, 0, 0, at + len(body), len(content)).ljust(64, b"\0")
+        body += content
+    head = (b"\x7fELF\2\1\1".ljust(40, b"\0") + struct.pack("<Q", at + len(body))).ljust(58, b"\0") + struct.pack("<HHH", 64, 5, 4)
+    return head + body + rows
+
+
+def dated_program(note: bytes) -> bytes:
+    """A program for Windows with a time, a checksum, and debug data that name a file."""
+    optional = bytearray(b"\x0b\x02" + bytes(238))
+    struct.pack_into("<I", optional, 64, 1234)
+    struct.pack_into("<II", optional, 112 + 8 * 6, 0x1000, 28)
+    head = b"MZ" + bytes(58) + struct.pack("<I", 64) + b"PE\0\0" + struct.pack("<HHIIIHH", 0x8664, 1, 0x5F5E0FF, 0, 0, len(optional), 0) + optional
+    start = len(head) + 40
+    section = b".rdata\0\0" + struct.pack("<IIII", 28 + len(note), 0x1000, 28 + len(note), start) + bytes(16)
+    return head + section + struct.pack("<IIHHIIII", 0, 77, 0, 0, 2, len(note), 0x101C, start + 28) + note
+
+
 def elf_file(note: bytes) -> bytes:
     """A program with a section of notes and one of names."""
     names = b"\0.note\0.shstrtab\0"
@@ -230,6 +262,15 @@ def picture_file(note: bytes) -> bytes:
     return _box(b"ftyp", b"heic\0\0\0\0heic") + _box(b"meta", meta) + _box(b"mdat", bytes(9) + note)
 
 
+def still_file(note: bytes) -> bytes:
+    """A still picture as `picture_file`, with the places that its items really have."""
+    made = picture_file(note)
+    start = made.index(b"mdat") + 4
+    at = made.index(struct.pack(">HHHIHII", 1, 0, 0, 500, 1, 0, 9))
+    right = struct.pack(">HHHIHII", 1, 0, 0, start, 1, 0, 9) + struct.pack(">HHHIHII", 2, 0, 0, start + 9, 1, 0, len(note))
+    return made[:at] + right + made[at + len(right) :]
+
+
 def chunked_film(note: bytes) -> bytes:
     """A film of three chunks, the places moved by the length of the note."""
     n = len(note)
@@ -271,4 +312,4 @@ INNER = {
     "macho_commands": macho_file,
     "wmf_records": lambda note: bytes(18) + struct.pack("<IH", 3 + (len(note) + 1) // 2, 0x0626) + note + bytes(len(note) % 2) + struct.pack("<IH", 3, 0),
 }
-MAKERS |= {"nested": nested_file, "metafile": emf_file, "exe": elf_file, **{f"inner {reader}": make for reader, make in INNER.items()}}
+MAKERS |= {"nested": nested_file, "heic": lambda note: still_file(note), "windows metafile": wmf_file, "built": built_file, "dated": dated_program, "mac": lambda note: macho_file(note), "metafile": emf_file, "exe": elf_file, **{f"inner {reader}": make for reader, make in INNER.items()}}
