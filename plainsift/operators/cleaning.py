@@ -15,7 +15,7 @@ from collections.abc import Callable
 
 from plainsift.operators import inplace, packages
 from plainsift.operators.beside import is_text, sidecar
-from plainsift.sources.containers import Malformed, Part, member_bytes, parts, recognise
+from plainsift.sources.containers import Malformed, Part, member_bytes, parts, png_chunk, recognise
 
 # The parts that define a picture or its rendering, and the parts of a film that may go.
 PNG_KEPT = frozenset(["IHDR", "PLTE", "IDAT", "IEND", "tRNS", "gAMA", "cHRM", "sRGB", "sBIT", "bKGD", "acTL", "fcTL", "fdAT"])
@@ -391,11 +391,43 @@ _ALLOWED: dict[str, Callable[[Part], bool]] = {
 }
 
 
-def clean(kind: str, data: bytes) -> bytes:
-    """The cleaned file. Malformed if it can't be accounted for, or no rule says what of its kind may stay."""
+def _png_packed_anew(data: bytes) -> bytes:
+    """A cleaned PNG whose picture data are deflated in one way and lie in one chunk: what its encoder chose is gone, and the
+    filtered rows are the same."""
+    cleaned = _png(data)
+    walked = parts("png", cleaned)
+    packed = [p for p in walked if p.kind == "IDAT"]
+    rows = zlib.decompress(b"".join(p.payload(cleaned) for p in packed))
+    again = zlib.compress(rows, 9)
+    out = []
+    for p in walked:
+        if p.kind != "IDAT":
+            out.append(cleaned[p.at : p.end])
+        elif p is packed[0]:
+            out.append(png_chunk(b"IDAT", again))
+    return b"".join(out)
+
+
+def _zip_again(data: bytes) -> bytes:
+    """An archive whose members are cleaned at the second level where their kind has one."""
+    found = {name: (LEVELS["F2"][kind](body) if kind in LEVELS["F2"] else body) for name, body, kind, _ in _contents(_zip(data))}
+    return zip_bytes(sorted(found.items()))
+
+
+#: Levels beyond the first, by kind: what an encoder or packer chose is made anew, without loss.
+LEVELS: dict[str, dict[str, Callable[[bytes], bytes]]] = {"F2": {"png": _png_packed_anew, "zip": _zip_again}}
+
+
+def clean(kind: str, data: bytes, level: str = "F1") -> bytes:
+    """The cleaned file. Malformed if it can't be accounted for, or no rule says what of its kind may stay at this level."""
     if kind not in CLEANERS:
         raise Malformed(f"no rule for {kind}")
-    return _accounted(CLEANERS[kind], data)
+    if level != "F1" and kind not in LEVELS.get(level, ()):
+        raise Malformed(f"level {level} isn't built for {kind}")
+    try:
+        return _accounted(CLEANERS[kind] if level == "F1" else LEVELS[level][kind], data)
+    except zlib.error as e:
+        raise Malformed("data that don't inflate") from e
 
 
 def _accounted(rule: Callable, data: bytes):  # noqa: ANN202
