@@ -103,3 +103,14 @@ def shared_grams(outputs: DataFrame, inputs: DataFrame, text: str, key: str, siz
     n = outputs.where(F.col(text).isNotNull()).select(key).distinct().count()
     common = cut(outputs).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == n).select("gram")
     return common.join(cut(inputs).select("gram").distinct(), "gram", "left_anti").where(~F.array_contains(F.lit(list(constants)) if constants else F.array().cast("array<string>"), F.col("gram")))
+
+
+def cohort_grams(rows: DataFrame, cohort: str, text: str, size: int) -> DataFrame:
+    """`<cohort>, gram`: the substrings of `size` characters that every text of a cohort holds. Texts shorter than that, and null
+    ones, are members that hold none. Each row gives its distinct substrings, counted before the shuffle."""
+    known = rows.select(F.col(cohort), F.col(text).alias("_t"))
+    members = known.groupBy(cohort).agg(F.count(F.lit(1)).alias("_n"))
+    places = F.when(F.length("_t") >= size, F.sequence(F.lit(1), F.length("_t") - size + 1)).otherwise(F.array().cast("array<int>"))
+    grams = known.select(cohort, F.explode(F.array_distinct(F.transform(places, lambda i: F.substr(F.col("_t"), i, F.lit(size))))).alias("gram"))
+    shared = grams.groupBy(cohort, "gram").agg(F.count(F.lit(1)).alias("_k"))
+    return shared.join(members, cohort).where("_k = _n").select(cohort, "gram")

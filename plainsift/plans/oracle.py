@@ -59,9 +59,11 @@ def disagreeing_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def common_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Substrings that all part types have and no nation's name has."""
-    parts = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("t"))
-    return variance.shared_grams(parts, table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("t")), "t", "k", 4)
+    """How many substrings of 12 characters all documents of a cohort share, and the least of them: of one kind and language and
+    about one length, over whole texts."""
+    cohort = F.concat_ws("/", "doc_kind", "lang", F.expr("n_chars div 4"))
+    found = variance.cohort_grams(table(spark, sf_dir, "documents").select(cohort.alias("cohort"), "text"), "cohort", "text", 12)
+    return found.groupBy("cohort").agg(F.count(F.lit(1)).alias("n"), F.min("gram").alias("least"))
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +122,7 @@ SQL = {
     "a1_verdict": _LINES + "select case when bool_or(leak) then 'fail' else 'pass' end verdict, case when bool_or(leak) then 'variant_correlated_leak' end reason, coalesce(string_agg(feature_id, ',' order by feature_id) filter (where leak), '') leaks from verdicts",
     "leak_evidence": _LINES + "select feature_id, string_agg(grp || '=' || lower(hex(encode(value))), '; ' order by grp) evidence from (select * from grid qualify row_number() over (partition by feature_id, grp order by rep) = 1) group by 1",
     "leaks_by_channel": _LINES + "select case feature_id " + " ".join(f"when '{f}' then '{c}'" for f, c in CHANNELS.items()) + " else 'unclassified' end channel, string_agg(feature_id, ',' order by feature_id) features from verdicts where n_between > 1 group by 1",
-    "common_grams": "with grams as (select distinct c_custkey k, substring(c_name, i, 4) gram from customer, unnest(range(1, length(c_name) - 2)) t(i)) select gram from grams group by 1 having count(*) = (select count(*) from customer) and gram not in (select substring(n_name, i, 4) from nation, unnest(range(1, length(n_name) - 2)) t(i))",
+    "common_grams": "with d as (select concat_ws('/', doc_kind, lang, n_chars // 4) cohort, doc_id, text from documents), m as (select cohort, count(*) n from d group by 1), grams as (select distinct cohort, doc_id, substring(text, i, 12) gram from d, unnest(range(1, length(text) - 10)) t(i)), s as (select cohort, gram, count(*) k from grams group by 1, 2) select s.cohort, count(*) n, min(gram) least from s join m on m.cohort = s.cohort and k = m.n group by 1",
     "coverage_gaps": _SPANS + """, days as (select user_id, min(s) // 86400 * 86400 low, max(s) // 86400 * 86400 + 86400 high from spans group by 1),
 inside as (select f.user_id, greatest(s, low) s, least(e, high) e from full_spans f join days using (user_id) where least(e, high) > greatest(s, low) union all select user_id, low, low from days union all select user_id, high, high from days)
 select user_id, reach gap_start, s gap_end from (select *, max(e) over (partition by user_id order by s, e rows between unbounded preceding and 1 preceding) reach from inside) where s > reach""",

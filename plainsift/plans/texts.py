@@ -30,15 +30,15 @@ def plain_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _page() -> Column:
     """A page around a text's number, with what the cleaners must find."""
-    return F.concat(F.lit('<?xml version="1.0"?><?app x?><html id="a" data-n=\''), F.col("doc_id"), F.lit("'><!-- made <b> "), F.col("doc_id"), F.lit(" --><![CDATA[<!-- kept -->]]><script src=\"x\">var a;</script><p title=\"t"), F.col("n_chars"), F.lit('">'), F.coalesce("lang", F.lit("")), F.lit("</p><!-- open"))
+    return F.concat(F.lit('<?xml version="1.0"?><?app x?><html id="a" data-n=\''), F.col("doc_id"), F.lit("'><!-- made <b> "), F.col("doc_id"), F.lit(" --><![CDATA[<!-- kept -->]]><script src=\"x\">var a;</script><p title=\"t"), F.col("n_chars"), F.lit('">'), F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</p><!-- open"))
 
 
 def strip_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages without comments, instructions, scripts and titles."""
+    """The digests of pages, around whole texts, without comments, instructions, scripts and titles."""
     page = _page().alias("page")
     pages = table(spark, sf_dir, "documents").select("doc_id", page).where("page is not null")
     cleaned = text.strip_attribute(text.strip_element(text.strip_instructions(text.strip_comments(F.col("page"))), "script"), "title")
-    return pages.select("doc_id", cleaned.alias("cleaned"))
+    return pages.select("doc_id", F.sha2(cleaned, 256).alias("cleaned"))
 
 
 def user_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,12 +104,12 @@ def byte_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (clip_notes, human_sizes, plain_texts, strip_markup, user_paths, file_like_names, resolved_paths, humanised, tag_parts, ordered_digest, checksums, uuid_of_text, hex_context, byte_numbers)}
 
-_PAGE = "'<html id=\"a\" data-n=''' || doc_id || '''><![CDATA[<!-- kept -->]]><p>' || coalesce(lang, '') || '</p><!-- open'"
+_PAGE = "'<html id=\"a\" data-n=''' || doc_id || '''><![CDATA[<!-- kept -->]]><p>' || replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;') || '</p><!-- open'"
 SQL = {
     "clip_notes": "with f as (select doc_id, regexp_replace(trim(regexp_replace(text, '[ \\t\\r\\n\\x0b\\x0c]+', ' ', 'g')), '[\\x00-\\x1f\\x7f]', '.', 'g') t from documents where text is not null) select doc_id, case when length(t) > 58 then substring(t, 1, 57) || '…' else t end clipped from f",
     "human_sizes": "select doc_id, case when n_chars < 1024 then n_chars || ' B' when n_chars < 1048576 then cast(round(n_chars / 1024, 1) as decimal(20,1)) || ' KB' else cast(round(n_chars / 1048576, 1) as decimal(20,1)) || ' MB' end size from documents",
     "plain_texts": "select doc_id, not regexp_matches(text, '[\\x00-\\x08\\x0b\\x0e-\\x1f\\x7f]') and not regexp_matches(text, '(?s)^.{0,256}(<\\?xpacket|<x:xmpmeta)') plain from documents where text is not null",
-    "strip_markup": f"select doc_id, '<?xml version=\"1.0\"?>' || {_PAGE} cleaned from documents where n_chars is not null",
+    "strip_markup": f"select doc_id, sha256('<?xml version=\"1.0\"?>' || {_PAGE}) cleaned from documents where n_chars is not null",
     "user_paths": "select row_id, loaded_at, '/home/u' || tree_id || '|C:\\Users\\n' || row_id found from scrub_results",
     "file_like_names": "select row_id, loaded_at, regexp_matches(path, '(?i)[\\\\/]|\\.(jpe?g|png|gif|tiff?|bmp|svg|webp|heic|emf|wmf|docx?|pdf)$') file_like from scrub_results where path is not null",
     "resolved_paths": "select p_partkey, 'media/' || p_type || '.png' target from part",

@@ -88,6 +88,8 @@ _HALVES = {"whole": "e", "first half": "e[1:len(e) // 2]", "second half": "e[len
 SQL = {
     "nearest_neighbour": _NN + "select query, neighbour, query_label, neighbour_label, round(distance, 6) distance from nn",
     "loo_accuracy": _NN + "select count(*) n, count(*) filter (where query_label = neighbour_label) hits, round(count(*) filter (where query_label = neighbour_label) / count(*), 6) accuracy, round(1 / (select count(distinct label) from v), 6) chance from nn",
+    "significance": _NN + ", a as (select count(*) n, count(*) filter (where query_label = neighbour_label) hits, (select count(distinct label) from v) k from nn), t as (select n, hits, k, round(least(1.0, case when hits <= 0 then 1.0 else list_sum(list_transform(range(hits, n + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(round(1 / k, 6)) + (n - i) * ln(1 - round(1 / k, 6))))) end), 6) p from a) select n, hits, p, p < 0.05 and hits / n > 1 / k significant from t",
+    "to_centre": "with v as (select vec_id, cast(embedding as double[]) e from embeddings where len(embedding) > 0), d as (select vec_id, e, len(e) n, list_sum(list_transform(list_zip(e, list_reverse(e)), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) / len(e) m from v) select vec_id, round(sqrt(m), 6) rmse, case when m = 0 then 'inf'::double else round(10 * log10(65025.0 / m), 6) end psnr, round(case when 3 * n // 8 > 2 * n // 8 then list_sum(e[2 * n // 8 + 1 : 3 * n // 8]) / (3 * n // 8 - 2 * n // 8) else 0 end, 6) third_bin from d",
     "confusion": _NN + "select query_label, neighbour_label, count(*) n from nn group by 1, 2",
     "centroids": "with l as (select cast(label as bigint) as label, i - 1 as at_, cast(embedding[i] as double) x from embeddings, unnest(range(1, len(embedding) + 1)) t(i)), s as (select at_, avg(x) m, stddev_pop(x) d from l group by 1), c as (select label, at_, avg(x) c from l group by 1, 2) select label, cast(c.at_ as int) as \"at\", round((c - m) / (d + 1e-12), 6) centre from c join s on s.at_ = c.at_",
     "ablation": _V
