@@ -53,14 +53,18 @@ def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.percentiles(days.unionByName(whole), ["scope", "format", "day", "metric"], "value", PERCENTS)
 
 
-def p4_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every format and day, the summary that can be merged with those of other days."""
+def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.summaries(_sizes(spark, sf_dir), ["format", "day", "metric"], "value")
 
 
+def p4_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every format and day, the summary that can be merged with those of other days: a row per kept rank."""
+    return _summaries(spark, sf_dir).select("format", "day", "metric", "part", "n", F.explode("points").alias("x")).select("format", "day", "metric", "part", "n", "x.rank", "x.value")
+
+
 def p4_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The percentiles of every format, from the summaries of its days."""
-    return selection.merged(p4_summaries(spark, sf_dir), ["format", "metric"], PERCENTS)
+    return selection.merged(_summaries(spark, sf_dir), ["format", "metric"], PERCENTS)
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +140,17 @@ def _looks_sql() -> str:
 
 
 _LOOKS = _looks_sql()
+_SIZES = f"with {_RECORDS}, sizes as (select coalesce(format, '') format, day, 'bytes_before' metric, bytes_before as value from records where bytes_before >= 0 union all select coalesce(format, ''), day, 'bytes_after', bytes_after from records where bytes_after >= 0)"
+#: Of groups of at most one part, as all are at the scales of the tables.
+_SUMMARIES = (
+    _SIZES + ", ranked as (select *, row_number() over (partition by format, day, metric order by value) as rank, count(*) over (partition by format, day, metric) n from sizes), "
+    f"points as (select format, day, metric, 0 part, n, rank, value from ranked where n <= {selection.POINTS} or rank = 1 or floor(rank * {selection.POINTS} / n) > floor((rank - 1) * {selection.POINTS} / n))"
+)
 SQL = {
+    "p4_summaries": _SUMMARIES + " select * from points",
+    "p4_merged": _SUMMARIES + ", weighed as (select format, metric, value, rank - lag(rank, 1, 0) over (partition by format, day, metric order by rank) w from points), same as (select format, metric, value, sum(w) w from weighed group by 1, 2, 3), "
+    "upto as (select *, sum(w) over (partition by format, metric order by value) u, sum(w) over (partition by format, metric) n from same) select format, metric, cast(n as bigint) n, "
+    + ", ".join(f"min(value) filter (where u >= greatest(1, ({p} * n + 99) // 100)) p{p}" for p in PERCENTS) + " from upto group by 1, 2, n",
     "p9_found": _LOOKS + "select a.doc_id doc_id_a, b.doc_id doc_id_b from v a join v b on a.form = b.form and a.doc_id < b.doc_id and a.text <> b.text",
     "p9_forms": _LOOKS + "select doc_id, class_id from v join c using (form)",
     "p9_links": _LOOKS + "select class_id, rep, n_rows from r join c using (form)",
@@ -144,6 +158,6 @@ SQL = {
     "p1_found": _TERMS + "select field_name, term, mark from marked where mark is not null",
     "p1_formats": f"with {_RECORDS}, counts as (select 'format' field_name, format term, count(*) occurrences, count(distinct row_id) records from records where format <> '' group by 2) "
     "select *, case when records <= 2 then 'rare' when records > 0.1 * (select count(*) from records) then 'common' end mark from counts",
-    "p4_percentiles": f"with {_RECORDS}, sizes as (select coalesce(format, '') format, day, 'bytes_before' metric, bytes_before as value from records where bytes_before >= 0 union all select coalesce(format, ''), day, 'bytes_after', bytes_after from records where bytes_after >= 0), "
+    "p4_percentiles": _SIZES + ", "
     f"w as ({_percentile_sql('format')}), d as ({_percentile_sql('format, day')}) select 'all' scope, format, cast(null as date) as day, metric, n, p50, p90, p99 from w union all select 'day', format, day, metric, n, p50, p90, p99 from d",
 }
