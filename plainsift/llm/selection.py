@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 
 from plainsift.shared import materialize
 
-LIMIT = 256
+LIMIT = 1000
 PART_ROWS = 100_000
 POINTS = 200
 PROPOSAL_ACCURACY = 1000
@@ -66,24 +66,27 @@ def _children(step: DataFrame) -> DataFrame:
 
 
 def _sorted_picks(small: DataFrame, ranges: DataFrame, value: str) -> DataFrame:
-    """`group, percent, value` of ranges of at most `limit` values, each sorted whole."""
-    at = small.withColumn("_rn", F.row_number().over(Window.partitionBy("range").orderBy(value)))
-    wanted = ranges.select("range", "group", F.explode("wanted").alias("w")).select("range", "group", F.col("w.percent").alias("percent"), F.col("w.rank").cast("int").alias("_rn"))
-    return at.join(wanted, ["range", "_rn"]).select("group", "percent", F.col(value).alias("value"))
+    """`group, percent, value` of ranges of at most `limit` values, each sorted whole; a range is known by round and number."""
+    at = small.withColumn("_rn", F.row_number().over(Window.partitionBy("round", "range").orderBy(value)))
+    wanted = ranges.select("round", "range", "group", F.explode("wanted").alias("w")).select("round", "range", "group", F.col("w.percent").alias("percent"), F.col("w.rank").cast("int").alias("_rn"))
+    return at.join(wanted, ["round", "range", "_rn"]).select("group", "percent", F.col(value).alias("value"))
 
 
 def multi_select(values: DataFrame, ranges: DataFrame, value: str, limit: int = LIMIT, rounds: list[int] | None = None) -> DataFrame:
     """`group, percent, value` for `ranges` (range, group, n, wanted) over `values` (range, <value>). Both should be written tables.
     The number of values that each round has read is added to `rounds`."""
-    picks, active, open_ = [], values, ranges
+    picks, fits, small, active, open_, number = [], [], [], values, ranges, 0
+    every = lambda found: reduce(DataFrame.unionByName, found)
     while True:
-        small = open_.where(F.col("n") <= limit)
-        fits = active.join(small.select("range"), "range", "left_semi") if active is values else active.where(~F.col("large")).select("range", value)
-        picks.append(_sorted_picks(fits, small, value))
+        few = open_.where(F.col("n") <= limit)
+        down = active.join(few.select("range"), "range", "left_semi") if active is values else active.where(~F.col("large"))
+        fits.append(down.select(F.lit(number).alias("round"), "range", value))
+        small.append(few.select(F.lit(number).alias("round"), "range", "group", "wanted"))
+        number += 1
         open_ = open_.where(F.col("n") > limit)
         left = open_.agg(F.sum("n")).first()[0]
         if not left:
-            return reduce(DataFrame.unionByName, picks)
+            return every([_sorted_picks(every(fits), every(small), value), *picks])
         if rounds is not None:
             rounds.append(left)
         active = active.join(open_.select("range"), "range", "left_semi") if active is values else active.where("large").select("range", value)
