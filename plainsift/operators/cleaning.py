@@ -241,9 +241,19 @@ def _opened(kind: str, members: dict[str, bytes]) -> tuple[dict[str, bytes], lis
     return kept, [(f"member {n}", members[n]) for n in members if n in gone] + told
 
 
+_RECENT_PACKAGE: list[tuple[str, bytes, tuple]] = []
+
+
+def _opened_file(kind: str, data: bytes) -> tuple[dict[str, bytes], list[tuple[str, bytes]]]:
+    """`_opened` of a whole package; the last one is remembered, since a clean asks for it several times in a row."""
+    if not (_RECENT_PACKAGE and _RECENT_PACKAGE[0][0] == kind and _RECENT_PACKAGE[0][1] is data):
+        _RECENT_PACKAGE[:] = [(kind, data, _opened(kind, _members(data)))]
+    return _RECENT_PACKAGE[0][2]
+
+
 def _package(kind: str) -> Callable[[bytes], bytes]:
     def run(data: bytes) -> bytes:
-        kept, _ = _opened(kind, _members(data))
+        kept, _ = _opened_file(kind, data)
         return zip_bytes(sorted(kept.items(), key=lambda m: (m[0] != "mimetype", m[0] != "[Content_Types].xml", m[0])))
 
     return run
@@ -252,7 +262,7 @@ def _package(kind: str) -> Callable[[bytes], bytes]:
 def _package_left(kind: str, data: bytes) -> list[str]:
     """What a second cleaning would still take from a package, and what the rules of embedded files still find."""
     members = _members(data)
-    kept, told = _opened(kind, members)
+    kept, told = _opened_file(kind, data)
     left = [n for n, _ in told] + [f"{n}: still changes" for n in sorted(members) if kept.get(n) != members[n]]
     for name, content in members.items():
         if not name.endswith((".xml", ".rels", ".vml", ".odttf")) and (inner := recognise(content)) in CLEANERS and inner not in packages.ARCHIVES:
@@ -455,7 +465,7 @@ def residuals(kind: str, data: bytes) -> list[str]:
 
 def _told(kind: str, data: bytes) -> list[tuple[str, bytes]]:
     if kind in PACKAGES:
-        return _opened(kind, _members(data))[1]
+        return _opened_file(kind, data)[1]
     if kind == "zip":
         return _zip_told(data)
     if kind in PLACES:
@@ -494,7 +504,7 @@ def removed_values(kind: str, described: list[tuple[str, str]]) -> list[tuple[st
                 found += [(f"{locus} {m[1].decode('latin-1')}", html.unescape(m[2].decode("utf-8", "replace")).encode()) for m in re.finditer(rb'\s((?:\w+:)?(?:author|userId|displayName|initials))="([^"]*)"', value)]
         elif NAMING.fullmatch(locus.rpartition(": ")[2]):
             found.append((locus, value))
-    return [(n, v.strip(b"\0 \t\r\n")) for n, v in found if sum(b not in b"\0 \t\r\n" for b in v) >= MIN_SEARCHED]
+    return [(n, v.strip(b"\0 \t\r\n")) for n, v in found if len(v.translate(None, b"\0 \t\r\n")) >= MIN_SEARCHED]
 
 
 def searched_values(kind: str, data: bytes, fields: list[tuple[str, str]] | None = None) -> list[tuple[str, bytes]]:
