@@ -1,9 +1,8 @@
 """Schemas that drift between files: one union schema, one table, and the ordered log of changes.
 
 `headers` reads the schema of every file in parallel: each leaf of its records, under its common name, with the path the file
-uses, the kind of its values folded over the records by the lattice `join_kinds`, and a sketch of its values. `learned_names`
-finds renames that no list of names foretells, from fields that go and come together with values alike; `renamed` applies
-them. `changes` compares each file with the one before it in its series. `union_schema` folds the headers of all files
+uses and the kind of its values folded over the records by the lattice `join_kinds`. `learned_names` finds renames that no
+list of names foretells, from fields that go and come together with values alike (by `sketches`); `renamed` applies them. `changes` compares each file with the one before it in its series. `union_schema` folds the headers of all files
 through the same lattice, and `unified` casts every record to the columns and kinds of the union schema.
 
 A body that is null, not complete JSON or has no records gives a file without fields. Null values are no presence.
@@ -42,7 +41,7 @@ ALIASES = {
 }
 COMMON = {alias: name for name, aliases in ALIASES.items() for alias in aliases}
 _NOT_PLAIN = re.compile(r"[^a-z0-9.]")
-FIELD = "struct<name:string,path:string,kind:string,sketch:array<bigint>>"
+FIELD = "struct<name:string,path:string,kind:string>"
 _WORDS = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]")
 
 
@@ -115,22 +114,43 @@ def signs(value: object) -> Iterator[str]:
 
 
 def header(body: str | None) -> list[dict]:
-    """The schema of a file: name, path, kind and sketch of each field present, ordered by name. A sketch holds the least
-    SKETCH hashes of the signs of its values, so sketches of any files can be compared and joined."""
-    found: dict[str, list] = {}
+    """The schema of a file: name, path and kind of each field present, ordered by name."""
+    found: dict[str, tuple[set, str]] = {}
     for record in records(body):
         for path, value in leaves(record):
             if value is not None:
-                at = found.setdefault(common_name(path), [set(), "null", set()])
-                at[0].add(path)
-                at[1] = join_kinds(at[1], kind_of(value))
-                at[2].update(xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) >> 1 for x in signs(value))
-    return [{"name": n, "path": " ".join(sorted(p)), "kind": k, "sketch": sorted(x)[:SKETCH]} for n, (p, k, x) in sorted(found.items())]
+                paths, kind = found.get(name := common_name(path), (set(), "null"))
+                found[name] = (paths | {path}, join_kinds(kind, kind_of(value)))
+    return [{"name": n, "path": " ".join(sorted(p)), "kind": k} for n, (p, k) in sorted(found.items())]
+
+
+def sketches(df: DataFrame, body: str) -> DataFrame:
+    """`name, sketch`: of each field, the least SKETCH hashes of the signs of its values over all bodies. Each partition gives
+    its own least ones, and sketches of any files can be joined in the same way."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[str, set[int]] = {}
+        for batch in batches:
+            for text in batch.column(body).to_pylist():
+                for record in records(text):
+                    for path, value in leaves(record):
+                        if value is not None:
+                            held = least.setdefault(common_name(path), set())
+                            held.update(xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) >> 1 for x in signs(value))
+                            if len(held) > 50 * SKETCH:
+                                least[common_name(path)] = set(sorted(held)[:SKETCH])
+        rows = [(name, h) for name, held in least.items() for h in sorted(held)[:SKETCH]]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["name", "h"])
+
+    each = df.select(body).mapInArrow(run, "name string, h bigint").distinct()
+    order = each.withColumn("_n", F.row_number().over(Window.partitionBy("name").orderBy("h"))).where(F.col("_n") <= SKETCH)
+    return order.groupBy("name").agg(F.collect_list("h").alias("sketch"))
 
 
 def headers(df: DataFrame, keys: Sequence[str], body: str) -> DataFrame:
     """The columns `keys` and `fields`, the schema of the file in column `body`."""
-    kind = pa.list_(pa.struct([*[(n, pa.string()) for n in ("name", "path", "kind")], ("sketch", pa.list_(pa.int64()))]))
+    kind = pa.list_(pa.struct([(n, pa.string()) for n in ("name", "path", "kind")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,8 +178,9 @@ def _with_previous(files: DataFrame, file: str, series: str, order: str) -> Data
     return near.select(file, "fields", "before").unionByName(over.select(f"first.{file}", "first.fields", "before"))
 
 
-def learned_names(files: DataFrame, file: str, series: str, order: str) -> DataFrame:
-    """`name, known`: names that stand for a field with a common name, though no list says so.
+def learned_names(files: DataFrame, file: str, series: str, order: str, bodies: DataFrame, body: str) -> DataFrame:
+    """`name, known`: names that stand for a field with a common name, though no list says so. files is a result of `headers`;
+    the values in bodies are only read if names go and come in a way that asks for it.
 
     A name is taken for a known field if, over all steps between files, the two go and come in opposite directions at
     LEARN_STEPS steps or more and at LEARN_SHARE or more of the steps at which the name comes or goes, if no file has both, and if
@@ -174,11 +195,11 @@ def learned_names(files: DataFrame, file: str, series: str, order: str) -> DataF
     news = moves.select(F.explode(F.filter("m.a", lambda x: ~is_known(x))).alias("name"), F.filter("m.b", is_known).alias("others"))
     total = news.groupBy("name").agg(F.count(F.lit(1)).alias("_moves"))
     met = news.select("name", F.explode("others").alias("known")).groupBy("name", "known").agg(F.count(F.lit(1)).alias("_met"))
-    likely = met.join(total, "name").where((F.col("_met") >= LEARN_STEPS) & (F.col("_met") >= LEARN_SHARE * F.col("_moves"))).select("name", "known", "_met")
-    fields = files.select(F.explode("fields").alias("f"))
-    sketch = F.slice(F.array_sort(F.collect_set("h")), 1, SKETCH)  # words of all files: their least hashes
-    sketches = fields.select("f.name", F.explode("f.sketch").alias("h")).distinct().withColumn("_n", F.row_number().over(Window.partitionBy("name").orderBy("h"))).where(F.col("_n") <= SKETCH).groupBy("name").agg(sketch.alias("s"))
-    pairs = likely.join(sketches, "name").join(sketches.select(F.col("name").alias("known"), F.col("s").alias("t")), "known")
+    likely = materialize(met.join(total, "name").where((F.col("_met") >= LEARN_STEPS) & (F.col("_met") >= LEARN_SHARE * F.col("_moves"))).select("name", "known", "_met"), "likely-names")
+    if likely.isEmpty():
+        return likely.select("name", "known")
+    values = materialize(sketches(bodies, body), "value-sketches")
+    pairs = likely.join(values.withColumnRenamed("sketch", "s"), "name").join(values.select(F.col("name").alias("known"), F.col("sketch").alias("t")), "known")
     alike = pairs.where(F.size(F.array_intersect("s", "t")) >= LEARN_LIKENESS * F.least(F.size("s"), F.size("t"))).select("name", "known", "_met")
     present = files.select(F.filter(names("fields"), lambda x: ~is_known(x)).alias("n"), F.filter(names("fields"), is_known).alias("k"))
     both = present.select(F.explode("n").alias("name"), "k").select("name", F.explode("k").alias("known")).distinct()
@@ -188,12 +209,11 @@ def learned_names(files: DataFrame, file: str, series: str, order: str) -> DataF
 
 def renamed(files: DataFrame, learned: DataFrame, file: str) -> DataFrame:
     """files with the fields under the names that `learned_names` has found; unchanged where it has found none."""
-    learned = materialize(learned, "learned-names")
     if learned.isEmpty():
         return files
     others = [c for c in files.columns if c != "fields"]
     fields = files.select(file, F.explode("fields").alias("_f")).select(file, F.col("_f.name").alias("name"), "_f").join(learned, "name", "left")
-    field = F.struct(F.coalesce("known", "name").alias("name"), "_f.path", "_f.kind", "_f.sketch")
+    field = F.struct(F.coalesce("known", "name").alias("name"), "_f.path", "_f.kind")
     again = fields.groupBy(file).agg(F.array_sort(F.collect_list(field)).alias("fields"))
     return files.select(*others).join(again, file, "left").withColumn("fields", F.coalesce("fields", F.array().cast(f"array<{FIELD}>")))
 

@@ -42,7 +42,7 @@ def _file_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _drifting(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The headers of all files under their common names, listed and learned, and the learned names."""
     files = materialize(_file_headers(spark, sf_dir), "drift-headers")
-    learned = materialize(drift.learned_names(files, "file_id", "series_id", "generated_at"), "drift-learned")
+    learned = materialize(drift.learned_names(files, "file_id", "series_id", "generated_at", table(spark, sf_dir, "matrix_files"), "body"), "drift-learned")
     return drift.renamed(files, learned, "file_id"), learned
 
 
@@ -198,7 +198,56 @@ stated as (select matrix_id, coalesce(cell ->> '$.adversary', regexp_extract(k,
 counted as (select * exclude (leaks), list_filter(leaks, lambda x: x is not null and json_type(x) <> 'NULL') leaks from stated),
 rows_ as (select * exclude (leaks), i - 1 leak_no, case json_type(leaks[i], '$.locus') when 'ARRAY' then json_extract(leaks[i], '$.locus[0]') else json_extract(leaks[i], '$.locus') end l from counted, unnest(range(1, len(leaks) + 1)) u(i))
 select matrix_id, adversary, fidelity, cast(leak_no as int) leak_no, coalesce(l ->> '$.feature_id', '') feature_id, coalesce(try_cast(l ->> '$.offset' as bigint), -1) locus_offset, repeats from rows_"""
+
+
+def _scalar(value: str) -> str:
+    """A JSON value as the text of an inlined column: texts as they are, a list of one as its member, empty objects as null."""
+    plain = "case json_type({0}) when 'VARCHAR' then {0} ->> '$' when 'NULL' then null when 'OBJECT' then case when {0}::varchar <> '{{}}' then {0}::varchar end when 'ARRAY' then replace({0}::varchar, '\",\"', '\", \"') else {0}::varchar end"
+    only = f"json_extract({value}, '$[0]')"
+    return f"case when json_type({value}) = 'ARRAY' and json_array_length({value}) = 1 then {plain.format(only)} else {plain.format(f'({value})')} end"
+
+
+def _columns(node: str, paths: list[str]) -> str:
+    at = lambda p: f"json_extract({node}, '$." + ".".join(f'"{x}"' for x in p.split(".")) + "')"
+    return ", ".join(f'{_scalar(at(p))} "{shred.column_name(p)}"' for p in paths)
+
+
+def _listed(value: str) -> str:
+    """The elements of a JSON value: of a list its members, else itself alone; nulls left out."""
+    return f"list_filter(case json_type({value}) when 'ARRAY' then from_json({value}, '[\"JSON\"]') when 'NULL' then [] else case when {value} is null then [] else [{value}] end end, lambda x: x is not null and json_type(x) <> 'NULL')"
+
+
+_FLAT = (
+    _P5[: _P5.index("held as (")]
+    + """held as (select matrix_id, j, json_extract(j, '$.cells') c from opened),
+keyed as (select matrix_id, c, json_keys(c) ks from held where json_type(c) = 'OBJECT' and json_extract(c, '$.verdict') is null),
+one as (select matrix_id, i * 1000 o, ks[i] k, json_extract(c, '$."' || ks[i] || '"') v from keyed, unnest(range(1, len(ks) + 1)) u(i)),
+inner_ as (select matrix_id, o, k, v, json_keys(v) ks from one where json_type(v) = 'OBJECT' and json_extract(v, '$.verdict') is null),
+listed as (select matrix_id, from_json(c, '["JSON"]') l from held where json_type(c) = 'ARRAY'),
+found as (select matrix_id, i o, '' k, l[i] cell from listed, unnest(range(1, len(l) + 1)) u(i) union all select matrix_id, 0, '', c from held where json_extract(c, '$.verdict') is not null
+  union all select matrix_id, o, k, v from one where json_extract(v, '$.verdict') is not null union all select matrix_id, o + i, k || '|' || ks[i], json_extract(v, '$."' || ks[i] || '"') from inner_, unnest(range(1, len(ks) + 1)) u(i)),
+cells as (select matrix_id, k, cell, cast(row_number() over (partition by matrix_id order by o) - 1 as int) cn from found where cell is not null and json_type(cell) <> 'NULL'),
+"""
+    + f"""leak_lists as (select matrix_id, cn, {_listed("json_extract(cell, '$.leaks')")} l from cells),
+leaks as (select matrix_id, cn, cast(i - 1 as int) no, l[i] leak, cast(row_number() over (partition by matrix_id order by cn, i) - 1 as int) ln from leak_lists, unnest(range(1, len(l) + 1)) u(i)),
+locus_lists as (select matrix_id, cn, 0 late, no above, 'leaks' parent, ln parent_no, 'locus' as name, {_listed("json_extract(leak, '$.locus')")} l from leaks
+  union all select matrix_id, cn, 1, 0, 'cells', cn, 'variable_loci', {_listed("json_extract(cell, '$.noise_floor.variable_loci')")} from cells),
+loci as (select matrix_id, parent, parent_no, name, cast(i - 1 as int) no, l[i] x, cast(row_number() over (partition by matrix_id order by cn, late, above, i) - 1 as int) xn from locus_lists, unnest(range(1, len(l) + 1)) u(i)),
+evidence_lists as (select matrix_id, ln, {_listed("json_extract(leak, '$.evidence')")} l from leaks)
+"""
+)
+_SHRED_COLUMNS = {
+    "document": ["format", "generated_at", "harness_version", "scrubber_fingerprint.checked", "scrubber_fingerprint.verdict", "tool.name", "tool.version"],
+    "cells": ["evidence_dir", "noise_floor.deterministic", "noise_floor.repeats", "perceptual.checked", "perceptual.distance", "perceptual.metric", "perceptual.preserved", "perceptual.threshold", "reason", "verdict"],
+    "leaks": ["correlates_with", "kind"],
+    "locus": ["annotated_as", "feature_id", "hex_context", "length", "offset", "space"],
+}
 SQL = {
+    "p5_document": _FLAT + f"select matrix_id, 0 document_no, null::varchar parent, -1 parent_no, 'document' as name, 0 no, {_columns('j', _SHRED_COLUMNS['document'])} from opened where json_type(j) = 'OBJECT'",
+    "p5_cells": _FLAT + f"""select matrix_id, cn cells_no, 'document' parent, 0 parent_no, 'cells' as name, cn no, coalesce(cell ->> '$.adversary', nullif(regexp_extract(k, 'A[1-3]'), '')) adversary, coalesce(cell ->> '$.fidelity', nullif(regexp_extract(k, 'F[1-3]'), '')) fidelity, {_columns('cell', _SHRED_COLUMNS['cells'])} from cells""",
+    "p5_leaks": _FLAT + f"select matrix_id, ln leaks_no, 'cells' parent, cn parent_no, 'leaks' as name, no, {_columns('leak', _SHRED_COLUMNS['leaks'])} from leaks",
+    "p5_locus": _FLAT + f"select matrix_id, xn locus_no, parent, parent_no, name, no, {_columns('x', _SHRED_COLUMNS['locus'])} from loci",
+    "p5_evidence": _FLAT + f"select matrix_id, cast(row_number() over (partition by matrix_id order by ln, i) - 1 as int) evidence_no, 'leaks' parent, ln parent_no, 'evidence' as name, cast(i - 1 as int) no, case when json_type(l[i]) = 'OBJECT' then {_scalar("json_extract(l[i], '$.text')")} else {_scalar('l[i]')} end as text from evidence_lists, unnest(range(1, len(l) + 1)) u(i)",
     "p2_found": _P2 + "select cell_id, difference from found",
     "p3_found": _P3,
     "p3_schema": _P3_SCHEMA,

@@ -80,8 +80,9 @@ def test_a_rename_that_no_list_foretells(spark):
         for h in range(8):
             name = "reason" if (h // 2 + s) % 2 else "grounds_given"
             rows.append((s * 10 + h, s, h, [{name: said[(h + k) % 3], "queue": f"q{k}", **({"rank": k} if h % 3 == s % 3 else {})} for k in range(3)]))
-    heads = drift.headers(files(spark, rows), ["f", "s", "at"], "body")
-    learned = drift.learned_names(heads, "f", "s", "at")
+    bodies = files(spark, rows)
+    heads = drift.headers(bodies, ["f", "s", "at"], "body")
+    learned = drift.learned_names(heads, "f", "s", "at", bodies, "body")
     assert [tuple(r) for r in learned.collect()] == [("grounds_given", "reason")]
     found = {tuple(r) for r in drift.changes(drift.renamed(heads, learned, "f"), "f", "s", "at").collect()}
     want = {(s * 10 + h, "reason", "renamed") for s in range(4) for h in range(2, 8, 2)}
@@ -93,7 +94,8 @@ def test_a_rename_that_no_list_foretells(spark):
 def test_fields_that_only_come_and_go_are_no_renames(spark):
     rng = random.Random(4)
     rows = [(n, 1, n, [{f: rng.choice(["runs ok", "runs late"]) for f in ("reason", "queue", "note") if rng.random() > 0.4}]) for n in range(60)]
-    assert drift.learned_names(drift.headers(files(spark, rows), ["f", "s", "at"], "body"), "f", "s", "at").isEmpty()
+    bodies = files(spark, rows)
+    assert drift.learned_names(drift.headers(bodies, ["f", "s", "at"], "body"), "f", "s", "at", bodies, "body").isEmpty()
 
 
 def test_broken_and_empty(spark):
