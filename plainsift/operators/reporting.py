@@ -91,4 +91,4 @@ def standardised_centroids(rows: DataFrame, label: str, vector: str) -> DataFram
     """`<label>, at, centre`: the mean of each standardised coordinate, by population deviation with 1e-12 added."""
     long = rows.where(F.col(vector).isNotNull()).select(label, F.posexplode(F.col(vector).cast("array<double>")).alias("at", "x"))
     scale = long.groupBy("at").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
-    return long.groupBy(label, "at").agg(F.avg("x").alias("c")).join(F.broadcast(scale), "at").select(label, "at", ((F.col("c") - F.col("m")) / (F.col("s") + 1e-12)).alias("centre"))
+    return long.groupBy(label, "at").agg(F.avg("x").alias("c")).join(scale, "at").select(label, "at", ((F.col("c") - F.col("m")) / (F.col("s") + 1e-12)).alias("centre"))

@@ -92,7 +92,7 @@ def harness_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def guard_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tools that rewrite comments, one for each region: those of odd regions leave their name behind the text. Which leave a
     mark of their own, by the runs that all outputs of a tool share and no input has."""
-    nations = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region").select("r_regionkey", "r_name")), F.col("n_regionkey") == F.col("r_regionkey"))
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region").select("r_regionkey", "r_name"), F.col("n_regionkey") == F.col("r_regionkey"))
     text = F.concat(F.col("n_name"), F.lit("."))
     marked = F.when(F.col("r_regionkey") % 2 == 1, F.concat(text, F.lit("~by "), F.col("r_name"), F.lit("~"))).otherwise(text)
     trials = nations.select(F.col("r_name").alias("tool"), F.encode(text, "utf-8").alias("input"), F.encode(marked, "utf-8").alias("output"))

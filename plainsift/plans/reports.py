@@ -155,7 +155,7 @@ def run_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def memory_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which files fit: their size times the factor of their format's family, against 1 GB for each of 4 workers."""
     factors = spark.createDataFrame([("image", 4.0), ("page", 6.2), ("office", 5.6), ("audio", 4.0), ("video", 1.0)], "family string, factor double")
-    handlers = F.broadcast(table(spark, sf_dir, "handlers").join(factors, "family", "left").select("format", F.coalesce("factor", F.lit(5.0)).alias("factor")))
+    handlers = table(spark, sf_dir, "handlers").join(factors, "family", "left").select("format", F.coalesce("factor", F.lit(5.0)).alias("factor"))
     rows = _records(spark, sf_dir, "format", "bytes_before").withColumn("format", F.lower(clean(F.col("format"))))
     return rows.join(handlers, "format").where("bytes_before >= 0").select("row_id", (F.col("bytes_before") * F.col("factor") <= 1e9 / 4).alias("fits"))
 

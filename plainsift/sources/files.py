@@ -15,21 +15,51 @@ from plainsift.shared import ship
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
+LISTING = "path string, relative string, link boolean, length bigint"
+
+
+def _entries(root: str, place: str, deep: bool) -> tuple[list[tuple], list[str]]:
+    """The files below a folder, in the order of names, and the folders not entered: with deep, none is left out."""
+    rows, later, todo = [], [], [place]
+    while todo:
+        at = todo.pop()
+        for entry in sorted(os.scandir(at), key=lambda e: e.name):
+            if entry.is_dir(follow_symlinks=False):
+                (todo if deep else later).append(entry.path)
+            else:
+                rows.append((entry.path, os.path.relpath(entry.path, root).replace(os.sep, "/"), entry.is_symlink(), entry.stat(follow_symlinks=False).st_size))
+    return rows, later
+
+
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """`path, relative, link, length` of every file below a mounted folder, links listed but never followed."""
-    rows = []
-    for place, folders, names in os.walk(root):
-        for name in sorted([*names, *[f for f in folders if os.path.islink(os.path.join(place, f))]]):
-            path = os.path.join(place, name)
-            stat = os.lstat(path)
-            rows.append((path, os.path.relpath(path, root).replace(os.sep, "/"), os.path.islink(path), stat.st_size))
-    return spark.createDataFrame(rows, "path string, relative string, link boolean, length bigint")
+    """`path, relative, link, length` of every file below a mounted folder, links listed but never followed. The driver lists two
+    levels of folders; what lies below is listed by the tasks, a folder at a time, and never gathered."""
+    ship(spark)
+    rows, folders = _entries(root, root, False)
+    below: list[str] = []
+    for place in folders:
+        found, inner = _entries(root, place, False)
+        rows += found
+        below += inner
+    near = spark.createDataFrame(rows, LISTING)
+    if not below:
+        return near
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.string(), pa.bool_(), pa.int64())
+        for batch in batches:
+            for place in batch.column("place").to_pylist():
+                if found := _entries(root, place, True)[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=["path", "relative", "link", "length"])
+
+    far = spark.createDataFrame([(p,) for p in below], "place string").repartition(min(len(below), 1000)).mapInArrow(run, LISTING)
+    return near.unionByName(far)
 
 
 def folder(spark: SparkSession, root: str, per_task: int = 64) -> DataFrame:
     """`path, relative, length, content` of every file below root; a link has no content.
 
-    A mounted folder is listed on the driver and read by the tasks, `per_task` files each: unlike the built-in reader this
+    A mounted folder is listed by `listing` and read by the tasks, some `per_task` files each: unlike the built-in reader this
     also sees empty files and names that begin with `_` or `.`. Other file systems are read by the built-in reader.
     """
     ship(spark)
@@ -84,7 +114,9 @@ def records(files: DataFrame, key: str, content: str) -> DataFrame:
 def rebuilt(found: DataFrame, key: str, keep) -> DataFrame:  # noqa: ANN001
     """`<key>, content`: the payloads of the parts that `keep` (a column) holds for, in order, as one binary."""
     kept = found.where(keep).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("seq", "payload"))).alias("all"))
-    return kept.select(key, F.aggregate("all", F.lit(b""), lambda acc, x: F.concat(acc, x["payload"])).alias("content"))
+    # joined as text of one sign per byte: adding binaries one after the other would copy the first ones again and again
+    joined = F.array_join(F.transform("all", lambda x: F.decode(x["payload"], "ISO-8859-1")), "")
+    return kept.select(key, F.encode(joined, "ISO-8859-1").alias("content"))
 
 
 def discovered(paths: DataFrame, path: str, pattern: str, former: dict[str, str] | None = None) -> DataFrame:
