@@ -74,8 +74,10 @@ def _states(df: DataFrame, key: str, latest: Sequence[str], fields: Mapping[str,
 def checksums(df: DataFrame, key: str, latest: Sequence[str], fields: Mapping[str, Callable[[Column], Column]], bits: int = COARSE_BITS) -> DataFrame:
     """`bucket`, `n`, and the array of sums `key_sum` and `<field>_sum` of every bucket of one copy."""
     now = _states(df, key, latest, fields, list(fields)).groupBy(key).agg(F.max("state").alias("s"))
+    # rows go to their bucket before they are hashed: few of a bucket meet by chance, and values are smaller than their sums
+    now = now.withColumn("bucket", _bucket(key, bits)).repartition("bucket")
     parts = {"": _parts([F.col(key)])} | {f: _parts([F.col(key), F.col(f"s.v.`{f}`").isNull(), F.col(f"s.v.`{f}`")]) for f in fields}
-    hashed = now.select(_bucket(key, bits), *[x.alias(f"{f}~{i}") for f, four in parts.items() for i, x in enumerate(four)])
+    hashed = now.select("bucket", *[x.alias(f"{f}~{i}") for f, four in parts.items() for i, x in enumerate(four)])
     total = lambda f: F.array(*[F.sum(F.col(f"`{f}~{i}`")) for i in range(4)])
     return hashed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), total("").alias("key_sum"), *[total(f).alias(f"{f}_sum") for f in fields])
 
