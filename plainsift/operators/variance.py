@@ -110,7 +110,13 @@ def cohort_grams(rows: DataFrame, cohort: str, text: str, size: int) -> DataFram
     ones, are members that hold none. Each row gives its distinct substrings, counted before the shuffle."""
     known = rows.select(F.col(cohort), F.col(text).alias("_t"))
     members = known.groupBy(cohort).agg(F.count(F.lit(1)).alias("_n"))
-    places = F.when(F.length("_t") >= size, F.sequence(F.lit(1), F.length("_t") - size + 1)).otherwise(F.array().cast("array<int>"))
-    grams = known.select(cohort, F.explode(F.array_distinct(F.transform(places, lambda i: F.substr(F.col("_t"), i, F.lit(size))))).alias("gram"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, text in enumerate(batch.column("_t").to_pylist()):  # a text at a time: cutting by place is linear here, not in SQL
+                if text and (held := {text[i : i + size] for i in range(len(text) - size + 1)}):
+                    yield pa.RecordBatch.from_arrays([batch.column(cohort).take(pa.array([at] * len(held), pa.int32())), pa.array(list(held))], names=[cohort, "gram"])
+
+    grams = known.mapInArrow(run, f"`{cohort}` {rows.schema[cohort].dataType.simpleString()}, gram string")
     shared = grams.groupBy(cohort, "gram").agg(F.count(F.lit(1)).alias("_k"))
     return shared.join(members, cohort).where("_k = _n").select(cohort, "gram")

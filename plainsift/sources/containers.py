@@ -266,10 +266,15 @@ def _mpeg_frame(data: bytes, at: int) -> int:
     return _frame_length(data[at + 1], data[at + 2]) if at + 4 <= len(data) and data[at] == 0xFF else 0
 
 
-@lru_cache(1)
-def _frame_lengths() -> list[int]:
-    """The lengths of frames by the second and third byte of their heads."""
-    return [_frame_length(n >> 8, n & 255) for n in range(1 << 16)]
+class _Lengths(dict):
+    """The lengths of frames by the second and third byte of their heads, found as they are met."""
+
+    def __missing__(self, head: int) -> int:
+        self[head] = _frame_length(head >> 8, head & 255)
+        return self[head]
+
+
+_LENGTHS = _Lengths()
 
 
 def mp3(data: bytes) -> Iterator[Part]:
@@ -283,7 +288,7 @@ def mp3(data: bytes) -> Iterator[Part]:
     if first > at:
         yield Part("before audio", at, first - at)
     at, end = first, len(data)
-    lengths, heads, count = _frame_lengths(), set(), 0
+    lengths, heads, count = _LENGTHS, set(), 0
     while at + 4 <= end and data[at] == 0xFF and (n := lengths[data[at + 1] << 8 | data[at + 2]]) and at + n <= end:
         heads.add(data[at + 1 : at + 4])
         count += 1
